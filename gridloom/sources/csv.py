@@ -49,26 +49,25 @@ def parse_lines(
     """One text column of CSV records as text columns; short rows are padded with NULL
     and extra cells dropped."""
     keep = keep or []
-    cells = lines.select(
-        *keep, split_line(F.col(column), delimiter, quote, escape).alias("_cells")
-    )
+    record = F.rtrim(F.col(column), F.lit("\r"))
+    cells = lines.select(*keep, split_line(record, delimiter, quote, escape).alias("_cells"))
     return cells.select(*keep, *[F.get("_cells", F.lit(i)).alias(c) for i, c in enumerate(names)])
 
 
-def _read_lines(spark: SparkSession, path: str, header: bool) -> DataFrame:
-    """Non-empty lines of all files, the first one of each file left out as header.
+def line_reader(reader, header: bool = True):
+    """A batch or stream reader whose ``csv`` gives the non-empty lines of all files as
+    ``line``, the first line of each file left out as header.
 
     Plain files stay splittable; ``.gz`` and ``.gzip`` files are read whole by one task.
     """
     return (
-        spark.read.schema("line string")
+        reader.schema("line string")
         .option("header", header)
         .option("enforceSchema", True)
         .option("sep", _NO_SEPARATOR)
         .option("quote", "")
         .option("maxCharsPerColumn", -1)
         .option("lineSep", "\n")
-        .csv(path)
     )
 
 
@@ -76,7 +75,7 @@ def read_header(
     spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', escape: str = "\\"
 ) -> list[str]:
     """The cells of the header line, as written."""
-    first = _read_lines(spark, path, header=False).limit(1)
+    first = line_reader(spark.read, header=False).csv(path).limit(1)
     rows = first.select(split_line(F.col("line"), delimiter, quote, escape)).collect()
     if not rows:
         raise ValueError("CSV file is empty or has no header")
@@ -110,10 +109,9 @@ def read_csv(
         raise IndexError(f"column positions outside the file: {outside}")
     names = normalize_headers([raw[i] for i in positions])
     if quote_style == "both":
-        lines = _read_lines(spark, path, header=True)
-        lines = lines.withColumn("line", F.rtrim(F.col("line"), F.lit("\r")))
-        cells = lines.select(split_line(F.col("line"), delimiter, quote, escape).alias("_cells"))
-        return cells.select(*[F.get("_cells", F.lit(i)).alias(c) for i, c in zip(positions, names)])
+        lines = line_reader(spark.read).csv(path)
+        every = parse_lines(lines, "line", [f"c{i}" for i in range(len(raw))], delimiter, quote, escape)
+        return every.select(*[F.col(f"c{i}").alias(n) for i, n in zip(positions, names)])
     every = [f"c{i}" for i in range(len(raw))]
     df = (
         spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in every]))
