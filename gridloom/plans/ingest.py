@@ -8,6 +8,7 @@ from gridloom.functions.names import normalize_headers
 from gridloom.operators import changes as C
 from gridloom.operators import ingest as I
 from gridloom.plans.registry import plan, table
+from gridloom.sources.arrow import from_ipc, to_ipc
 from gridloom.sources.csv import csv_lines, parse_lines
 
 
@@ -58,6 +59,12 @@ def _(spark, sf):
     return csv_lines(pages, keep=["page_id"])
 
 
+@plan("arrow_export", "SELECT * FROM lineitem")
+def _(spark, sf):
+    lineitem = table(spark, sf, "lineitem")
+    return from_ipc(to_ipc(lineitem), lineitem.schema)
+
+
 @plan(
     "csv_header_normalize",
     """SELECT c_custkey AS "Cust_Key", c_name AS column_2, c_nationkey AS "Nation__no__",
