@@ -88,18 +88,18 @@ def parse_cell(cell: Column, type_name: str) -> Column:
     return parse_value(normalize_cell(cell), parse_type(type_name))
 
 
-def reject_reason(cell: Column, type_name: str) -> Column:
-    """Why a table column of this type refuses the cell; NULL when it fits.
+def reject_reason(text: Column, value: Column, type_name: str) -> Column:
+    """Why a table column of this type refuses clean ``text`` that parsed to ``value``;
+    NULL when it fits.
 
     An unknown boolean word is stored as NULL and refuses nothing.
     """
     column_type = parse_type(type_name)
-    text = normalize_cell(cell)
     if column_type.max_length is not None:
         return F.when(F.length(text) > column_type.max_length, F.lit("too long"))
     if isinstance(column_type.spark, (T.StringType, T.BooleanType)):
         return F.lit(None).cast("string")
-    bad = text.isNotNull() & parse_value(text, column_type).isNull()
+    bad = text.isNotNull() & value.isNull()
     if isinstance(column_type.spark, T.IntegerType):
         in_long_range = parse_value(text, parse_type("BIGINT")).isNotNull()
         return F.when(bad & in_long_range, F.lit("out of range")).when(bad, F.lit("not parsed"))

@@ -196,16 +196,14 @@ def _row_state(changes: DataFrame, seq_run: int) -> DataFrame:
     Adds ``_deleted`` and ``_inserted`` (row state when the entry was made),
     ``_deleted_at_end``, ``_last_delete`` and ``_last_uninsert``. State is carried in two
     steps, over runs of sequence numbers and inside each run, so that no task holds all
-    entries of one row.
+    entries of one row. What a run starts with joins the log as an entry of its own.
     """
     op, seq = F.col("op"), F.col("seq")
-    deleted = F.when(op == "delete", True).when(op == "undelete", False)
-    inserted = F.when(op == "insert", True).when(op == "uninsert", False)
     log = changes.withColumns(
         {
-            "_run": F.floor(seq / seq_run),
-            "_del_mark": deleted,
-            "_ins_mark": inserted,
+            "_run": F.expr(f"seq div {seq_run}"),
+            "_del_mark": F.when(op == "delete", True).when(op == "undelete", False),
+            "_ins_mark": F.when(op == "insert", True).when(op == "uninsert", False),
         }
     )
 
@@ -221,31 +219,41 @@ def _row_state(changes: DataFrame, seq_run: int) -> DataFrame:
     by_run = Window.partitionBy("row_id").orderBy("_run")
     earlier_runs = by_run.rowsBetween(Window.unboundedPreceding, -1)
     all_runs = by_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = runs.select(
+    no = F.lit(False)
+    at_end = F.last("_run_del", ignorenulls=True).over(all_runs)
+    carried = runs.select(
         "row_id",
         "_run",
-        F.last("_run_del", ignorenulls=True).over(earlier_runs).alias("_del_in"),
-        F.last("_run_ins", ignorenulls=True).over(earlier_runs).alias("_ins_in"),
-        F.last("_run_del", ignorenulls=True).over(all_runs).alias("_deleted_at_end"),
-        F.max("_run_last_delete").over(all_runs).alias("_last_delete"),
-        F.max("_run_last_uninsert").over(all_runs).alias("_last_uninsert"),
-    )
-    earlier = (
-        Window.partitionBy("row_id", "_run")
-        .orderBy("seq")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        F.last("_run_del", ignorenulls=True).over(earlier_runs).alias("_del_mark"),
+        F.last("_run_ins", ignorenulls=True).over(earlier_runs).alias("_ins_mark"),
+        F.struct(
+            F.coalesce(at_end, no).alias("deleted_at_end"),
+            F.max("_run_last_delete").over(all_runs).alias("last_delete"),
+            F.max("_run_last_uninsert").over(all_runs).alias("last_uninsert"),
+        ).alias("_row"),
     )
-    no = F.lit(False)
+    # The carried entry has no seq and sorts first in its run.
+    entries = log.unionByName(carried, allowMissingColumns=True)
+    in_run = Window.partitionBy("row_id", "_run").orderBy(seq.asc_nulls_first())
+    earlier = in_run.rowsBetween(Window.unboundedPreceding, -1)
 
-    def state(mark: str, carried: str) -> Column:
-        return F.coalesce(F.last(mark, ignorenulls=True).over(earlier), F.col(carried), no)
+    def state(mark: str) -> Column:
+        return F.coalesce(F.last(mark, ignorenulls=True).over(earlier), no)
 
-    return log.join(runs, ["row_id", "_run"]).withColumns(
-        {
-            "_deleted": state("_del_mark", "_del_in"),
-            "_inserted": state("_ins_mark", "_ins_in"),
-            "_deleted_at_end": F.coalesce("_deleted_at_end", no),
-        }
+    row = F.first("_row").over(in_run.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        entries.withColumns(
+            {"_deleted": state("_del_mark"), "_inserted": state("_ins_mark"), "_row": row}
+        )
+        .where(seq.isNotNull())
+        .select(
+            *changes.columns,
+            "_deleted",
+            "_inserted",
+            F.col("_row.deleted_at_end").alias("_deleted_at_end"),
+            F.col("_row.last_delete").alias("_last_delete"),
+            F.col("_row.last_uninsert").alias("_last_uninsert"),
+        )
     )
 
 

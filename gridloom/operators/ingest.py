@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from gridloom.functions.cells import normalize_cell, parse_cell, reject_reason, type_predicates
+from gridloom.functions.cells import (
+    normalize_cell,
+    parse_cell,
+    parse_value,
+    reject_reason,
+    type_predicates,
+)
 from gridloom.functions.types import parse_type
 
 # Fixed value: refused rows a load may skip before it fails.
@@ -22,16 +28,23 @@ def select_by_index(df: DataFrame, indices: list[int]) -> DataFrame:
 
 
 def normalize_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    chosen = set(columns or df.columns)
+    chosen = set(df.columns if columns is None else columns)
     return df.select(
         *[normalize_cell(F.col(c)).alias(c) if c in chosen else F.col(c) for c in df.columns]
     )
 
 
 def parse_typed(df: DataFrame, types: Types) -> DataFrame:
-    """Parse the text columns named in ``types``; cells that do not parse become NULL."""
-    return df.select(
-        *[parse_cell(F.col(c), types[c]).alias(c) if c in types else F.col(c) for c in df.columns]
+    """Parse the text columns named in ``types``; cells that do not parse become NULL.
+
+    Clean-up is a projection of its own, so each cell is cleaned once.
+    """
+    clean = normalize_cells(df, list(types))
+    return clean.select(
+        *[
+            parse_value(F.col(c), parse_type(types[c])).alias(c) if c in types else F.col(c)
+            for c in df.columns
+        ]
     )
 
 
@@ -44,9 +57,10 @@ def infer_types(
     reference default of TEXT for every column; False gives the narrowest type.
     """
     columns = columns or df.columns
+    clean = normalize_cells(df.select(*columns))
     tests = []
     for i, name in enumerate(columns):
-        text = normalize_cell(F.col(name))
+        text = F.col(name)
         verdict = F.when(F.count(text) == 0, "TEXT")
         if not conservative:
             for type_name, fits in type_predicates(text):
@@ -57,7 +71,7 @@ def infer_types(
             verdict.otherwise("TEXT").alias("type"),
         )
         tests.append(row.alias(f"_{i}"))
-    verdicts = df.agg(*tests)
+    verdicts = clean.agg(*tests)
     return verdicts.select(F.inline(F.array(*[f"_{i}" for i in range(len(columns))])))
 
 
@@ -73,39 +87,46 @@ def drop_empty_rows(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return df.dropna(how="all", subset=columns or df.columns)
 
 
-def _first_reject(types: Types) -> Column:
-    """A struct for the first refused cell of a row, NULL when the table takes the row."""
-    cells = []
+def judge_rows(df: DataFrame, types: Types) -> DataFrame:
+    """Raw text rows with ``_typed`` (struct of parsed cells), ``_reject`` (struct for the
+    first refused cell, NULL when the table takes the row) and ``_empty``.
+
+    Cells are cleaned, then parsed, then judged, each step once.
+    """
+    clean = df.withColumn(
+        "_text", F.struct(*[normalize_cell(F.col(c)).alias(c) for c in types])
+    )
+    parsed = clean.withColumn(
+        "_typed",
+        F.struct(
+            *[parse_value(F.col("_text")[c], parse_type(t)).alias(c) for c, t in types.items()]
+        ),
+    )
+    rejects, no_value = [], F.lit(True)
     for name, type_name in types.items():
-        reason = reject_reason(F.col(name), type_name)
+        text, value = F.col("_text")[name], F.col("_typed")[name]
+        reason = reject_reason(text, value, type_name)
         cell = F.struct(
             F.lit(name).alias("column"),
             F.col(name).alias("raw_value"),
             F.lit(parse_type(type_name).name).alias("target_type"),
             reason.alias("reason"),
         )
-        cells.append(F.when(reason.isNotNull(), cell))
-    return F.coalesce(*cells)
-
-
-def _no_value(types: Types) -> Column:
-    result = F.lit(True)
-    for name, type_name in types.items():
-        result = result & parse_cell(F.col(name), type_name).isNull()
-    return result
-
-
-def judge_rows(df: DataFrame, types: Types) -> DataFrame:
-    """Add ``_reject`` (struct or NULL) and ``_empty`` to raw text rows."""
-    reject = _first_reject(types)
-    return df.withColumn("_reject", reject).withColumn(
-        "_empty", F.col("_reject").isNull() & _no_value(types)
-    )
+        rejects.append(F.when(reason.isNotNull(), cell))
+        no_value = no_value & value.isNull()
+    judged = parsed.withColumn("_reject", F.coalesce(*rejects))
+    return judged.withColumn("_empty", F.col("_reject").isNull() & no_value).drop("_text")
 
 
 def good_rows(judged: DataFrame, types: Types) -> DataFrame:
     kept = judged.where(F.col("_reject").isNull() & ~F.col("_empty"))
-    return parse_typed(kept.drop("_reject", "_empty"), types)
+    return kept.select(
+        *[
+            F.col("_typed")[c].alias(c) if c in types else F.col(c)
+            for c in judged.columns
+            if c not in ("_typed", "_reject", "_empty")
+        ]
+    )
 
 
 def reject_rows(judged: DataFrame, types: Types, source: Column | None = None) -> DataFrame:

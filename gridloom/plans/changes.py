@@ -80,8 +80,8 @@ def orders_log(spark, sf) -> DataFrame:
             f"'old_value', CAST({old} AS STRING), 'new_value', CAST({new} AS STRING))"
         )
         entries.append(f"CASE WHEN {condition} THEN {entry} END")
-    steps = F.array_compact(F.array(*[F.expr(e) for e in entries]))
-    return table(spark, sf, "orders").select(F.inline(steps))
+    steps = F.array(*[F.expr(e) for e in entries])
+    return table(spark, sf, "orders").select(F.inline(steps)).where(F.col("seq").isNotNull())
 
 
 ORDERS_LOG_SQL = " UNION ALL ".join(

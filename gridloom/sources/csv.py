@@ -30,7 +30,10 @@ def split_line(
 
     def unquote(raw: Column) -> Column:
         body = raw.substr(F.lit(2), F.length(raw) - 2)
-        text = F.regexp_replace(body, rf"{e}([{q}{e}])|({q}){q}", "$1$2")
+        # Most cells hold no escape; a plain replacement serves them faster.
+        doubled = F.replace(body, F.lit(quote * 2), F.lit(quote))
+        either = F.regexp_replace(body, rf"{e}([{q}{e}])|({q}){q}", "$1$2")
+        text = F.when(F.contains(raw, F.lit(escape)), either).otherwise(doubled)
         is_quoted = raw.startswith(quote) & raw.endswith(quote) & (F.length(raw) > 1)
         return F.when(is_quoted, text).otherwise(raw)
 

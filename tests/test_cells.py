@@ -78,7 +78,9 @@ def test_reject_reason(spark):
     ]
     for raw, type_text, expected in cases:
         df = spark.createDataFrame([(raw,)], "v string")
-        got = df.select(cells.reject_reason(F.col("v"), type_text)).first()[0]
+        text = cells.normalize_cell(F.col("v"))
+        value = cells.parse_value(text, parse_type(type_text))
+        got = df.select(cells.reject_reason(text, value, type_text)).first()[0]
         assert got == expected, (raw, type_text)
 
 
