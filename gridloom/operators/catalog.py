@@ -64,14 +64,14 @@ def by_recent_touch(tables: DataFrame) -> DataFrame:
 def parents_with_children(
     parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, **skew
 ) -> DataFrame:
-    """Each parent with each of its children, once; a parent without any keeps one row
-    with NULL child columns. Parents hold one row per key, children any number.
+    """Each parent with each of its children; a parent without any keeps one row with
+    NULL child columns. Parents hold one row per key, children any number.
 
     Written as an inner join driven by the children plus the childless parents, so that
     a parent with very many children can be spread over tasks.
     """
-    keyed = parents.distinct().withColumn("_key", F.col(parent_key))
-    rows = children.distinct().withColumn("_key", F.col(child_key))
+    keyed = parents.withColumn("_key", F.col(parent_key))
+    rows = children.withColumn("_key", F.col(child_key))
     matched = join_unique(rows, keyed, ["_key"], "inner", **skew)
     columns = [*parents.columns, *children.columns]
     used = children.select(F.col(child_key).alias("_key")).distinct()
@@ -83,7 +83,7 @@ def parents_with_children(
 
 
 def tables_with_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """Every table with its columns, one row per column, in id order per table."""
+    """Every table once per column, and once when it has none."""
     renamed = columns.withColumnsRenamed(
         {c: f"column_{c}" for c in columns.columns if c not in ("tbl_id", "col_label", "col_link")}
     )
@@ -98,7 +98,7 @@ def physical_types(df: DataFrame) -> DataFrame:
 
 def columns_with_types(columns: DataFrame, types: DataFrame) -> DataFrame:
     """Catalog columns with the type their physical column has, NULL when it is gone."""
-    return columns.join(types, "col_link", "left").select(*columns.columns, "type")
+    return join_unique(columns, types, ["col_link"], "left").select(*columns.columns, "type")
 
 
 def find_across_schemas(schemas: dict[str, DataFrame], id_col: str = "id") -> DataFrame:

@@ -24,6 +24,7 @@ from gridloom.operators.paging import (
     total_order,
 )
 from gridloom.operators.query import filter_model
+from gridloom.operators.skew import broadcast_if_small
 from gridloom.session import checkpointed
 
 CHANGE_SCHEMA = T.StructType(
@@ -119,7 +120,7 @@ def missing_updates(base: DataFrame, updates: DataFrame, id_col: str = ID_COLUMN
 
 def delete_rows(base: DataFrame, ids: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """``base`` without the given ids; ids it does not hold are no error."""
-    return base.join(ids.select(id_col), id_col, "left_anti")
+    return base.join(ids.select(id_col).distinct(), id_col, "left_anti")
 
 
 def upsert(base: DataFrame, source: DataFrame, key: str) -> DataFrame:
@@ -144,7 +145,7 @@ def replace_rows(base: DataFrame, rows: DataFrame, id_col: str = ID_COLUMN) -> D
 
 def insert_if_absent(base: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """Add only rows whose key is not there yet."""
-    return base.unionByName(source.join(base.select(key), key, "left_anti"))
+    return base.unionByName(source.join(base.select(key).distinct(), key, "left_anti"))
 
 
 def coerce_by_name(df: DataFrame) -> DataFrame:
@@ -394,15 +395,26 @@ def _packed(rows: DataFrame, key: str, extra: list[str]) -> DataFrame:
     return rows.select(key, *extra, F.struct(*names).alias("_c"))
 
 
-def overlay_updates(
-    base: DataFrame, net: DataFrame, id_col: str = ID_COLUMN, keep_state: bool = False
-) -> DataFrame:
-    """Stored rows with pending cell updates laid over them.
+def stored_net_rows(net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
+    """``net_rows`` written to the checkpoint folder, for plans that use them twice.
 
-    With ``keep_state`` a ``row_state`` column tells updated and deleted rows apart;
-    deleted rows stay visible and show their stored values.
+    Edits are few beside the table, so a small set is broadcast and the table itself is
+    not shuffled.
     """
-    stored_changes = _keyed_by_id(net_rows(net, base, id_col), base, id_col)
+    return broadcast_if_small(checkpointed(net_rows(net, base, id_col)))
+
+
+def overlay_updates(base: DataFrame, net: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
+    """Stored rows with pending cell updates laid over them."""
+    return _overlaid(base, net_rows(net, base, id_col), id_col)
+
+
+def _overlaid(
+    base: DataFrame, changed: DataFrame, id_col: str, keep_state: bool = False
+) -> DataFrame:
+    """With ``keep_state`` a ``row_state`` column tells updated and deleted rows apart;
+    deleted rows stay visible and show their stored values."""
+    stored_changes = _keyed_by_id(changed, base, id_col)
     rows = base.join(_packed(stored_changes, id_col, ["_op"]), id_col, "left")
     columns = []
     for name in base.columns:
@@ -420,18 +432,14 @@ def overlay_updates(
     return rows.select(*columns)
 
 
-def pending_inserts(
-    net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN, with_deleted: bool = True
-) -> DataFrame:
-    """New rows of net changes in the table's columns, the temporary id as text,
-    plus ``_seq`` for their order."""
-    rows = _packed(
-        net_rows(net, base, id_col).where(
-            F.col("_new_row") if with_deleted else F.col("_op") == "insert"
-        ),
-        "row_id",
-        ["_op", "_seq"],
-    )
+def pending_inserts(net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
+    """New rows of net changes in the table's columns, the temporary id as text, plus
+    ``_seq`` for their order and ``_op``, delete for those marked for deletion."""
+    return _new_rows(net_rows(net, base, id_col), base, id_col)
+
+
+def _new_rows(changed: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
+    rows = _packed(changed.where(F.col("_new_row")), "row_id", ["_op", "_seq"])
     columns = [F.col("row_id").alias(id_col)]
     for name in base.columns:
         if name == id_col:
@@ -448,10 +456,11 @@ def pending_inserts(
 def overlay_preview(base: DataFrame, net: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """The table as an editor shows it: stored rows with updates, new rows, and a
     ``row_state`` of stored, updated, deleted or inserted. Ids are text."""
-    stored = overlay_updates(base, net, id_col, keep_state=True)
+    changed = stored_net_rows(net, base, id_col)
+    stored = _overlaid(base, changed, id_col, keep_state=True)
     stored = stored.withColumn(id_col, F.col(id_col).cast("string"))
     state = F.when(F.col("_op") == "delete", "deleted").otherwise("inserted")
-    new = pending_inserts(net, base, id_col).withColumn("row_state", state)
+    new = _new_rows(changed, base, id_col).withColumn("row_state", state)
     return stored.unionByName(new.drop("_op", "_seq"))
 
 
@@ -470,15 +479,16 @@ def overlay_page(
     Filter and sort read stored values, so the page is cut from the table first and only
     its rows meet the pending changes.
     """
-    pending = pending_inserts(net, base, id_col).drop("_op")
-    n_pending = net.where(F.col("op") == "insert").select("row_id").distinct().count()
+    changed = checkpointed(net_rows(net, base, id_col))
+    pending = _new_rows(changed, base, id_col).drop("_op")
+    n_pending = changed.where(F.col("_new_row")).count()
     out = base.columns
     table_start, table_end = max(0, start - n_pending), max(0, end - n_pending)
     stored = page(
         filter_model(base, filters or {}), sort, [id_col], table_start, table_end, **deep
     )
     numbers = stored.select(id_col, (F.col("_position") + n_pending).alias("_position"))
-    shown = overlay_updates(stored.select(*out), net, id_col).join(numbers, id_col)
+    shown = _overlaid(stored.select(*out), changed, id_col).join(numbers, id_col)
     shown = shown.withColumn(id_col, F.col(id_col).cast("string")).select(*out, "_position")
     if start >= n_pending:
         return shown
@@ -501,7 +511,7 @@ def apply_changes(
     table is read once and joined once. Cells listed by ``invalid_changes`` keep their
     stored value.
     """
-    rows = checkpointed(net_rows(compact_changes(changes, seq_run), base, id_col))
+    rows = stored_net_rows(compact_changes(changes, seq_run), base, id_col)
     by_id = _packed(_keyed_by_id(rows.where(~F.col("_new_row")), base, id_col), id_col, ["_op"])
     updated = F.coalesce(F.col("_op") == "update", F.lit(False))
     stored, new = [], []

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gridloom.functions.cells import parse_value, strip, timestamp_literal
-from gridloom.functions.names import check_identifier
+from gridloom.functions.names import LABEL, check_identifier
 from gridloom.functions.types import ColumnType, parse_type, type_name
 
 BASE_SCHEMA = T.StructType(
@@ -32,6 +33,21 @@ def check_deployment_type(value: str | None, default: str = "DESIGN_TIME") -> st
     return value
 
 
+def check_table_form(label: str | None, columns: dict[str, str]) -> dict[str, str]:
+    """Check the label and columns of a table about to be made; blank columns are left out."""
+    named = {c: t for c, t in columns.items() if c.strip()}
+    if label is None or not label.strip():
+        raise ValueError("Table name is required")
+    if not named:
+        raise ValueError("At least one column is required")
+    for text in (label, *named):
+        if not re.match(LABEL, text):
+            raise ValueError(f"only letters, digits and underscores are allowed: {text}")
+    for type_text in named.values():
+        parse_type(type_text)
+    return named
+
+
 def add_column(df: DataFrame, name: str, type_text: str) -> DataFrame:
     """Add a column that is NULL in the rows there are."""
     check_identifier(name)

@@ -161,12 +161,17 @@ def _counts() -> dict[str, Column]:
     }
 
 
-def load_report(judged: DataFrame, limit: int = SKIP_LIMIT) -> DataFrame:
-    """One row of counts, status and the first failure (in text order) of a load."""
+def load_report(
+    judged: DataFrame, limit: int = SKIP_LIMIT, by: list[str] | None = None
+) -> DataFrame:
+    """One row of counts, status and the first failure (in text order) of a load.
+
+    ``by`` names columns that tell several loads apart, giving one row for each.
+    """
     cell = F.col("_reject")
     line = F.concat_ws(": ", cell["column"], cell["reason"], cell["raw_value"])
     failure = F.min(F.when(cell.isNotNull(), line))
-    counts = judged.agg(
+    counts = judged.groupBy(*(by or [])).agg(
         *[c.alias(name) for name, c in _counts().items()], failure.alias("first_failure")
     )
     status = F.when(F.col("skip_count") > limit, "FAILED").otherwise("COMPLETED")

@@ -22,7 +22,7 @@ def distinct_ids(df: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
 
 def missing_ids(expected: DataFrame, copy: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """Expected ids the copy does not hold."""
-    return distinct_ids(expected, id_col).join(copy.select(id_col), id_col, "left_anti")
+    return distinct_ids(expected, id_col).join(distinct_ids(copy, id_col), id_col, "left_anti")
 
 
 def integrity_report(

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 # Below this estimated size even one key holding every row is a comfortable task set.
-SALT_FROM_BYTES = 32 << 30
+SALT_FROM_BYTES = 4 << 30
 ROWS_PER_TASK = 2_000_000
 # At most this many keys are salted, so the broadcast list stays small. A key left out
 # ranks behind all of them and holds under 1/10000 of the rows.
 MAX_HOT_KEYS = 10_000
 NULL_SALTS = 4_096
 
+# A side is broadcast only when it was measured to be below both.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
+
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; runs no job."""
@@ -58,3 +62,18 @@ def join_unique(
     salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     joined = salted_left.join(salted_right, [*on, "_salt"], how)
     return joined.drop("_salt")
+
+
+def broadcast_if_small(
+    stored: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Mark a checkpointed frame for broadcast when it really is small.
+
+    Estimates stop at the first join or aggregate, so the rows are counted, at most one
+    more than allowed, and their text size is added up. A larger frame is returned as it
+    is and joins by shuffle.
+    """
+    head = stored.limit(max_rows + 1)
+    width = F.length(F.to_json(F.struct(*stored.columns)))
+    rows, size = head.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(stored) if rows <= max_rows and size <= max_bytes else stored

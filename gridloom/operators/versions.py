@@ -88,7 +88,7 @@ def sync_columns(
     table's id and link; their own ``id`` is left NULL for ``assign_ids``.
     """
     gone = table_ids.select(F.col("target_id").alias("tbl_id"))
-    kept = target.join(gone, "tbl_id", "left_anti").select(*target.columns)
+    kept = join_unique(target, gone, ["tbl_id"], "left_anti").select(*target.columns)
     mapped = table_ids.withColumnRenamed("source_id", "tbl_id")
     replaced = {
         "id": F.lit(None).cast(target.schema["id"].dataType),
@@ -119,8 +119,8 @@ def rollback_tables(tables: DataFrame, backups: DataFrame) -> DataFrame:
 
 def rollback_columns(columns: DataFrame, backups: DataFrame, table_ids: DataFrame) -> DataFrame:
     """Column rows of the given tables ``(tbl_id)`` put back to their newest snapshot."""
-    kept = columns.join(table_ids, "tbl_id", "left_anti").select(*columns.columns)
-    chosen = backups.join(table_ids, "tbl_id", "left_semi")
+    kept = join_unique(columns, table_ids, ["tbl_id"], "left_anti").select(*columns.columns)
+    chosen = join_unique(backups, table_ids, ["tbl_id"], "left_semi")
     newest = chosen.groupBy("tbl_id").agg(F.max("backup_ts").alias("_since"))
     restored = _since(chosen, newest, ["tbl_id"], "backup_ts")
     return kept.unionByName(restored.select(*columns.columns))

@@ -33,8 +33,7 @@ def _(spark, sf):
         F.col("o_custkey").alias("tbl_id"),
         F.col("o_orderstatus").alias("col_label"),
     )
-    columns = columns.unionByName(columns).where(F.col("col_label") != "P")
-    return K.tables_with_columns(tables, columns)
+    return K.tables_with_columns(tables, columns.where(F.col("col_label") != "P"))
 
 
 @plan(

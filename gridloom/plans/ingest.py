@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from gridloom.functions.names import normalize_headers
 from gridloom.operators import changes as C
 from gridloom.operators import ingest as I
+from gridloom.operators.paging import page
+from gridloom.operators.query import filter_model
 from gridloom.plans.registry import plan, table
 from gridloom.sources.arrow import from_ipc, to_ipc
 from gridloom.sources.csv import csv_lines, parse_lines
@@ -335,6 +337,24 @@ def _(spark, sf):
     return I.load_report(I.judge_rows(_upload(spark, sf), _UPLOAD_TYPES))
 
 
+@plan(
+    "load_runs_page",
+    f"""WITH runs AS (
+            SELECT CASE WHEN count(bad) > 5 THEN 'FAILED' ELSE 'COMPLETED' END AS status, run,
+                   count(*) FILTER (WHERE NOT empty) AS read_count, count(bad) AS skip_count
+            FROM (SELECT *, trim(source) AS run FROM ({_JUDGED_SQL})) GROUP BY run)
+        SELECT *, row_number() OVER (ORDER BY skip_count DESC, run) - 1 AS _position
+        FROM runs WHERE status = 'FAILED'
+        ORDER BY _position LIMIT 10""",
+)
+def _(spark, sf):
+    judged = I.judge_rows(_upload(spark, sf), _UPLOAD_TYPES)
+    runs = I.load_report(judged.withColumn("run", F.trim("source")), limit=5, by=["run"])
+    failed = filter_model(runs, {"status": {"filterType": "text", "filter": "failed"}})
+    shown = failed.select("status", "run", "read_count", "skip_count")
+    return page(shown, [("skip_count", "desc")], ["run"], 0, 10)
+
+
 # --- row payloads ------------------------------------------------------------------
 
 

@@ -11,23 +11,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 # Rows of a partition's first batch and of the following ones.
 FIRST_BATCH = 10_000
 NEXT_BATCH = 50_000
+# Rows with long texts fill a batch earlier.
+BATCH_BYTES = 64 << 20
 
 _PAYLOAD = "part int, batch int, row_count long, payload binary"
 _FILES = "path string, part int, row_count long, batch_count long"
 
 
-def _rebatched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rebatched(
+    batches: Iterable[pa.RecordBatch], max_bytes: int = BATCH_BYTES
+) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of the export sizes; holds one output batch at a time."""
-    size, held, waiting = FIRST_BATCH, [], 0
+    size, held, rows, space = FIRST_BATCH, [], 0, max_bytes
     for batch in batches:
         while batch.num_rows:
-            take = min(size - waiting, batch.num_rows)
+            row_bytes = max(1, batch.nbytes // batch.num_rows)
+            take = min(size - rows, batch.num_rows, max(1, space // row_bytes))
             held.append(batch.slice(0, take))
-            waiting += take
+            rows, space = rows + take, space - take * row_bytes
             batch = batch.slice(take)
-            if waiting == size:
+            if rows == size or space < row_bytes:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                size, held, waiting = NEXT_BATCH, [], 0
+                size, held, rows, space = NEXT_BATCH, [], 0, max_bytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 

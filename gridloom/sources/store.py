@@ -261,6 +261,7 @@ class TableStore:
         self.root = root
         self.schemas = [check_identifier(s) for s in schemas]
         self.bucket_count = bucket_count
+        self._open: dict[str, tuple[int, DataFrame]] = {}
 
     # catalog
 
@@ -286,7 +287,7 @@ class TableStore:
             rows = frames[frame].select(
                 *[F.col(f.name).cast(f.dataType).alias(f.name) for f in frame_schema.fields]
             )
-            rows.coalesce(1).write.parquet(f"{folder.path}/_catalog/{name}/{frame}")
+            rows.write.parquet(f"{folder.path}/_catalog/{name}/{frame}")
         text = json.dumps({"folder": name})
         folder.create(f"_catalog/{version + 1}.json", text)
 
@@ -324,6 +325,30 @@ class TableStore:
     def scan(self, table_id: int, schema: str = K.DEFAULT_SCHEMA) -> DataFrame:
         return self.data(table_id, schema).read()
 
+    def open(
+        self, table_id: int, schema: str = K.DEFAULT_SCHEMA, refresh: bool = False
+    ) -> DataFrame:
+        """A cached copy of a table for repeated queries.
+
+        The copy is kept while the table's version stays the same; ``refresh`` drops it
+        first. It spills to executor disks, so it may be larger than memory.
+        """
+        data = self.data(table_id, schema)
+        version = data.manifest().version
+        known = self._open.get(data.path)
+        if known and known[0] == version and not refresh:
+            return known[1]
+        self.close(table_id, schema)
+        copy = data.read(version).persist()
+        self._open[data.path] = (version, copy)
+        return copy
+
+    def close(self, table_id: int, schema: str = K.DEFAULT_SCHEMA) -> None:
+        """Drop the cached copy of a table, if there is one."""
+        _, copy = self._open.pop(self.data(table_id, schema).path, (None, None))
+        if copy is not None:
+            copy.unpersist()
+
     # tables and columns
 
     def _catalog_row(self, schema_type: T.StructType, **values) -> DataFrame:

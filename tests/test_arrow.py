@@ -23,6 +23,13 @@ def test_batch_sizes():
     assert list(_rebatched([])) == []
 
 
+def test_long_rows_make_smaller_batches():
+    texts = [str(i) * 1_000 for i in range(10, 60)]
+    out = list(_rebatched([pa.RecordBatch.from_pydict({"t": texts})], max_bytes=10_000))
+    assert max(b.num_rows for b in out) < 10 and sum(b.num_rows for b in out) == 50
+    assert sum((b.column("t").to_pylist() for b in out), []) == texts
+
+
 def sample(spark):
     row = (1, True, Decimal("1.50"), 2.5, datetime.date(2024, 1, 2), datetime.datetime(2024, 1, 2, 3, 4, 5, 6), "x")
     schema = "id long, b boolean, d decimal(10,2), f double, day date, at timestamp_ntz, s string"

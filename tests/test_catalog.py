@@ -27,8 +27,8 @@ def test_catalog_order(spark):
 
 
 def test_parents_with_children(spark, rows):
-    parents = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id int, label string")
-    children = spark.createDataFrame([(10, 1), (11, 1), (11, 1), (12, 9)], "cid int, pid int")
+    parents = spark.createDataFrame([(1, "a"), (2, "b")], "id int, label string")
+    children = spark.createDataFrame([(10, 1), (11, 1), (12, 9)], "cid int, pid int")
     got = K.parents_with_children(parents, children, "id", "pid")
     assert rows(got) == [(1, "a", 10, 1), (1, "a", 11, 1), (2, "b", None, None)]
     salted = K.parents_with_children(
@@ -141,6 +141,11 @@ def test_evolution(spark, rows):
     assert rows(E.backfill_default(df, {"s": "z"}), "s") == [("5",), ("z",)]
     empty = E.empty_table(spark, {"name": "varchar(9)"})
     assert empty.columns == ["id", "add_usr", "add_ts", "upd_usr", "upd_ts", "name"]
+    assert E.check_table_form("T_1", {"a": "int", " ": "x"}) == {"a": "int"}
+    bad_forms = [(" ", {"a": "int"}), ("t", {}), ("t-1", {"a": "int"}), ("t", {"a b": "int"}), ("t", {"a": "blob"})]
+    for label, columns in bad_forms:
+        with pytest.raises(ValueError):
+            E.check_table_form(label, columns)
     assert E.check_deployment_type(None) == "DESIGN_TIME"
     with pytest.raises(ValueError):
         E.check_deployment_type("SOMETIME")

@@ -73,6 +73,19 @@ def test_versions_stay_readable(spark, store, people):
     assert sorted(r.id for r in data.read().collect()) == [4, 5, 6]
 
 
+def test_cached_copy(spark, store, people):
+    table_id, links = people
+    copy = store.open(table_id)
+    assert copy.is_cached and copy.count() == 5
+    assert store.open(table_id) is copy
+    assert store.open(table_id, refresh=True) is not copy
+    data = store.data(table_id)
+    data.replace(data.read().where("id > 3"))
+    assert store.open(table_id).count() == 2
+    store.close(table_id)
+    store.close(table_id)
+
+
 def test_second_writer_fails(store, people):
     data = store.data(people[0])
     manifest = data.manifest()
