@@ -70,10 +70,10 @@ def insert_rows(
     new: DataFrame,
     user: str,
     now: datetime.datetime,
-    order: list[Column],
+    order: list[Column] | None = None,
     id_col: str = ID_COLUMN,
 ) -> DataFrame:
-    """``base`` with ``new`` rows added under fresh ids, numbered in ``order``."""
+    """``base`` with ``new`` rows added under fresh ids, numbered in ``order`` if given."""
     unknown = set(new.columns) - set(base.columns)
     if unknown:
         raise ValueError(f"columns not in the table: {sorted(unknown)}")
@@ -241,7 +241,7 @@ def _row_state(changes: DataFrame, seq_run: int) -> DataFrame:
     def state(mark: str) -> Column:
         return F.coalesce(F.last(mark, ignorenulls=True).over(earlier), no)
 
-    row = F.first("_row").over(in_run.rowsBetween(Window.unboundedPreceding, 0))
+    row = F.first("_row").over(earlier)
     return (
         entries.withColumns(
             {"_deleted": state("_del_mark"), "_inserted": state("_ins_mark"), "_row": row}
@@ -373,10 +373,18 @@ def invalid_changes(net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN) ->
 
 
 def _keyed_by_id(rows: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
-    """Changed rows with ``row_id`` read as the table's id type; ids compare as text."""
-    row_id = F.col("row_id").try_cast(base.schema[id_col].dataType)
-    exact = row_id.cast("string") == F.col("row_id")
-    return rows.where(exact).withColumn("row_id", row_id).withColumnRenamed("row_id", id_col)
+    """Changed rows with ``row_id`` read as the table's id type; ids compare as text.
+
+    The pattern keeps temporary ids away from the cast, which is slow on what it refuses.
+    """
+    data_type, text = base.schema[id_col].dataType, F.col("row_id")
+    if isinstance(data_type, T.IntegralType):
+        row_id = F.when(text.rlike(r"^(0|-?[1-9][0-9]{0,18})$"), text.try_cast(data_type))
+    else:
+        value = text.try_cast(data_type)
+        row_id = F.when(value.cast("string") == text, value)
+    keyed = rows.withColumn("row_id", row_id).where(F.col("row_id").isNotNull())
+    return keyed.withColumnRenamed("row_id", id_col)
 
 
 def _new_cell(name: str, data_type: T.DataType) -> tuple[Column, Column]:

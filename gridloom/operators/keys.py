@@ -9,17 +9,23 @@ from gridloom.session import checkpointed
 _IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
-def with_positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+def with_positions(df: DataFrame, order: list[Column] | None, name: str) -> DataFrame:
     """Add the 0-based position of each row under ``order``.
 
     A window without partitions would put every row in one task. Here the rows are
     range-partitioned by the sort, written once to the checkpoint folder, and numbered
-    inside each partition; the only global step adds up one count per partition.
+    inside each partition; the only global step adds up one count per partition. Without
+    an order the rows are numbered where they are and nothing is shuffled.
+
+    A hash of the row ends the sort, so an order with many ties is still cut into even
+    ranges; give no order where very many rows may be exact copies of each other.
     """
+    if order is not None:
+        df = df.orderBy(*order, F.xxhash64(*df.columns))
     placed = checkpointed(
-        df.orderBy(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(_IN_PARTITION))
+        df.withColumn("_part", F.spark_partition_id()).withColumn(
+            "_at", F.monotonically_increasing_id().bitwiseAND(_IN_PARTITION)
+        )
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -41,7 +47,7 @@ def max_id(df: DataFrame, id_col: str) -> int:
 
 
 def assign_ids(
-    new: DataFrame, base: DataFrame, order: list[Column], id_col: str
+    new: DataFrame, base: DataFrame, order: list[Column] | None, id_col: str
 ) -> DataFrame:
     """Give ``new`` rows the ids following the largest one in ``base``."""
     first = max_id(base, id_col) + 1

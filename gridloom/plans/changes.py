@@ -31,67 +31,73 @@ def orders_grid(spark, sf) -> DataFrame:
     )
 
 
-def _steps():
-    """The editor's session: (condition, op, temporary row?, field, old, new) per order.
-
-    Finished orders are re-prioritised (urgent ones twice, back to where they were; low
-    ones to nothing) and re-priced. Pending ones are deleted; urgent ones among them come
-    back, one edit while deleted and one after. Open ones get a copy as a new row, some
-    edited, some withdrawn, some deleted again.
-    """
-    finished, pending, is_open = "o_orderstatus = 'F'", "o_orderstatus = 'P'", "o_orderstatus = 'O'"
-    urgent, low = "o_orderpriority = '1-URGENT'", "o_orderpriority = '5-LOW'"
-    medium, high = "o_orderpriority = '3-MEDIUM'", "o_orderpriority = '2-HIGH'"
-    unspecified = "o_orderpriority = '4-NOT SPECIFIED'"
-    prio, customer, none = "o_orderpriority", "CAST(o_custkey AS STRING)", "NULL"
-    return [
-        (f"{finished} AND NOT {low}", "update", False, prio, prio, "'CLOSED'"),
-        (f"{finished} AND {low}", "update", False, prio, prio, none),
-        (f"{finished} AND {urgent}", "update", False, prio, "'CLOSED'", prio),
-        (f"{finished} AND {high}", "update", False, "o_totalprice", "'?'", "'99.5'"),
-        (f"{finished} AND {medium}", "update", False, "o_totalprice", "'?'", "'a lot'"),
-        (f"{pending}", "update", False, "o_custkey", customer, "'7'"),
-        (f"{pending}", "delete", False, none, none, none),
-        (f"{pending} AND {urgent}", "update", False, "o_custkey", customer, "'8'"),
-        (f"{pending} AND {urgent}", "undelete", False, none, none, none),
-        (f"{pending} AND {urgent}", "update", False, prio, prio, "'REOPENED'"),
-        (f"{is_open}", "insert", True, none, none, none),
-        (f"{is_open}", "update", True, "o_custkey", none, customer),
-        (f"{is_open} AND {medium}", "update", True, "o_custkey", customer, "'9'"),
-        (f"{is_open}", "update", True, "o_orderstatus", none, "'N'"),
-        (f"{is_open} AND {unspecified}", "uninsert", True, none, none, none),
-        (f"{is_open} AND {high}", "delete", True, none, none, none),
-    ]
-
-
-_ROW_ID = {False: "CAST(o_orderkey AS STRING)", True: "concat('temp_', CAST(o_orderkey AS STRING))"}
-
-
-def _field(name: str) -> str:
-    return "NULL" if name == "NULL" else f"'{name}'"
+# The editor's session, step by step: which orders it touches (status, only or all but one
+# priority), the operation, on the row itself or on a new one, the field, old and new value.
+# Finished orders are re-prioritised (urgent ones twice, back to where they were; low ones
+# to nothing) and re-priced. Pending ones are deleted; urgent ones among them come back, one
+# edit while deleted and one after. Open ones get a copy as a new row, some edited, some
+# withdrawn, some deleted again. "@" stands for a value of the order.
+_STEP_NAMES = "step status only_prio not_prio op prefix field old_value new_value".split()
+_STEPS = [
+    ("F", None, "5-LOW", "update", "", "o_orderpriority", "@priority", "CLOSED"),
+    ("F", "5-LOW", None, "update", "", "o_orderpriority", "@priority", None),
+    ("F", "1-URGENT", None, "update", "", "o_orderpriority", "CLOSED", "@priority"),
+    ("F", "2-HIGH", None, "update", "", "o_totalprice", "?", "99.5"),
+    ("F", "3-MEDIUM", None, "update", "", "o_totalprice", "?", "a lot"),
+    ("P", None, None, "update", "", "o_custkey", "@customer", "7"),
+    ("P", None, None, "delete", "", None, None, None),
+    ("P", "1-URGENT", None, "update", "", "o_custkey", "@customer", "8"),
+    ("P", "1-URGENT", None, "undelete", "", None, None, None),
+    ("P", "1-URGENT", None, "update", "", "o_orderpriority", "@priority", "REOPENED"),
+    ("O", None, None, "insert", "temp_", None, None, None),
+    ("O", None, None, "update", "temp_", "o_custkey", None, "@customer"),
+    ("O", "3-MEDIUM", None, "update", "temp_", "o_custkey", "@customer", "9"),
+    ("O", None, None, "update", "temp_", "o_orderstatus", None, "N"),
+    ("O", "4-NOT SPECIFIED", None, "uninsert", "temp_", None, None, None),
+    ("O", "2-HIGH", None, "delete", "temp_", None, None, None),
+]
+_NUMBERED_STEPS = [(k, *step) for k, step in enumerate(_STEPS)]
+
+
+def _value(name: str) -> str:
+    return (
+        f"CASE {name} WHEN '@priority' THEN o_orderpriority "
+        f"WHEN '@customer' THEN CAST(o_custkey AS VARCHAR(20)) ELSE {name} END AS {name}"
+    )
 
 
-def orders_log(spark, sf) -> DataFrame:
-    entries = []
-    for k, (condition, op, temporary, field, old, new) in enumerate(_steps()):
-        entry = (
-            f"named_struct('seq', o_orderkey * 100 + {k}, 'op', '{op}', "
-            f"'row_id', {_ROW_ID[temporary]}, 'field', CAST({_field(field)} AS STRING), "
-            f"'old_value', CAST({old} AS STRING), 'new_value', CAST({new} AS STRING))"
-        )
-        entries.append(f"CASE WHEN {condition} THEN {entry} END")
-    steps = F.array(*[F.expr(e) for e in entries])
-    return table(spark, sf, "orders").select(F.inline(steps)).where(F.col("seq").isNotNull())
-
-
-ORDERS_LOG_SQL = " UNION ALL ".join(
-    f"""SELECT o_orderkey * 100 + {k} AS seq, '{op}' AS op, {_ROW_ID[temporary]} AS row_id,
-               CAST({_field(field)} AS VARCHAR) AS field, CAST({old} AS VARCHAR) AS old_value,
-               CAST({new} AS VARCHAR) AS new_value
-        FROM orders WHERE {condition}"""
-    for k, (condition, op, temporary, field, old, new) in enumerate(_steps())
+_LOG_COLUMNS = [
+    "o_orderkey * 100 + step AS seq",
+    "op",
+    "concat(prefix, CAST(o_orderkey AS VARCHAR(20))) AS row_id",
+    "field",
+    _value("old_value"),
+    _value("new_value"),
+]
+_LOG_FILTER = (
+    "(only_prio IS NULL OR only_prio = o_orderpriority) "
+    "AND (not_prio IS NULL OR not_prio <> o_orderpriority)"
 )
 
+
+def orders_log(spark, sf) -> DataFrame:
+    schema = "step bigint, " + ", ".join(f"{n} string" for n in _STEP_NAMES[1:])
+    steps = F.broadcast(spark.createDataFrame(_NUMBERED_STEPS, schema))  # 16 rows
+    orders = table(spark, sf, "orders").withColumn("status", F.col("o_orderstatus"))
+    return orders.join(steps, "status").where(_LOG_FILTER).selectExpr(*_LOG_COLUMNS)
+
+
+def _sql_row(values: tuple) -> str:
+    cells = ("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in values)
+    return f"({', '.join(cells)})"
+
+
+ORDERS_LOG_SQL = f"""
+    SELECT {', '.join(_LOG_COLUMNS)}
+    FROM orders JOIN (VALUES {', '.join(map(_sql_row, _NUMBERED_STEPS))})
+        AS steps({', '.join(_STEP_NAMES)}) ON status = o_orderstatus
+    WHERE {_LOG_FILTER}"""
+
 # Events as an edit log: users are rows, event types are fields or row operations. Values
 # are coarse, so cells often return to where they started.
 _EVENTS_LOG_SQL = """

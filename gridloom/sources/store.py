@@ -164,7 +164,7 @@ class TableData:
     def insert(
         self,
         rows: DataFrame,
-        order: list[Column],
+        order: list[Column] | None,
         user: str,
         now: datetime.datetime,
         stream: tuple[str, int] | None = None,

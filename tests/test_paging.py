@@ -87,6 +87,11 @@ def test_positions_are_consecutive(hot):
     assert [r.id for r in got] == expected(hot, [("lead", "desc")])
 
 
+def test_positions_without_order(hot):
+    got = with_positions(hot, None, "p").select("p").collect()
+    assert sorted(r.p for r in got) == list(range(3000))
+
+
 def test_ids_follow_the_largest(spark):
     base = spark.createDataFrame([(7,), (3,)], "id long")
     new = spark.createDataFrame([("b",), ("a",)], "v string")
