@@ -51,7 +51,8 @@ def parse_typed(df: DataFrame, types: Types) -> DataFrame:
 def infer_types(
     df: DataFrame, columns: list[str] | None = None, conservative: bool = True
 ) -> DataFrame:
-    """One row ``(position, column, type)`` per text column, from all rows in one pass.
+    """One row ``(position, column, type, value_count)`` per text column, from all rows in
+    one pass; ``value_count`` is the number of non-empty cells.
 
     A type holds when every non-empty cell reads as it. ``conservative`` keeps the
     reference default of TEXT for every column; False gives the narrowest type.
@@ -69,6 +70,7 @@ def infer_types(
             F.lit(i).alias("position"),
             F.lit(name).alias("column"),
             verdict.otherwise("TEXT").alias("type"),
+            F.count(text).alias("value_count"),
         )
         tests.append(row.alias(f"_{i}"))
     verdicts = clean.agg(*tests)

@@ -67,6 +67,16 @@ def is_before(
     return result
 
 
+def _lead_from(df: DataFrame, sort: SortModel, last: Row | tuple) -> Column:
+    """A plain bound on the first sort column that every later row meets."""
+    name, direction = sort[0]
+    column = F.col(name)
+    if last[0] is None:
+        return column.isNull()
+    at = _literal(df, name, last[0])
+    return (column >= at if _ascending(direction) else column <= at) | column.isNull()
+
+
 def _lead_range(df: DataFrame, sort: SortModel, low: Row | None, high: Row | None) -> Column:
     """A plain range on the first sort column, which file sources can use to skip data."""
     name, direction = sort[0]
@@ -157,5 +167,6 @@ def page_after(
     """The next ``rows`` rows after ``last``, the sort values of the row seen last."""
     ordered = total_order(sort, tie_break)
     if last is not None:
-        df = df.where(~is_before(df, ordered, last, inclusive=True))
+        later = ~is_before(df, ordered, last, inclusive=True)
+        df = df.where(_lead_from(df, ordered, last) & later)
     return df.orderBy(*order_columns(ordered)).limit(rows)

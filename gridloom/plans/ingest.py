@@ -182,7 +182,7 @@ def _infer_sql(source: str, columns: list[str]) -> str:
                 WHEN bool_and(regexp_full_match({v},
                     '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}([.][0-9]{{1,9}})?)?{offset}'))
                     THEN 'TIMESTAMP'
-                ELSE 'TEXT' END AS "type" FROM ({source})"""
+                ELSE 'TEXT' END AS "type", count({v}) AS value_count FROM ({source})"""
         )
     return " UNION ALL ".join(parts)
 
@@ -217,7 +217,7 @@ def _(spark, sf):
     "infer_types_text",
     " UNION ALL ".join(
         f"""SELECT {i} AS position, '{c}' AS "column",
-            CASE WHEN count({c}) >= 0 THEN 'TEXT' END AS "type" FROM customer"""
+            'TEXT' AS "type", count({c}) AS value_count FROM customer"""
         for i, c in enumerate(["c_custkey", "c_name", "c_acctbal"])
     ),
 )
