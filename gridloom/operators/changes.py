@@ -184,8 +184,8 @@ def coercion_rejects(df: DataFrame, keep: list[str]) -> DataFrame:
             F.lit(target).alias("target_type"),
         )
         cells.append(F.when(bad, cell))
-    rejected = F.explode(F.array_compact(F.array(*cells))).alias("_cell")
-    return df.select(*keep, rejected).select(*keep, "_cell.*")
+    cell = df.select(*keep, F.explode(F.array(*cells)).alias("_cell"))
+    return cell.where(F.col("_cell").isNotNull()).select(*keep, "_cell.*")
 
 
 # --- change logs -------------------------------------------------------------------

@@ -120,24 +120,28 @@ def judge_rows(df: DataFrame, types: Types) -> DataFrame:
     return judged.withColumn("_empty", F.col("_reject").isNull() & no_value).drop("_text")
 
 
+def _only(condition: Column, row: Column) -> Column:
+    """A generator giving ``row`` as columns where ``condition`` holds and nothing else.
+
+    A filter would be pushed below the parsing and bring a second copy of it along.
+    """
+    return F.inline(F.when(condition, F.array(row)))
+
+
 def good_rows(judged: DataFrame, types: Types) -> DataFrame:
-    kept = judged.where(F.col("_reject").isNull() & ~F.col("_empty"))
-    return kept.select(
-        *[
-            F.col("_typed")[c].alias(c) if c in types else F.col(c)
-            for c in judged.columns
-            if c not in ("_typed", "_reject", "_empty")
-        ]
-    )
+    """Typed rows the table takes, in the column order of the input."""
+    others = [c for c in judged.columns if c not in (*types, "_typed", "_reject", "_empty")]
+    accepted = F.col("_reject").isNull() & ~F.col("_empty")
+    order = [c for c in judged.columns if c in types or c in others]
+    return judged.select(*others, _only(accepted, F.col("_typed"))).select(*order)
 
 
 def reject_rows(judged: DataFrame, types: Types, source: Column | None = None) -> DataFrame:
     """Refused rows as ``(source, raw, column, raw_value, target_type, reason)``."""
-    refused = judged.where(F.col("_reject").isNotNull())
-    return refused.select(
+    return judged.select(
         (source if source is not None else F.lit(None).cast("string")).alias("source"),
         F.to_csv(F.struct(*types)).alias("raw"),
-        "_reject.*",
+        _only(F.col("_reject").isNotNull(), F.col("_reject")),
     )
 
 

@@ -80,8 +80,8 @@ def violations(df: DataFrame, keep: list[str], rules: dict[str, Column]) -> Data
     broken = [
         F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()
     ]
-    rule = F.explode(F.array_compact(F.array(*broken))).alias("rule")
-    return df.select(*keep, rule)
+    rules_broken = df.select(*keep, F.explode(F.array(*broken)).alias("rule"))
+    return rules_broken.where(F.col("rule").isNotNull())
 
 
 def in_domain(column: Column, values: list) -> Column:
