@@ -330,30 +330,29 @@ def _typed(text: Column, data_type: T.DataType) -> Column:
     return parse_value(strip(text), type_of(data_type))
 
 
-def net_rows(net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
-    """Net changes pivoted to one row per changed row.
+def net_rows(net: DataFrame) -> DataFrame:
+    """Net changes with one row per changed row.
 
-    Columns: ``row_id``, ``_op`` (insert, update, delete), ``_seq`` and one struct
-    ``{new_value}`` per table column, NULL where the column is not changed. The struct
-    tells "set to NULL" from "not set". An inserted row marked for deletion keeps the
-    delete.
+    Columns: ``row_id``, ``_op`` (insert, update, delete), ``_new_row``, ``_seq`` and
+    ``_cells``, a map from field to a struct of its new value; the struct tells "set to
+    NULL" from "not set". A map holds at most one entry per table column. An inserted row
+    marked for deletion keeps the delete.
     """
-    fields = [c for c in base.columns if c != id_col and c not in AUDIT_COLUMNS]
-    is_cell = F.col("op") != "delete"
-    cells = [
-        F.max(F.when(is_cell & (F.col("field") == name), F.struct("new_value"))).alias(name)
-        for name in fields
-    ]
-    op = (
-        F.when(F.bool_or(F.col("op") == "delete"), "delete")
-        .when(F.bool_or(F.col("op") == "insert"), "insert")
-        .otherwise("update")
+    op, field = F.col("op"), F.col("field")
+    entry = F.struct("field", F.struct("new_value").alias("cell"))
+
+    def cells(kind: str) -> Column:
+        return F.map_from_entries(F.collect_list(F.when((op == kind) & field.isNotNull(), entry)))
+
+    new_row = F.bool_or(op == "insert")
+    row_op = (
+        F.when(F.bool_or(op == "delete"), "delete").when(new_row, "insert").otherwise("update")
     )
     return net.groupBy("row_id").agg(
-        op.alias("_op"),
-        F.bool_or(F.col("op") == "insert").alias("_new_row"),
+        row_op.alias("_op"),
+        new_row.alias("_new_row"),
         F.min("seq").alias("_seq"),
-        *cells,
+        F.when(new_row, cells("insert")).otherwise(cells("update")).alias("_cells"),
     )
 
 
@@ -389,32 +388,26 @@ def _keyed_by_id(rows: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
 
 def _new_cell(name: str, data_type: T.DataType) -> tuple[Column, Column]:
     """(changed and valid, new value) of one column of a net row."""
-    raw = F.col(f"_c.{name}.new_value")
-    value = _typed(raw, data_type)
-    given = F.col(f"_c.{name}").isNotNull()
+    cell = F.col("_cells")[name]
+    raw = cell["new_value"]
+    value, given = _typed(raw, data_type), cell.isNotNull()
     if not isinstance(data_type, (T.StringType, T.BooleanType)):
         given = given & (raw.isNull() | value.isNotNull())
     return given, value
 
 
-def _packed(rows: DataFrame, key: str, extra: list[str]) -> DataFrame:
-    """Change columns folded into one struct so they do not clash with the table's."""
-    names = [c for c in rows.columns if c != key and not c.startswith("_")]
-    return rows.select(key, *extra, F.struct(*names).alias("_c"))
-
-
-def stored_net_rows(net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
+def stored_net_rows(net: DataFrame) -> DataFrame:
     """``net_rows`` written to the checkpoint folder, for plans that use them twice.
 
     Edits are few beside the table, so a small set is broadcast and the table itself is
     not shuffled.
     """
-    return broadcast_if_small(checkpointed(net_rows(net, base, id_col)))
+    return broadcast_if_small(checkpointed(net_rows(net)))
 
 
 def overlay_updates(base: DataFrame, net: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """Stored rows with pending cell updates laid over them."""
-    return _overlaid(base, net_rows(net, base, id_col), id_col)
+    return _overlaid(base, net_rows(net), id_col)
 
 
 def _overlaid(
@@ -422,15 +415,15 @@ def _overlaid(
 ) -> DataFrame:
     """With ``keep_state`` a ``row_state`` column tells updated and deleted rows apart;
     deleted rows stay visible and show their stored values."""
-    stored_changes = _keyed_by_id(changed, base, id_col)
-    rows = base.join(_packed(stored_changes, id_col, ["_op"]), id_col, "left")
+    keyed = _keyed_by_id(changed, base, id_col).select(id_col, "_op", "_cells")
+    rows = base.join(keyed, id_col, "left")
     columns = []
     for name in base.columns:
         if name == id_col or name in AUDIT_COLUMNS:
             columns.append(F.col(name))
             continue
         given, value = _new_cell(name, base.schema[name].dataType)
-        live = given & (F.col("_op") == "update")
+        live = (F.col("_op") == "update") & given
         columns.append(F.when(live, value).otherwise(F.col(name)).alias(name))
     if keep_state:
         state = F.when(F.col("_op") == "delete", "deleted").when(
@@ -443,11 +436,11 @@ def _overlaid(
 def pending_inserts(net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """New rows of net changes in the table's columns, the temporary id as text, plus
     ``_seq`` for their order and ``_op``, delete for those marked for deletion."""
-    return _new_rows(net_rows(net, base, id_col), base, id_col)
+    return _new_rows(net_rows(net), base, id_col)
 
 
 def _new_rows(changed: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
-    rows = _packed(changed.where(F.col("_new_row")), "row_id", ["_op", "_seq"])
+    rows = changed.where(F.col("_new_row"))
     columns = [F.col("row_id").alias(id_col)]
     for name in base.columns:
         if name == id_col:
@@ -464,7 +457,7 @@ def _new_rows(changed: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
 def overlay_preview(base: DataFrame, net: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """The table as an editor shows it: stored rows with updates, new rows, and a
     ``row_state`` of stored, updated, deleted or inserted. Ids are text."""
-    changed = stored_net_rows(net, base, id_col)
+    changed = stored_net_rows(net)
     stored = _overlaid(base, changed, id_col, keep_state=True)
     stored = stored.withColumn(id_col, F.col(id_col).cast("string"))
     state = F.when(F.col("_op") == "delete", "deleted").otherwise("inserted")
@@ -487,7 +480,7 @@ def overlay_page(
     Filter and sort read stored values, so the page is cut from the table first and only
     its rows meet the pending changes.
     """
-    changed = checkpointed(net_rows(net, base, id_col))
+    changed = checkpointed(net_rows(net))
     pending = _new_rows(changed, base, id_col).drop("_op")
     n_pending = changed.where(F.col("_new_row")).count()
     out = base.columns
@@ -519,8 +512,9 @@ def apply_changes(
     table is read once and joined once. Cells listed by ``invalid_changes`` keep their
     stored value.
     """
-    rows = stored_net_rows(compact_changes(changes, seq_run), base, id_col)
-    by_id = _packed(_keyed_by_id(rows.where(~F.col("_new_row")), base, id_col), id_col, ["_op"])
+    rows = stored_net_rows(compact_changes(changes, seq_run))
+    by_id = _keyed_by_id(rows.where(~F.col("_new_row")), base, id_col)
+    by_id = by_id.select(id_col, "_op", "_cells")
     updated = F.coalesce(F.col("_op") == "update", F.lit(False))
     stored, new = [], []
     for name in base.columns:
@@ -539,7 +533,7 @@ def apply_changes(
     kept = base.join(by_id, id_col, "left").where(
         F.coalesce(F.col("_op") != "delete", F.lit(True))
     )
-    fresh = _packed(rows.where(F.col("_op") == "insert"), "row_id", ["_seq"])
+    fresh = rows.where(F.col("_op") == "insert")
     numbered = assign_ids(
         fresh.select("_seq", "row_id", *new),
         base,

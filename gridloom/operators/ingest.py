@@ -54,27 +54,38 @@ def infer_types(
     """One row ``(position, column, type, value_count)`` per text column, from all rows in
     one pass; ``value_count`` is the number of non-empty cells.
 
-    A type holds when every non-empty cell reads as it. ``conservative`` keeps the
+    Cells become rows first, so the plan stays small for tables with very many columns; each
+    task sums its cells up before the shuffle. A type holds when every non-empty cell reads
+    as it. ``conservative`` keeps the
     reference default of TEXT for every column; False gives the narrowest type.
     """
     columns = columns or df.columns
-    clean = normalize_cells(df.select(*columns))
-    tests = []
-    for i, name in enumerate(columns):
-        text = F.col(name)
-        verdict = F.when(F.count(text) == 0, "TEXT")
-        if not conservative:
-            for type_name, fits in type_predicates(text):
-                verdict = verdict.when(F.bool_and(F.when(text.isNotNull(), fits)), type_name)
-        row = F.struct(
-            F.lit(i).alias("position"),
-            F.lit(name).alias("column"),
-            verdict.otherwise("TEXT").alias("type"),
-            F.count(text).alias("value_count"),
-        )
-        tests.append(row.alias(f"_{i}"))
-    verdicts = clean.agg(*tests)
-    return verdicts.select(F.inline(F.array(*[f"_{i}" for i in range(len(columns))])))
+    cells = df.select(F.posexplode(F.array(*[F.col(c) for c in columns])).alias("position", "raw"))
+    # An entry without a value per column keeps columns of an empty table in the result.
+    every = df.sparkSession.createDataFrame(
+        [(i, None) for i in range(len(columns))], "position int, raw string"
+    )
+    text = F.col("text")
+    clean = cells.unionByName(every).select("position", normalize_cell(F.col("raw")).alias("text"))
+    # Types a cell reads as, one bit each; the bits all cells of a column share are its own.
+    predicates = [] if conservative else type_predicates(text)
+    bits = F.lit(0)
+    for k, (_, fits) in enumerate(predicates):
+        bits = bits.bitwiseOR(F.when(fits, 1 << k).otherwise(0))
+    summary = clean.groupBy("position").agg(
+        F.bit_and(F.when(text.isNotNull(), bits)).alias("bits"),
+        F.count(text).alias("value_count"),
+    )
+    verdict = F.when(F.col("value_count") == 0, "TEXT")
+    for k, (type_name, _) in enumerate(predicates):
+        verdict = verdict.when(F.col("bits").bitwiseAND(1 << k) != 0, type_name)
+    names = F.array(*[F.lit(c) for c in columns])
+    return summary.select(
+        "position",
+        F.get(names, F.col("position")).alias("column"),
+        verdict.otherwise("TEXT").alias("type"),
+        "value_count",
+    )
 
 
 def apply_type_overrides(inferred: list[str], overrides: list[str | None] | None) -> list[str]:

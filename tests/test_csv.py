@@ -144,5 +144,8 @@ def test_infer_edge_cases(spark):
         "BOOLEAN", "BIGINT", "DECIMAL", "DATE", "TIMESTAMP", "TEXT", "TEXT",
     ]
     assert {r.type for r in I.infer_types(df).collect()} == {"TEXT"}
+    assert [r.value_count for r in got] == [2, 2, 2, 3, 2, 0, 3]
+    empty = I.infer_types(df.limit(0), conservative=False).orderBy("position").collect()
+    assert [(r.column, r.type, r.value_count) for r in empty] == [(c, "TEXT", 0) for c in df.columns]
     assert I.apply_type_overrides(["TEXT"] * 3, ["", None, " DATE "]) == ["TEXT", "TEXT", "DATE"]
     assert I.apply_type_overrides(["TEXT"], None) == ["TEXT"]
