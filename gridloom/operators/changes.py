@@ -324,31 +324,52 @@ def check_limit(net: DataFrame, limit: int | None = SESSION_LIMIT) -> None:
         raise ValueError(f"more than {limit} pending changes")
 
 
-def _typed(text: Column, data_type: T.DataType) -> Column:
-    if isinstance(data_type, T.StringType):
-        return text
-    return parse_value(strip(text), type_of(data_type))
+def _typed_cells(net: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
+    """Net changes with ``_value``, the new value as the table's own text form of it, and
+    ``_reason`` why the table refuses the cell, NULL when it takes it.
+
+    Columns of one type are checked together, so wide tables do not make wide plans.
+    """
+    editable: dict[str, list[str]] = {}
+    for field in base.schema.fields:
+        if field.name != id_col and field.name not in AUDIT_COLUMNS:
+            editable.setdefault(field.dataType.json(), []).append(field.name)
+    raw, name = F.col("new_value"), F.col("field")
+    known = [c for names in editable.values() for c in names]
+    reason = F.when(name.isNotNull() & ~name.isin(*known), F.lit("unknown column"))
+    value = F.when(F.lit(False), raw)
+    for names in editable.values():
+        data_type, mine = base.schema[names[0]].dataType, name.isin(*names)
+        if isinstance(data_type, T.StringType):
+            continue
+        parsed = parse_value(strip(raw), type_of(data_type))
+        value = value.when(mine, parsed.cast("string"))
+        if not isinstance(data_type, T.BooleanType):
+            bad = mine & raw.isNotNull() & parsed.isNull()
+            reason = reason.when(bad, F.lit("not parsed"))
+    return net.withColumns({"_value": value.otherwise(raw), "_reason": reason})
 
 
-def net_rows(net: DataFrame) -> DataFrame:
+def net_rows(net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """Net changes with one row per changed row.
 
     Columns: ``row_id``, ``_op`` (insert, update, delete), ``_new_row``, ``_seq`` and
     ``_cells``, a map from field to a struct of its new value; the struct tells "set to
-    NULL" from "not set". A map holds at most one entry per table column. An inserted row
-    marked for deletion keeps the delete.
+    NULL" from "not set". A map holds at most one entry per table column, and cells the
+    table refuses are left out. An inserted row marked for deletion keeps the delete.
     """
     op, field = F.col("op"), F.col("field")
-    entry = F.struct("field", F.struct("new_value").alias("cell"))
+    entry = F.struct("field", F.struct(F.col("_value").alias("new_value")).alias("cell"))
+    taken = field.isNotNull() & F.col("_reason").isNull()
 
     def cells(kind: str) -> Column:
-        return F.map_from_entries(F.collect_list(F.when((op == kind) & field.isNotNull(), entry)))
+        return F.map_from_entries(F.collect_list(F.when((op == kind) & taken, entry)))
 
     new_row = F.bool_or(op == "insert")
     row_op = (
         F.when(F.bool_or(op == "delete"), "delete").when(new_row, "insert").otherwise("update")
     )
-    return net.groupBy("row_id").agg(
+    return _typed_cells(net, base, id_col).groupBy("row_id").agg(
         row_op.alias("_op"),
         new_row.alias("_new_row"),
         F.min("seq").alias("_seq"),
@@ -358,17 +379,9 @@ def net_rows(net: DataFrame) -> DataFrame:
 
 def invalid_changes(net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """Net cells the table refuses: unknown or system columns and values that do not parse."""
-    editable = [c for c in base.columns if c != id_col and c not in AUDIT_COLUMNS]
-    reason = F.when(~F.col("field").isin(*editable), F.lit("unknown column"))
-    value = F.col("new_value")
-    for name in editable:
-        data_type = base.schema[name].dataType
-        if isinstance(data_type, (T.StringType, T.BooleanType)):
-            continue
-        bad = (F.col("field") == name) & value.isNotNull() & _typed(value, data_type).isNull()
-        reason = reason.when(bad, F.lit("not parsed"))
-    cells = net.where((F.col("op") != "delete") & F.col("field").isNotNull())
-    return cells.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    cells = _typed_cells(net.where(F.col("op") != "delete"), base, id_col)
+    refused = cells.where(F.col("_reason").isNotNull())
+    return refused.drop("_value").withColumnRenamed("_reason", "reason")
 
 
 def _keyed_by_id(rows: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
@@ -387,27 +400,23 @@ def _keyed_by_id(rows: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
 
 
 def _new_cell(name: str, data_type: T.DataType) -> tuple[Column, Column]:
-    """(changed and valid, new value) of one column of a net row."""
+    """(changed, new value) of one column of a net row."""
     cell = F.col("_cells")[name]
-    raw = cell["new_value"]
-    value, given = _typed(raw, data_type), cell.isNotNull()
-    if not isinstance(data_type, (T.StringType, T.BooleanType)):
-        given = given & (raw.isNull() | value.isNotNull())
-    return given, value
+    return cell.isNotNull(), cell["new_value"].cast(data_type)
 
 
-def stored_net_rows(net: DataFrame) -> DataFrame:
+def stored_net_rows(net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """``net_rows`` written to the checkpoint folder, for plans that use them twice.
 
     Edits are few beside the table, so a small set is broadcast and the table itself is
     not shuffled.
     """
-    return broadcast_if_small(checkpointed(net_rows(net)))
+    return broadcast_if_small(checkpointed(net_rows(net, base, id_col)))
 
 
 def overlay_updates(base: DataFrame, net: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """Stored rows with pending cell updates laid over them."""
-    return _overlaid(base, net_rows(net), id_col)
+    return _overlaid(base, net_rows(net, base, id_col), id_col)
 
 
 def _overlaid(
@@ -436,7 +445,7 @@ def _overlaid(
 def pending_inserts(net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """New rows of net changes in the table's columns, the temporary id as text, plus
     ``_seq`` for their order and ``_op``, delete for those marked for deletion."""
-    return _new_rows(net_rows(net), base, id_col)
+    return _new_rows(net_rows(net, base, id_col), base, id_col)
 
 
 def _new_rows(changed: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
@@ -457,7 +466,7 @@ def _new_rows(changed: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
 def overlay_preview(base: DataFrame, net: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """The table as an editor shows it: stored rows with updates, new rows, and a
     ``row_state`` of stored, updated, deleted or inserted. Ids are text."""
-    changed = stored_net_rows(net)
+    changed = stored_net_rows(net, base, id_col)
     stored = _overlaid(base, changed, id_col, keep_state=True)
     stored = stored.withColumn(id_col, F.col(id_col).cast("string"))
     state = F.when(F.col("_op") == "delete", "deleted").otherwise("inserted")
@@ -480,7 +489,7 @@ def overlay_page(
     Filter and sort read stored values, so the page is cut from the table first and only
     its rows meet the pending changes.
     """
-    changed = checkpointed(net_rows(net))
+    changed = checkpointed(net_rows(net, base, id_col))
     pending = _new_rows(changed, base, id_col).drop("_op")
     n_pending = changed.where(F.col("_new_row")).count()
     out = base.columns
@@ -512,7 +521,7 @@ def apply_changes(
     table is read once and joined once. Cells listed by ``invalid_changes`` keep their
     stored value.
     """
-    rows = stored_net_rows(compact_changes(changes, seq_run))
+    rows = stored_net_rows(compact_changes(changes, seq_run), base, id_col)
     by_id = _keyed_by_id(rows.where(~F.col("_new_row")), base, id_col)
     by_id = by_id.select(id_col, "_op", "_cells")
     updated = F.coalesce(F.col("_op") == "update", F.lit(False))
