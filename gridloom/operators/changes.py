@@ -43,7 +43,7 @@ SESSION_LIMIT = 50
 
 # Edits of one row are looked at in runs of this many sequence numbers, so a row edited
 # without end is spread over tasks.
-SEQ_RUN = 1_000_000
+SEQ_RUN = 200_000
 
 
 def _audit_types(base: DataFrame) -> dict[str, T.DataType]:
