@@ -15,14 +15,7 @@ from gridloom.functions.cells import parse_value, strip, timestamp_literal
 from gridloom.functions.names import AUDIT_COLUMNS, ID_COLUMN, type_by_name
 from gridloom.functions.types import parse_type, type_of
 from gridloom.operators.keys import assign_ids
-from gridloom.operators.paging import (
-    PAGE_SIZE,
-    SortModel,
-    number_page,
-    order_columns,
-    page,
-    total_order,
-)
+from gridloom.operators.paging import PAGE_SIZE, SortModel, page, total_order
 from gridloom.operators.query import filter_model
 from gridloom.operators.skew import broadcast_if_small
 from gridloom.session import checkpointed
@@ -46,10 +39,6 @@ SESSION_LIMIT = 50
 SEQ_RUN = 200_000
 
 
-def _audit_types(base: DataFrame) -> dict[str, T.DataType]:
-    return {c: base.schema[c].dataType for c in AUDIT_COLUMNS if c in base.columns}
-
-
 def stamp_insert(df: DataFrame, user: str, now: datetime.datetime) -> DataFrame:
     """Set all audit columns, whatever values the caller sent."""
     return df.withColumns(
@@ -550,7 +539,7 @@ def apply_changes(
         id_col,
     )
     added = numbered.drop("_seq", "row_id")
-    if _audit_types(base):
+    if any(c in base.columns for c in AUDIT_COLUMNS):
         stamped = stamp_insert(added, user, now)
         added = stamped.select(*[c for c in stamped.columns if c in base.columns])
     return kept.select(*stored).unionByName(added, allowMissingColumns=True)

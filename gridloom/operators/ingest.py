@@ -56,8 +56,8 @@ def infer_types(
 
     Cells become rows first, so the plan stays small for tables with very many columns; each
     task sums its cells up before the shuffle. A type holds when every non-empty cell reads
-    as it. ``conservative`` keeps the
-    reference default of TEXT for every column; False gives the narrowest type.
+    as it. ``conservative`` gives
+    TEXT to every column, so that no later row can break it; False gives the narrowest type.
     """
     columns = columns or df.columns
     cells = df.select(F.posexplode(F.array(*[F.col(c) for c in columns])).alias("position", "raw"))

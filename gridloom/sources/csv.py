@@ -113,7 +113,8 @@ def read_csv(
     names = normalize_headers([raw[i] for i in positions])
     if quote_style == "both":
         lines = line_reader(spark.read).csv(path)
-        every = parse_lines(lines, "line", [f"c{i}" for i in range(len(raw))], delimiter, quote, escape)
+        cells = [f"c{i}" for i in range(len(raw))]
+        every = parse_lines(lines, "line", cells, delimiter, quote, escape)
         return every.select(*[F.col(f"c{i}").alias(n) for i, n in zip(positions, names)])
     every = [f"c{i}" for i in range(len(raw))]
     df = (

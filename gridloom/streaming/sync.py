@@ -10,7 +10,8 @@ from gridloom.sources.store import TableData
 
 def event_schema(row: T.StructType) -> T.StructType:
     """Row events: a sequence number, insert, update or delete, and the row."""
-    return T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), *row.fields])
+    head = [T.StructField("seq", T.LongType()), T.StructField("op", T.StringType())]
+    return T.StructType([*head, *row.fields])
 
 
 def sync_copy(
