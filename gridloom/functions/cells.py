@@ -107,11 +107,15 @@ def reject_reason(text: Column, value: Column, type_name: str) -> Column:
 
 
 def type_predicates(text: Column) -> list[tuple[str, Column]]:
-    """(type, "this clean cell reads as it") in the order inference prefers them."""
+    """(type, "this clean cell reads as it") in the order inference prefers them.
+
+    Lengths rule most cells out before a pattern has to.
+    """
+    size = F.octet_length(text)
     return [
-        ("BOOLEAN", parse_boolean(text).isNotNull()),
+        ("BOOLEAN", (size <= 5) & parse_boolean(text).isNotNull()),
         ("BIGINT", _guarded(text, _INTEGER, T.LongType()).isNotNull()),
         ("DECIMAL", text.rlike(_DECIMAL)),
-        ("DATE", parse_date(text).isNotNull()),
-        ("TIMESTAMP", parse_timestamp(text).isNotNull()),
+        ("DATE", (size == 10) & parse_date(text).isNotNull()),
+        ("TIMESTAMP", (size >= 16) & parse_timestamp(text).isNotNull()),
     ]
