@@ -36,8 +36,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# Letters only: ASCII punctuation and digits separate words as well; other bytes are letters.
+_NOT_LETTER = _BLANK.copy()
+_NOT_LETTER[:128] = True
+_NOT_LETTER[65:91] = _NOT_LETTER[97:123] = False
+
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)[_LOWER]
-_BYTE[_BLANK] = 0
 
 
 def _powers(count: int) -> np.ndarray:
@@ -56,19 +60,29 @@ class Words:
     doc: np.ndarray
     count: np.ndarray  # words of each text
     first: np.ndarray  # index of each text's first word; one more entry at the end
+    gap: np.ndarray  # whether a byte belongs to no word
 
     def hashes(self) -> np.ndarray:
         """A hash of each word, from a polynomial over its bytes."""
+        return self.prefix_hashes([])[0]
+
+    def prefix_hashes(self, sizes: list[int]) -> list[np.ndarray]:
+        """The words' hashes, then those of their first bytes for each of the given sizes."""
         if not len(self.start):
-            return np.zeros(0, np.uint64)
+            return [np.zeros(0, np.uint64)] * (1 + len(sizes))
         within = np.arange(len(self.data), dtype=np.int64)
         size = np.diff(np.append(self.start, len(self.data)))
         within[self.start[0] :] -= np.repeat(self.start, size)
         within[: self.start[0]] = 0
-        within[_BLANK[self.data]] = 0
+        within[self.gap] = 0
         term = _BYTE[self.data]
+        term[self.gap] = 0
         term *= _powers(int(within.max()) + 1)[within]
-        return mix(np.add.reduceat(term, self.start))
+        out = [mix(np.add.reduceat(term, self.start))]
+        for size in sorted(sizes, reverse=True):
+            term[within >= size] = 0
+            out.insert(1, mix(np.add.reduceat(term, self.start)))
+        return out
 
     def text(self, at: int) -> str:
         return self.data[self.start[at] : self.end[at]].tobytes().decode("utf-8", "replace")
@@ -98,9 +112,9 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         row = upto
 
 
-def split_words(data: np.ndarray, at: np.ndarray) -> Words:
+def split_words(data: np.ndarray, at: np.ndarray, separators: np.ndarray = _BLANK) -> Words:
     rows = len(at) - 1
-    blank = _BLANK[data]
+    blank = separators[data]
     opens = ~blank
     closes = opens.copy()
     edge = at[(at > 0) & (at < len(data))]
@@ -119,13 +133,17 @@ def split_words(data: np.ndarray, at: np.ndarray) -> Words:
     end = np.flatnonzero(closes) + 1
     doc = np.searchsorted(at, start, "right") - 1
     count = np.bincount(doc, minlength=rows) if len(doc) else np.zeros(rows, np.int64)
-    return Words(data, start, end, doc, count, np.concatenate(([0], np.cumsum(count))))
+    return Words(data, start, end, doc, count, np.concatenate(([0], np.cumsum(count))), blank)
 
 
 def words(texts: pa.Array) -> Words:
     return split_words(*buffers(texts))
 
 
+def letter_words(texts: pa.Array) -> Words:
+    return split_words(*buffers(texts), _NOT_LETTER)
+
+
 def sequences(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of each ``size`` consecutive values; the caller drops those across two texts."""
     count = len(hashes) - size + 1
