@@ -40,6 +40,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 _NOT_LETTER = _BLANK.copy()
 _NOT_LETTER[:128] = True
 _NOT_LETTER[65:91] = _NOT_LETTER[97:123] = False
+# Letters and digits: ASCII punctuation separates words as well.
+_NOT_WORD = _NOT_LETTER.copy()
+_NOT_WORD[48:58] = False
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)[_LOWER]
 
@@ -179,3 +182,8 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def plain_words(texts: pa.Array) -> Words:
+    """Words of letters and digits."""
+    return split_words(*buffers(texts), _NOT_WORD)
