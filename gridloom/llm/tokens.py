@@ -14,10 +14,10 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 
+from gridloom.llm.table import Table
 from gridloom.llm.text import _BLANK, Words, buffers
 
 KNOWN_PIECES = 1_000_000  # pieces a worker remembers; past that it starts afresh
-_SLOTS = 1 << 22  # of the table that finds them
 _AT_ONCE = 256  # pieces encoded in one call, with the end mark between them
 
 _LETTER = np.zeros(256, bool)
@@ -54,38 +54,12 @@ class Encoder:
         self.forget()
 
     def forget(self, room: int = 0) -> None:
-        self.slots = max(_SLOTS, 1 << (4 * room).bit_length())
-        self.keys = np.zeros(self.slots, np.uint64)
-        self.entry = np.full(self.slots, -1, np.int32)
-        self.entries = 0
+        self.known = Table(room=max(KNOWN_PIECES, room))
         self.start = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """The entry of each piece, or -1: the first slots from its hash on until it is found."""
-        slot = (hashes & np.uint64(self.slots - 1)).astype(np.int32)
-        out = self.entry[slot]
-        open_ = np.flatnonzero((self.keys[slot] != hashes) & (out >= 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & (self.slots - 1)
-            at = slot[open_]
-            out[open_] = self.entry[at]
-            open_ = open_[(self.keys[at] != hashes[open_]) & (out[open_] >= 0)]
-        return out
-
-    def _insert(self, hashes: np.ndarray, entries: np.ndarray) -> None:
-        slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
-        while len(hashes):
-            free = self.entry[slot] < 0
-            _, first = np.unique(slot[free], return_index=True)
-            now = np.flatnonzero(free)[first]
-            self.keys[slot[now]], self.entry[slot[now]] = hashes[now], entries[now]
-            rest = np.ones(len(hashes), bool)
-            rest[now] = False
-            hashes, entries, slot = hashes[rest], entries[rest], (slot[rest] + 1) & (self.slots - 1)
-
     def pieces(self, data: np.ndarray, at: np.ndarray) -> Words:
         gap = _BLANK[data]
         opens = ~gap
@@ -126,7 +100,7 @@ class Encoder:
         if len(ends) != len(hashes):
             raise ValueError("the tokenizer does not keep words apart")
         starts = np.append(0, ends[:-1])[: len(ends)]
-        first = self.entries
+        first = self.known.count
         while len(self.start) < first + len(hashes):
             self.start, self.size = (np.append(x, np.zeros_like(x)) for x in (self.start, self.size))
         while len(self.pool) < self.used + len(ids):
@@ -135,8 +109,7 @@ class Encoder:
         self.start[first : first + len(hashes)] = starts + self.used
         self.size[first : first + len(hashes)] = ends - starts - mark
         self.used += len(ids)
-        self.entries += len(hashes)
-        self._insert(hashes, np.arange(first, self.entries, dtype=np.int32))
+        self.known.add(hashes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of the texts; NULL counts as empty."""
@@ -144,17 +117,17 @@ class Encoder:
         found = self.pieces(data, at)
         hashes = found.hashes()
         raw = data.tobytes()
-        place = self.lookup(hashes)
+        place = self.known.find(hashes)
         new = np.flatnonzero(place < 0)
         if len(new):
             unseen, first = np.unique(hashes[new], return_index=True)
-            if self.entries + len(unseen) > KNOWN_PIECES:
+            if self.known.count + len(unseen) > KNOWN_PIECES:
                 unseen, first = np.unique(hashes, return_index=True)
                 self.forget(len(unseen))
                 new = np.arange(len(hashes))
             spans = zip(found.start[new[first]].tolist(), found.end[new[first]].tolist())
             self.learn(unseen, [_lower(raw[a:b]) for a, b in spans])
-            place = self.lookup(hashes)
+            place = self.known.find(hashes)
         size = self.size[place]
         upto = np.cumsum(size, dtype=np.int64)
         ids = np.repeat(self.start[place] - (upto - size), size)
