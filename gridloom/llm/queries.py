@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import licenses, packing, quality, sharding, topk, toxicity, url_filter
+from gridloom.llm import licenses, packing, quality, secrets, sharding, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,3 +134,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    usual = secrets.usage(documents)
+    forest = secrets.train(secrets.labelled_findings(documents, usual))
+    return secrets.find_secrets(documents, usual, forest)
