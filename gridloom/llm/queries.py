@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import licenses, packing, quality, secrets, sharding, topk, toxicity, url_filter
+from gridloom.llm import decontaminate, licenses, packing, quality, secrets, sharding, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -142,3 +142,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     usual = secrets.usage(documents)
     forest = secrets.train(secrets.labelled_findings(documents, usual))
     return secrets.find_secrets(documents, usual, forest)
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

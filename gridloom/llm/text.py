@@ -143,8 +143,20 @@ def words(texts: pa.Array) -> Words:
     return split_words(*buffers(texts))
 
 
+def _lower_latin(data: np.ndarray) -> np.ndarray:
+    """Accented Latin capitals as small letters; A-Z count as a-z anyway."""
+    high = np.flatnonzero(data[:-1] == 0xC3) + 1
+    high = high[(data[high] >= 0x80) & (data[high] <= 0x9E) & (data[high] != 0x97)]
+    if len(high):
+        data = data.copy()
+        data[high] += 32
+    return data
+
+
 def letter_words(texts: pa.Array) -> Words:
-    return split_words(*buffers(texts), _NOT_LETTER)
+    """Words of letters."""
+    data, at = buffers(texts)
+    return split_words(_lower_latin(data), at, _NOT_LETTER)
 
 
 def sequences(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -186,4 +198,5 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
 
 def plain_words(texts: pa.Array) -> Words:
     """Words of letters and digits."""
-    return split_words(*buffers(texts), _NOT_WORD)
+    data, at = buffers(texts)
+    return split_words(_lower_latin(data), at, _NOT_WORD)
