@@ -26,6 +26,7 @@ ORDER = 5
 SHARD_ROWS = 2_000_000  # n-grams and contexts sent out at once, about 150 MB in a task
 QUANTILE = 0.99
 MARGIN = 1.05  # how far above the quantile of trusted text a perplexity may lie
+HELD_BACK = 5
 BINS = 1000  # of the logarithm of perplexity, to find quantiles by counting
 
 _PAD = 0x0A  # stands before the first byte of a text
@@ -130,35 +131,46 @@ def _discounts(of: tuple) -> list[float]:
 
 
 class Shard:
-    """The part of a model for some values of the byte before the predicted one."""
+    """The part of a model for some values of the byte before the predicted one.
 
-    def __init__(self, mine: np.ndarray, grams, contexts):
-        self.mine = mine
-        self.grams = [_column(*grams, n) for n in range(1, ORDER + 1)]
-        self.contexts = [_column(*contexts, n) for n in range(1, ORDER + 1)]
+    It travels as plain arrays; the tables are made where it is first used.
+    """
+
+    def __init__(self, mine: np.ndarray, grams: list[np.ndarray], contexts: list[np.ndarray]):
+        self.mine, self.rows, self.made = mine, (grams, contexts), None
+
+    def tables(self) -> tuple[list, list]:
+        if self.made is None:
+            self.made = tuple(
+                [_column(*rows, n) for n in range(1, ORDER + 1)] for rows in self.rows
+            )
+            self.rows = None
+        return self.made
 
     def score(self, grams: np.ndarray) -> np.ndarray:
         """Log-probability of the last byte of each n-gram."""
+        seen, contexts = self.tables()
         out = np.zeros(len(grams))
         left = np.arange(len(grams))
         for n in range(ORDER, 0, -1):
             size = np.uint64((1 << (8 * n)) - 1)
-            table, value = self.grams[n - 1]
+            table, value = seen[n - 1]
             at = table.find(grams[left] & size)
             hit = at >= 0
             out[left[hit]] += value[at[hit]]
             left = left[~hit]
             # Not seen: the context's spare weight times the probability of the order below.
-            table, value = self.contexts[n - 1]
+            table, value = contexts[n - 1]
             at = table.find((grams[left] & size) >> np.uint64(8))
-            out[left] += np.where(at >= 0, value[at], 0.0) if len(value) else 0.0
+            if len(value):
+                out[left] += np.where(at >= 0, value[at], 0.0)
         out[left] -= np.log(256)
         return out
 
 
 def _column(order: np.ndarray, gram: np.ndarray, value: np.ndarray, n: int):
     mine = order == n
-    return Table(gram[mine].astype(np.int64).view(np.uint64)), value[mine]
+    return Table(gram[mine].view(np.uint64)), value[mine]
 
 
 def _shards(model: Model) -> Iterator[Shard]:
@@ -185,8 +197,8 @@ def _shards(model: Model) -> Iterator[Shard]:
         mine[group] = True
         parts = []
         for frame, value in ((grams, "logp"), (contexts, "logw")):
-            rows = frame.where(F.col("key").isNull() | F.col("key").isin(group)).drop("key").toPandas()
-            parts.append([rows[c].to_numpy() for c in ("order", "gram", value)])
+            rows = frame.where(F.col("key").isNull() | F.col("key").isin(group)).drop("key").toArrow()
+            parts.append([rows.column(c).to_numpy() for c in ("order", "gram", value)])
         yield Shard(mine, *parts)
 
 
@@ -240,41 +252,54 @@ def classify(
 ) -> DataFrame:
     """doc_id, lang, bytes, perplexity, limit, keep of every document.
 
-    ``trusted_ids`` has the ids of trusted documents in ``doc_id``. A language's limit is the
-    given quantile of the perplexities of its trusted documents times ``margin``; a language
-    without any takes that of all trusted documents, and without trusted text everything is
-    kept. A text without any byte has no perplexity and is not kept. The quantile is found
-    from counts of 1/BINS steps of the logarithm, over all trusted documents.
+    ``trusted_ids`` has the ids of trusted documents in ``doc_id``. One in HELD_BACK of them,
+    by a hash of the id, is kept from the model, so that its perplexity is that of unseen text.
+    A language's limit is the given quantile of those perplexities times ``margin``; as a few
+    documents say little about a quantile, it is at least the language's median times the
+    quantile of the distances from the medians in all languages. A language without trusted
+    text takes the quantile over all, and without any trusted text everything is kept. A text
+    without any byte has no perplexity and is not kept. Quantiles are found from counts of
+    1/BINS steps of the logarithm, over all the documents held back.
     """
+    held_back = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_BACK)) == 0
     trusted_ids = checkpointed(trusted_ids.select("doc_id").where("doc_id is not null").distinct())
-    trusted = rows_with_ids(documents.select("doc_id", "text"), trusted_ids, "doc_id")
-    scored = checkpointed(perplexity(documents, fit(trusted.join(trusted_ids, "doc_id", "left_semi"))))
-    bin_ = F.floor(F.log("perplexity") * BINS)
+    model_ids = trusted_ids.where(~held_back)
+    trusted = rows_with_ids(documents.select("doc_id", "text"), model_ids, "doc_id")
+    model = fit(trusted.join(model_ids, "doc_id", "left_semi"))
+    scored = checkpointed(perplexity(documents, model))
     counts = (
-        scored.where(F.col("perplexity").isNotNull())
+        scored.where(F.col("perplexity").isNotNull() & held_back)
         .join(trusted_ids, "doc_id", "left_semi")
-        .groupBy("lang", bin_.alias("bin"))
+        .groupBy("lang", F.floor(F.log("perplexity") * BINS).alias("bin"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     counts = checkpointed(counts)
-    limits = _limits(counts, quantile, margin, ["lang"])
-    overall = _limits(counts.groupBy("bin").agg(F.sum("rows").alias("rows")), quantile, margin, [])
-    row = overall.first()
-    default = F.lit(row["limit"] if row else None).cast("double")
+    middle = _quantile(counts, 0.5, ["lang"]).withColumnsRenamed({"lang": "of", "bin": "middle"})
+    apart = counts.join(middle, counts["lang"].eqNullSafe(middle["of"]))
+    apart = apart.groupBy((F.col("bin") - F.col("middle")).alias("bin")).agg(F.sum("rows").alias("rows"))
+    apart, overall = (
+        F.lit(row["bin"] if row else None).cast("long")
+        for row in (
+            _quantile(apart, quantile, []).first(),
+            _quantile(counts.groupBy("bin").agg(F.sum("rows").alias("rows")), quantile, []).first(),
+        )
+    )
+    high = _quantile(counts, quantile, ["lang"])
+    limits = high.join(middle, high["lang"].eqNullSafe(middle["of"]))
+    limits = limits.select("of", F.greatest("bin", F.col("middle") + apart).alias("bin"))
     # One row per language; sent out only while that is certainly little.
     if limits.count() <= 10_000:
         limits = F.broadcast(limits)
-    same = scored["lang"].eqNullSafe(limits["lang"])
-    joined = scored.join(limits, same, "left").drop(limits["lang"])
-    limit = F.coalesce(F.col("limit"), default)
+    joined = scored.join(limits, scored["lang"].eqNullSafe(limits["of"]), "left")
+    limit = F.exp((F.coalesce("bin", overall) + 1) / BINS) * margin
     keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= limit, F.lit(True))
-    return joined.withColumn("limit", limit).withColumn("keep", keep)
+    return joined.withColumn("limit", limit).withColumn("keep", keep).drop("of", "bin")
 
 
-def _limits(counts: DataFrame, quantile: float, margin: float, by: list[str]) -> DataFrame:
+def _quantile(counts: DataFrame, quantile: float, by: list[str]) -> DataFrame:
+    """The smallest ``bin`` up to which ``rows`` reach a share of all."""
     upto = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     reached = F.sum("rows").over(upto) >= quantile * F.sum("rows").over(whole)
     found = counts.withColumn("reached", reached).where("reached")
-    found = found.groupBy(*by).agg(F.min("bin").alias("bin"))
-    return found.where("bin is not null").select(*by, (F.exp((F.col("bin") + 1) / BINS) * margin).alias("limit"))
+    return found.groupBy(*by).agg(F.min("bin").alias("bin")).where("bin is not null")
