@@ -60,7 +60,7 @@ _SEEDS = mix(np.arange(1, 64, dtype=np.uint64))
 
 def _signatures(documents: DataFrame, size: int) -> DataFrame:
     """Rows of kind 0: a document's id, set size, digest and keys; of kind 1: a frequent token."""
-    names = ["kind", "id", "n", "digest", *(f"key{k}" for k in range(KEYS))]
+    names = ["kind", "id", "text_hash", "n", "digest", *(f"key{k}" for k in range(KEYS))]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_tokens, seen = [], 0, set()
@@ -68,9 +68,9 @@ def _signatures(documents: DataFrame, size: int) -> DataFrame:
         def frequent() -> pa.RecordBatch:
             tokens, many = np.unique(np.concatenate(held), return_counts=True)
             at = np.flatnonzero(many >= FREQUENT)
-            none = [pa.nulls(len(at), pa.int64())] * (1 + KEYS)
-            columns = [np.ones(len(at), np.int64), tokens[at].view(np.int64), many[at]]
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns), *none], names=names)
+            none = pa.nulls(len(at), pa.int64())
+            kind, id_, n = map(pa.array, (np.ones(len(at), np.int64), tokens[at].view(np.int64), many[at]))
+            return pa.RecordBatch.from_arrays([kind, id_, none, n, *[none] * (1 + KEYS)], names=names)
 
         for batch in batches:
             for piece in slices(batch):
@@ -90,6 +90,7 @@ def _signatures(documents: DataFrame, size: int) -> DataFrame:
                     [
                         pa.array(np.zeros(len(n), np.int64)),
                         piece.column("doc_id").cast(pa.int64()),
+                        piece.column("text_hash"),
                         pa.array(n, pa.int64()),
                         *[pa.array(c, pa.int64()) for c in others],
                     ],
@@ -101,7 +102,7 @@ def _signatures(documents: DataFrame, size: int) -> DataFrame:
         if held:
             yield frequent()
 
-    rows = documents.select("doc_id", "text")
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(sign, ", ".join(f"{name} long" for name in names))
 
 
@@ -313,7 +314,7 @@ def _union(group, held: list, percent: int):
 
 
 def similar_documents(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document.
+    """doc_id, n_shingles, component_id and text_hash of every document.
 
     Documents are linked when the distinct ``size``-word sequences they share are at least
     ``percent`` of those either has; a shorter text's whole sequence is its one element, and a
@@ -348,9 +349,38 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 80) ->
     labelled = labelled.join(smallest, "label").select("digest", F.col("least").alias("component"))
     all_sets = sets.select("digest", "rep").join(labelled, "digest", "left")
     all_sets = all_sets.select("digest", F.coalesce("component", "rep").alias("component"))
-    joined = found.select("doc_id", "n", "digest").join(all_sets, "digest", "left")
+    joined = found.select("doc_id", "n", "digest", "text_hash").join(all_sets, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return joined.select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash"
+    )
+
+
+def one_of_each_group(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near copies: of each component the one with the smallest id.
+
+    All columns stay. Of rows with that id the one with the smallest text hash stays, and of
+    equal rows one. Documents with a NULL id stay, as they are linked with nothing. Only texts
+    that may have to go are shuffled.
+    """
+    found = checkpointed(similar_documents(documents, size, percent).where("doc_id is not null"))
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    # A row is in question if it is not its component's first, or if there are more like it.
+    judged = found.groupBy("doc_id", "text_hash", "component_id").agg(F.count(F.lit(1)).alias("many"))
+    judged = judged.join(first, "component_id")
+    stays = F.struct("doc_id", "text_hash") == F.col("first")
+    asked = checkpointed(
+        judged.where(~stays | (F.col("many") > 1)).select("doc_id", "text_hash", stays.alias("stays"))
+    )
+    hashed = documents.withColumn("_hash", F.xxhash64("text"))
+    maybe = rows_with_ids(hashed, asked, "doc_id")
+    rest = rows_with_ids(hashed, asked, "doc_id", keep=False).drop("_hash")
+    asked = asked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), "stays")
+    same = (maybe["doc_id"] == asked["_id"]) & (maybe["_hash"] == asked["_text"])
+    maybe = maybe.join(asked, same, "left").where("coalesce(stays, true)")
+    once = maybe.where("stays").dropDuplicates(["_id", "_text"])
+    others = maybe.where("stays is null")
+    return rest.union(once.select(documents.columns)).union(others.select(documents.columns))
 
 
 def _groups(sets: DataFrame, families: DataFrame | None) -> DataFrame:
