@@ -133,7 +133,8 @@ def _tokens_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(digest, tokens) of the wanted sets (digest, rep); a set's text is that of document rep."""
     wanted = wanted.select("digest", F.col("rep").alias("doc_id"))
     texts = rows_with_ids(documents.select("doc_id", "text"), wanted, "doc_id")
-    texts = texts.join(wanted.select("doc_id"), "doc_id", "left_semi")
+    # Not a semi join, which the optimizer would move below the filter.
+    texts = texts.join(wanted.select("doc_id").distinct(), "doc_id")
     made = _pass_sets(texts, size, "digest long, tokens binary", lambda d, t: (d, t.tobytes()))
     # An id that occurs with two texts brings a set that was not asked for.
     return made.join(wanted.select("digest"), "digest", "left_semi")
@@ -237,7 +238,7 @@ def _matrix(
 
     made = _pass_sets(documents, size, "digest long, n long, tokens binary", first_tokens)
     made = made.groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    made = checkpointed(made.join(groups, "digest").select("group", "members", "n", "tokens"))
+    made = made.join(groups, "digest").select("group", "members", "n", "tokens")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One set is one group here."""
