@@ -199,8 +199,8 @@ def _leaders(sets: DataFrame, documents: DataFrame, size: int, percent: int) ->
     found = None
     for k in range(KEYS):
         key = f"key{k}"
-        # Another leader for each key, so that families with a poor one get another chance.
-        leader = F.min_by(F.struct("digest", "n", "rep"), F.xxhash64(F.lit(k), "digest"))
+        # The same choice for all keys, so that most sets meet one leader only.
+        leader = F.min_by(F.struct("digest", "n", "rep"), "digest")
         heads = sets.groupBy(key).agg(leader.alias("head"), F.count(F.lit(1)).alias("many"))
         heads = heads.where("many > 1").select(key, "head.*", "many").toDF(key, "head", "head_n", "head_rep", "many")
         fits = F.expr(f"100 * least(n, head_n) >= {percent} * greatest(n, head_n) and digest <> head")
