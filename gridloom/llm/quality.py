@@ -265,7 +265,8 @@ def classify(
     trusted_ids = checkpointed(trusted_ids.select("doc_id").where("doc_id is not null").distinct())
     model_ids = trusted_ids.where(~held_back)
     trusted = rows_with_ids(documents.select("doc_id", "text"), model_ids, "doc_id")
-    model = fit(trusted.join(model_ids, "doc_id", "left_semi"))
+    # Not a semi join, which the optimizer would move below the filter.
+    model = fit(trusted.join(model_ids, "doc_id"))
     scored = checkpointed(perplexity(documents, model))
     counts = (
         scored.where(F.col("perplexity").isNotNull() & held_back)
