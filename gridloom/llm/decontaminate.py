@@ -27,8 +27,9 @@ WINDOW, STEP = 32, 16  # words of a window of a document, and between two
 DIMENSIONS = 128
 COSINE = 0.4
 COVERED = 0.6  # of a passage's words, in order
-ANSWER_WORDS, ANSWERED = 4, 0.5
+ANSWER_WORDS, ANSWERED = 8, 0.4
 SHORT = 12  # passages with fewer words must be there whole
+SPREAD = 1.5  # words of a document a match may reach over, for each word of the passage
 BLOCK_WORDS = 100_000  # benchmark words sent out at once
 _BUCKETS = 1 << 16
 
@@ -186,14 +187,37 @@ class Block:
     latent: np.ndarray  # passages by dimensions, each of length 1
     known: Table  # words of these passages
     place: np.ndarray  # their vectors, times their weight
-    telling: np.ndarray
+
+    def __post_init__(self):
+        """For each known word the passages it answers, one list after the other."""
+        self.least = np.array([np.ceil(ANSWERED * len(a)) for a in self.answers], np.int64)
+        passage = np.repeat(np.arange(len(self.answers)), [len(a) for a in self.answers])
+        word = self.known.find(np.concatenate(self.answers))
+        self.answered = passage[np.argsort(word, kind="stable")]
+        self.many = np.append(np.bincount(word, minlength=self.known.count), 0)  # last: not known
+        self.start = np.cumsum(self.many) - self.many
+
+    def telling(self, found: Words, entry: np.ndarray) -> np.ndarray:
+        """Whether a word answers a passage of which its document has answers enough."""
+        out = np.zeros(len(entry), bool)
+        at = np.flatnonzero(self.many[entry])
+        many = self.many[entry[at]]
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        passage = self.answered[np.repeat(self.start[entry[at]], many) + within]
+        at = np.repeat(at, many)
+        pair = found.doc[at] * np.int64(len(self.answers)) + passage
+        once = np.unique(pair * np.int64(self.known.count + 1) + entry[at])
+        pairs, answers = np.unique(once // (self.known.count + 1), return_counts=True)
+        pairs = pairs[answers >= self.least[pairs % len(self.answers)]]
+        out[at[np.isin(pair, pairs)]] = True
+        return out
 
     def matches(self, found: Words):
         """(text, index of passage, cosine, common words, first and end word) of each match."""
         hashes = found.hashes()
         entry = self.known.find(hashes)
         telling = np.zeros(len(hashes) + 1, np.int64)
-        np.cumsum((entry >= 0) & self.telling[entry], out=telling[1:])
+        np.cumsum(self.telling(found, entry), out=telling[1:])
         seen: dict[tuple[int, int], tuple] = {}
         for doc, a, b in self._windows(found, telling):
             mine = entry[a:b]
@@ -202,18 +226,23 @@ class Block:
             for i in np.flatnonzero(cosines >= COSINE).tolist():
                 reach = len(self.words[i])
                 low, high = max(a - reach, found.first[doc]), min(b + reach, found.first[doc + 1])
-                region = hashes[low:high]
-                if self._is_there(i, region):
-                    n, first, end = common_words(self.words[i], region)
-                    if n >= needed(reach):
-                        row = (n, float(cosines[i]), int(low + first - found.first[doc]), int(low + end - found.first[doc]))
-                        seen[doc, i] = max(seen.get((doc, i), row), row)
-        for (doc, i), (n, cosine, first, end) in sorted(seen.items()):
+                # Windows that any match of at most this spread lies in.
+                step = max(1, reach // 4)
+                wide = int(np.ceil(SPREAD * reach)) + step
+                for at in range(low, max(high - wide + step, low + 1), step):
+                    region = hashes[at : min(at + wide, high)]
+                    if self._is_there(i, region):
+                        n, first, end = common_words(self.words[i], region)
+                        if n >= needed(reach):
+                            place = int(at - found.first[doc])
+                            row = (n, first - end, float(cosines[i]), place + first, place + end)
+                            seen[doc, i] = max(seen.get((doc, i), row), row)
+        for (doc, i), (n, _, cosine, first, end) in sorted(seen.items()):
             yield doc, i, cosine, n, first, end
 
     def _windows(self, found: Words, telling: np.ndarray):
-        """Windows with an answer word in them or a step away, and as many as a match needs around."""
-        least = min((int(np.ceil(ANSWERED * len(a))) for a in self.answers), default=1)
+        """Windows with a telling word in them or a step away, and enough of them around."""
+        least = self.least.min()
         docs = np.flatnonzero(telling[found.first[1:]] > telling[found.first[:-1]])
         for doc in docs.tolist():
             first, end = int(found.first[doc]), int(found.first[doc + 1])
@@ -287,9 +316,7 @@ def _blocks(documents: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
             rare = np.unique(w)
             answers.append(rare[np.argsort(-idf[_bucket(rare)], kind="stable")[:ANSWER_WORDS]])
         items = list(zip(mine["item_id"].tolist(), mine["passage"].tolist()))
-        # The last entry answers for words that are not known.
-        telling = np.append(np.isin(features, np.concatenate(answers)), False)
-        yield Block(items, words, answers, latent, known, place, telling)
+        yield Block(items, words, answers, latent, known, place)
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
