@@ -265,8 +265,9 @@ def classify(
     trusted_ids = checkpointed(trusted_ids.select("doc_id").where("doc_id is not null").distinct())
     model_ids = trusted_ids.where(~held_back)
     trusted = rows_with_ids(documents.select("doc_id", "text"), model_ids, "doc_id")
-    # Not a semi join, which the optimizer would move below the filter.
-    model = fit(trusted.join(model_ids, "doc_id"))
+    # Not a semi join, which the optimizer would move below the filter; and the same join at
+    # every size, as the ids grow with the documents.
+    model = fit(trusted.join(model_ids.hint("merge"), "doc_id"))
     scored = checkpointed(perplexity(documents, model))
     counts = (
         scored.where(F.col("perplexity").isNotNull() & held_back)
