@@ -28,6 +28,7 @@ from gridloom.session import checkpointed
 
 GROUP_SETS = 256  # members of a group; a larger family is several groups
 KEYS = 3  # smallest hashes by which similar sets find a common leader
+SHARED_KEYS = 2  # of them, to be held against a leader; what this misses is found in the matrix
 FREQUENT_TOKENS = 1 << 16  # listed as frequent; the list only decides the order of tokens
 COUNTED_TOKENS = 2_000_000  # tokens counted together inside a task
 FREQUENT = 4  # occurrences among those
@@ -207,8 +208,13 @@ def _leaders(sets: DataFrame, documents: DataFrame, size: int, percent: int) ->
         pairs = sets.join(heads, key).where(fits)
         pairs = pairs.select("head", "head_rep", "digest", "rep", "many")
         found = pairs if found is None else found.union(pairs)
+    # Sharing one of the hashes says little; sets that are linked mostly share several.
+    found = found.groupBy("head", "head_rep", "digest", "rep").agg(
+        F.max("many").alias("many"), F.count(F.lit(1)).alias("shared")
+    )
     part = F.pmod(F.xxhash64("digest"), F.ceil(F.col("many") / GROUP_SETS))
-    pairs = checkpointed(found.withColumn("key", F.xxhash64("head", part)).drop("many").distinct())
+    pairs = found.where(F.col("shared") >= SHARED_KEYS).withColumn("key", F.xxhash64("head", part))
+    pairs = checkpointed(pairs.drop("many", "shared"))
     heads = pairs.select("key", F.lit(0).alias("side"), F.col("head").alias("digest"), F.col("head_rep").alias("rep"))
     rows = heads.distinct().union(pairs.select("key", F.lit(1), "digest", "rep").distinct())
     wanted = rows.select("digest", "rep").distinct()
@@ -216,29 +222,59 @@ def _leaders(sets: DataFrame, documents: DataFrame, size: int, percent: int) ->
     return _compared(rows.select("key", "side", "digest").join(tokens, "digest"), percent, True)
 
 
-def _matrix(
-    documents: DataFrame, groups: DataFrame, frequent: np.ndarray, size: int, percent: int
+class Order:
+    """The order of tokens: by hash, and the frequent ones last, the most frequent at the end."""
+
+    def __init__(self, frequent: np.ndarray):
+        """``frequent`` in ascending order of frequency."""
+        self.rank = np.argsort(frequent, kind="stable")
+        self.listed = frequent[self.rank]
+
+    def keys(self, tokens: np.ndarray) -> np.ndarray:
+        """Numbers that sort like the tokens."""
+        out = tokens >> np.uint64(1)
+        if len(self.listed):
+            at = np.searchsorted(self.listed, tokens)
+            at[at == len(self.listed)] = 0
+            common = self.listed[at] == tokens
+            out[common] = self.rank[at[common]].astype(np.uint64) | np.uint64(1 << 63)
+        return out
+
+    def may_be_linked(self, a: np.ndarray, n: int, b: np.ndarray, m: int, percent: int) -> bool:
+        """Whether sets of n and m tokens with these first tokens can be linked.
+
+        Up to the place where the shorter list ends, both sets are known; from there on they
+        share no more than what is left of the smaller rest.
+        """
+        if 100 * min(n, m) < percent * max(n, m):
+            return False
+        x, y = self.keys(a), self.keys(b)
+        end = min(x[-1], y[-1])
+        known_a, known_b = np.searchsorted(x, end), np.searchsorted(y, end)
+        common = np.isin(a[:known_a], b[:known_b], assume_unique=True).sum()
+        return linked(int(common + min(n - known_a, m - known_b)), n, m, percent)
+
+
+def _first_tokens(
+    documents: DataFrame, groups: DataFrame, order: Order, size: int, percent: int
 ) -> DataFrame:
-    """The token-group matrix: (token, group, sizes), only for tokens that two families share.
-
-    ``sizes`` packs the smallest and largest set size behind the token and whether the token
-    is one of the first of a set, by which smaller sets are looked up.
-    """
-    order = np.argsort(frequent, kind="stable")
-    listed = frequent[order]
+    """digest, rep, group, members, n and the first tokens of every set."""
 
     def first_tokens(number: int, tokens: np.ndarray) -> tuple:
-        at = np.searchsorted(listed, tokens)
-        at[at == len(listed)] = 0
-        common = listed[at] == tokens if len(listed) else np.zeros(len(tokens), bool)
-        if common.any():
-            rank = order[at[common]]  # the list is in ascending order of frequency
-            tokens = np.concatenate((tokens[~common], tokens[common][np.argsort(rank, kind="stable")]))
-        return number, len(tokens), tokens[: _probe(len(tokens), percent)].tobytes()
+        place = np.argsort(order.keys(tokens), kind="stable")
+        return number, len(tokens), tokens[place[: _probe(len(tokens), percent)]].tobytes()
 
     made = _pass_sets(documents, size, "digest long, n long, tokens binary", first_tokens)
     made = made.groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    made = made.join(groups, "digest").select("group", "members", "n", "tokens")
+    return checkpointed(made.join(groups, "digest"))
+
+
+def _matrix(made: DataFrame, percent: int) -> DataFrame:
+    """The token-group matrix: (token, group, sizes), only for tokens that two families share.
+
+    ``sizes`` packs the smallest and largest set size behind the token and whether the token
+    is one of the first of a set, by which smaller sets are looked up.
+    """
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One set is one group here."""
@@ -340,8 +376,10 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 80) ->
     stars = checkpointed(_leaders(sets, known, size, percent).distinct())
     families = checkpointed(components(stars)) if not stars.isEmpty() else None
     groups = _groups(sets, families)
-    cells = checkpointed(_matrix(known, groups, frequent, size, percent))
-    opened = _opened(cells, groups, known, size, percent)
+    order = Order(frequent)
+    made = _first_tokens(known, groups, order, size, percent)
+    cells = checkpointed(_matrix(made, percent))
+    opened = _opened(cells, made, known, order, size, percent)
 
     links = stars.union(opened)
     families = components(links)
@@ -404,12 +442,13 @@ def _groups(sets: DataFrame, families: DataFrame | None) -> DataFrame:
 
 
 def _opened(
-    cells: DataFrame, groups: DataFrame, documents: DataFrame, size: int, percent: int
+    cells: DataFrame, made: DataFrame, documents: DataFrame, order: Order, size: int, percent: int
 ) -> DataFrame:
     """A link for each pair of groups of two families that has one."""
     high = F.col("sizes").bitwiseAND(F.lit((1 << 31) - 1))
     low = F.shiftright("sizes", 32)
-    sized = cells.select("token", "group", low.alias("low"), high.alias("high"), F.shiftright("sizes", 31).bitwiseAND(F.lit(1)).alias("first"))
+    first = F.shiftright("sizes", 31).bitwiseAND(F.lit(1))
+    sized = cells.select("token", "group", low.alias("low"), high.alias("high"), first.alias("first"))
     other = sized.where("first = 1").toDF("token", "group2", "low2", "high2", "first2")
     meets = F.expr(
         f"shiftright(group, {_GROUP_BITS}) <> shiftright(group2, {_GROUP_BITS}) "
@@ -422,6 +461,43 @@ def _opened(
     sides = pairs.select("key", F.lit(0).alias("side"), F.col("g").alias("group")).union(
         pairs.select("key", F.lit(1), "h")
     )
-    rows = checkpointed(sides.join(groups.select("digest", "rep", "group"), "group").drop("group"))
-    tokens = _tokens_of(documents, rows.select("digest", "rep").distinct(), size)
-    return _compared(rows.select("key", "side", "digest").join(tokens, "digest"), percent, False)
+    members = rows_with_ids(made, sides.select("group"), "group").drop("members")
+    rows = sides.join(members, "group").drop("group")
+    keys = checkpointed(_qualifying(rows.select("key", "side", "digest", "rep", "n", "tokens"), order, percent))
+    tokens = _tokens_of(documents, keys.select("digest", "rep").distinct(), size)
+    return _compared(keys.select("key", "side", "digest").join(tokens, "digest"), percent, False)
+
+
+def _qualifying(rows: DataFrame, order: Order, percent: int) -> DataFrame:
+    """key, side, digest and rep of the pairs of groups in which first tokens allow a link."""
+    rows = rows.repartition("key").sortWithinPartitions("key", "side")
+    names = ["key", "side", "digest", "rep"]
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in (*names, "n", "tokens"))):
+                if held and row[0] != held[0][0]:
+                    out += _allowed(held, order, percent)
+                    held = []
+                held.append(row)
+            yield _rows(out)
+        yield _rows(_allowed(held, order, percent))
+
+    def _rows(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) if out else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    return rows.mapInArrow(bound, ", ".join(f"{c} long" for c in names))
+
+
+def _allowed(held: list[tuple], order: Order, percent: int) -> list[tuple]:
+    """The sets of both sides that may be linked with one of the other side."""
+    sets = [(side, n, np.frombuffer(t, np.uint64)) for _, side, _, _, n, t in held]
+    good = set()
+    for i, (side, n, a) in enumerate(sets):
+        for j, (other, m, b) in enumerate(sets):
+            if side < other and order.may_be_linked(a, n, b, m, percent):
+                good |= {i, j}
+    return [held[i][:4] for i in sorted(good)]
