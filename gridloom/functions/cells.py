@@ -20,14 +20,14 @@ _BLANKS = "".join(chr(c) for c in range(0x21))
 TRUE_WORDS = ("true", "t", "yes", "y", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "0")
 
-_INTEGER = r"^[+-]?[0-9]+$"
+_INTEGER = r"^[+-]?[0-9]+\z"
 _NUMBER = r"([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
-_DECIMAL = rf"^[+-]?{_NUMBER}$"
-_DOUBLE = rf"^[+-]?(NaN|Infinity|{_NUMBER}[fFdD]?)$"
-_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+_DECIMAL = rf"^[+-]?{_NUMBER}\z"
+_DOUBLE = rf"^[+-]?(NaN|Infinity|{_NUMBER}[fFdD]?)\z"
+_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 _WALL_CLOCK = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?"
 _OFFSET = r"(?:[Zz]|[+-][0-9]{2}(?::?[0-9]{2}(?::?[0-9]{2})?)?)?"
-_TIMESTAMP = rf"^({_WALL_CLOCK}){_OFFSET}$"
+_TIMESTAMP = rf"^({_WALL_CLOCK}){_OFFSET}\z"
 
 
 def timestamp_literal(at: datetime.datetime) -> Column:

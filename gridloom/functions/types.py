@@ -56,7 +56,7 @@ class ColumnType:
 def parse_type(name: str) -> ColumnType:
     """Parse a type name, ignoring case and outer blanks; unknown names raise."""
     if name is None or not name.strip():
-        raise ValueError("Column type cannot be null or blank")
+        raise ValueError("a column needs a type")
     text = " ".join(name.upper().split())
     sized = _SIZED.match(text)
     if sized and sized.group(1) == "VARCHAR":
@@ -66,7 +66,7 @@ def parse_type(name: str) -> ColumnType:
         precision, scale = int(sized.group(2)), int(sized.group(3) or 0)
         return ColumnType(f"DECIMAL({precision},{scale})", T.DecimalType(precision, scale))
     if text not in TYPE_NAMES:
-        raise ValueError(f"Unsupported column type: {name}")
+        raise ValueError(f"not a type of this library: {name!r}")
     canonical = TYPE_NAMES[text]
     return ColumnType(canonical, _SPARK[canonical])
 

@@ -112,8 +112,28 @@ def delete_rows(base: DataFrame, ids: DataFrame, id_col: str = ID_COLUMN) -> Dat
     return base.join(ids.select(id_col).distinct(), id_col, "left_anti")
 
 
-def upsert(base: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Insert rows with new keys, replace the given columns of rows with known keys."""
+def one_per_key(
+    source: DataFrame, key: str, order: list[str] | None = None, last: bool = False
+) -> DataFrame:
+    """The first or last row of each key by the columns ``order``, then by all others.
+
+    NULLs come first. Rows with a NULL key are all kept: NULL repeats no key.
+    """
+    rest = [c for c in source.columns if c != key and c not in (order or [])]
+    row = F.struct(*(order or []), *rest)
+    picked = source.where(F.col(key).isNotNull()).groupBy(key)
+    picked = picked.agg((F.max if last else F.min)(row).alias("_row")).select(key, "_row.*")
+    return picked.select(source.columns).union(source.where(F.col(key).isNull()))
+
+
+def upsert(
+    base: DataFrame, source: DataFrame, key: str, order: list[str] | None = None
+) -> DataFrame:
+    """Insert rows with new keys, replace the given columns of rows with known keys.
+
+    Of source rows that repeat a key the last by ``order`` counts.
+    """
+    source = one_per_key(source, key, order, last=True)
     rows = base.withColumn("_base", F.struct(*base.columns)).select(key, "_base")
     incoming = source.select(key, F.struct(*source.columns).alias("_source"))
     hit = F.col("_source").isNotNull()
@@ -132,8 +152,11 @@ def replace_rows(base: DataFrame, rows: DataFrame, id_col: str = ID_COLUMN) -> D
     return delete_rows(base, rows, id_col).unionByName(rows)
 
 
-def insert_if_absent(base: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Add only rows whose key is not there yet."""
+def insert_if_absent(
+    base: DataFrame, source: DataFrame, key: str, order: list[str] | None = None
+) -> DataFrame:
+    """Add only rows whose key is not there yet, the first by ``order`` of those that repeat one."""
+    source = one_per_key(source, key, order)
     return base.unionByName(source.join(base.select(key).distinct(), key, "left_anti"))
 
 

@@ -29,7 +29,7 @@ def check_deployment_type(value: str | None, default: str = "DESIGN_TIME") -> st
     if value is None or not value.strip():
         return default
     if value not in DEPLOYMENT_TYPES:
-        raise ValueError("Deployment type must be either 'RUN_TIME' or 'DESIGN_TIME'")
+        raise ValueError("a table is deployed as RUN_TIME or DESIGN_TIME")
     return value
 
 
@@ -37,11 +37,11 @@ def check_table_form(label: str | None, columns: dict[str, str]) -> dict[str, st
     """Check the label and columns of a table about to be made; blank columns are left out."""
     named = {c: t for c, t in columns.items() if c.strip()}
     if label is None or not label.strip():
-        raise ValueError("Table name is required")
+        raise ValueError("a table needs a name")
     if not named:
-        raise ValueError("At least one column is required")
+        raise ValueError("a table needs a column")
     for text in (label, *named):
-        if not re.match(LABEL, text):
+        if not re.fullmatch(LABEL, text):
             raise ValueError(f"only letters, digits and underscores are allowed: {text}")
     for type_text in named.values():
         parse_type(type_text)
@@ -52,21 +52,26 @@ def add_column(df: DataFrame, name: str, type_text: str) -> DataFrame:
     """Add a column that is NULL in the rows there are."""
     check_identifier(name)
     if name.lower() in [c.lower() for c in df.columns]:
-        raise ValueError(f"Column exists already: {name}")
+        raise ValueError(f"the table has a column {name} already")
     return df.withColumn(name, F.lit(None).cast(parse_type(type_text).spark))
 
 
 def drop_column(df: DataFrame, name: str) -> DataFrame:
     if name not in df.columns:
-        raise ValueError(f"Column does not belong to the table: {name}")
+        raise ValueError(f"no column {name} in the table")
     return df.drop(name)
 
 
 def rename_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Rename columns; new names must be free, counting names that differ in case as equal."""
     for old, new in names.items():
         if old not in df.columns:
-            raise ValueError(f"Column does not belong to the table: {old}")
+            raise ValueError(f"no column {old} in the table")
         check_identifier(new)
+    after = [names.get(c, c).lower() for c in df.columns]
+    taken = sorted({n for n in after if after.count(n) > 1})
+    if taken:
+        raise ValueError(f"several columns would be called {', '.join(taken)}")
     return df.withColumnsRenamed(names)
 
 
@@ -99,7 +104,7 @@ def converted_column(df: DataFrame, name: str, type_text: str) -> DataFrame:
 def change_column_type(df: DataFrame, name: str, type_text: str) -> DataFrame:
     """Change a column's type; one value that does not convert fails the whole change."""
     if name not in df.columns:
-        raise ValueError(f"Column does not belong to the table: {name}")
+        raise ValueError(f"no column {name} in the table")
     if not conversion_failures(df, name, type_text, []).isEmpty():
         raise ValueError(f"Values of {name} do not convert to {type_text}")
     return converted_column(df, name, type_text)

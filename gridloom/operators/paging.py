@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from gridloom.functions.cells import timestamp_literal
+from gridloom.operators.keys import with_positions
 
 PAGE_SIZE = 100
 # Pages ending before this row come from a plain top-k; deeper ones narrow first.
@@ -88,22 +89,23 @@ def _lead_range(df: DataFrame, sort: SortModel, low: Row | None, high: Row | Non
 
 def _narrow(
     df: DataFrame, sort: SortModel, start: int, end: int, max_rows: int, sample_rows: int
-) -> tuple[DataFrame, int]:
-    """Cut ``df`` to a sort-key range holding rows [start, end) and at most about
-    ``max_rows`` rows; also return how many rows sort before the range.
-
-    Each round samples sort keys of the current range, brackets the page between two of
-    them and counts exactly. A bracket that misses the page is dropped and drawn wider,
-    so sampling affects the number of rounds and never the result.
+) -> tuple[DataFrame, int, int]:
+    """Cut ``df`` to a sort-key range that holds rows [start, end).
+
+    Also return how many rows sort before the range and how many it has. Each round samples
+    about ``sample_rows`` sort keys of the current range, brackets the page between two of
+    them and counts exactly; a bracket that misses the page is drawn wider. It ends when the
+    range has ``max_rows`` rows or a round no longer halves it, because the page itself is
+    wide or the rows tie.
     """
     names = [c for c, _ in sort]
     order = order_columns(sort)
     window, rows, skipped = df, df.count(), 0
     end = min(end, rows)
     spread, seed = 2.0, 17
-    while rows > max_rows and start < end:
-        fraction = min(1.0, sample_rows / rows)
-        sample = window.select(*names).sample(fraction, seed).orderBy(*order).collect()
+    while rows > max_rows and start < end and 2 * (end - start) < rows:
+        sample = window.select(*names).sample(min(1.0, sample_rows / rows), seed)
+        sample = sample.orderBy(*order).collect()
         seed += 1
         n = len(sample)
         slack = spread * math.sqrt(n) + 1
@@ -112,10 +114,7 @@ def _narrow(
         low = sample[low_at] if low_at >= 0 else None
         high = sample[high_at] if high_at < n else None
         if low is None and high is None:
-            if fraction == 1.0 or sample_rows > rows:
-                break
-            sample_rows *= 2
-            continue
+            break
         before = is_before(df, sort, low) if low is not None else F.lit(False)
         up_to = is_before(df, sort, high, inclusive=True) if high is not None else F.lit(True)
         below, inside = window.agg(
@@ -126,10 +125,10 @@ def _narrow(
             continue
         window = window.where(_lead_range(df, sort, low, high) & up_to & ~before)
         skipped += below
-        if inside == rows:  # every row left ties with its neighbours
+        halved, rows = 2 * inside <= rows, inside
+        if not halved:
             break
-        rows = inside
-    return window, skipped
+    return window, skipped, rows
 
 
 def page(
@@ -144,15 +143,22 @@ def page(
 ) -> DataFrame:
     """Rows [start, end) of the sorted table, numbered from ``start`` in ``_position``.
 
-    OFFSET makes a task hold every skipped row, so a deep page first narrows the table
-    to the range of sort keys around it.
+    OFFSET makes a task hold every row up to the page's end. Beyond ``top_k_rows`` of them the
+    table is first narrowed to the range of sort keys around the page; if that is still wide,
+    its rows are numbered where they are sorted and the page is a filter on the numbers, so
+    neither a task nor the driver ever holds a page wider than ``top_k_rows``.
     """
     ordered = total_order(sort, tie_break)
+    order = order_columns(ordered)
     skipped = 0
     if end > top_k_rows:
-        df, skipped = _narrow(df, ordered, start, end, top_k_rows, sample_rows)
-    rows = df.orderBy(*order_columns(ordered)).offset(start - skipped).limit(max(0, end - start))
-    return number_page(rows, order_columns(ordered), start)
+        df, skipped, rows = _narrow(df, ordered, start, end, top_k_rows, sample_rows)
+        if rows > top_k_rows:
+            numbered = with_positions(df, order, "_position")
+            numbered = numbered.withColumn("_position", F.col("_position") + F.lit(skipped))
+            return numbered.where((F.col("_position") >= start) & (F.col("_position") < end))
+    rows = df.orderBy(*order).offset(start - skipped).limit(max(0, end - start))
+    return number_page(rows, order, start)
 
 
 def number_page(rows: DataFrame, order: list[Column], start: int) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.cells import timestamp_literal
-from gridloom.functions.names import ID_COLUMN, LABEL
+from gridloom.functions.names import ID_COLUMN, LABEL, matches_whole
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,7 +89,7 @@ def in_domain(column: Column, values: list) -> Column:
 
 
 def is_label(column: Column) -> Column:
-    return (F.trim(column) != "") & column.rlike(LABEL)
+    return (F.trim(column) != "") & matches_whole(column, LABEL)
 
 
 def orphan_keys(

@@ -2,66 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-# Below this estimated size even one key holding every row is a comfortable task set.
-SALT_FROM_BYTES = 4 << 30
+# A key with more rows than this is spread over several tasks.
 ROWS_PER_TASK = 2_000_000
-# At most this many keys are salted, so the broadcast list stays small. A key left out
-# ranks behind all of them and holds under 1/10000 of the rows.
-MAX_HOT_KEYS = 10_000
-NULL_SALTS = 4_096
 
 # A side is broadcast only when it was measured to be below both.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; runs no job."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
 def join_unique(
     left: DataFrame,
     right: DataFrame,
     on: list[str],
     how: str = "inner",
     *,
-    salt_from_bytes: int = SALT_FROM_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join ``left``, whose keys may repeat without bound, to ``right``, one row per key.
 
-    ``how`` is inner, left, left_semi or left_anti. A large left side gets its hot keys
-    counted first; rows of a hot key are spread over as many salts as it fills tasks and
-    only that key's single right row is copied. The salt is a hash of the row, so a
-    recomputed task places every row where it was before.
+    ``how`` is inner, left, left_semi or left_anti. Rows of a hot key, the NULL key included,
+    are spread over as many salts as they fill tasks, and only that key's single right row is
+    copied. The salt is a hash of the row, so a recomputed task places every row where it was
+    before. The list of hot keys goes to all tasks; it has at most one entry for each
+    ``rows_per_task`` rows of ``left``, half a million at 10^12 rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    if estimated_bytes(left) < salt_from_bytes:
-        return left.join(right, on, how)
+    keys = [f"_hot{i}" for i in range(len(on))]
     hot = F.broadcast(
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows_per_task)
-        .orderBy(F.col("_n").desc(), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
-    )
-    has_null = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
-    salts = F.when(has_null, NULL_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
-    salted_left = (
-        left.join(hot, on, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
-        .drop("_salts")
+        left.groupBy(*[F.col(c).alias(k) for c, k in zip(on, keys)])
+        .agg(F.ceil(F.count(F.lit(1)) / rows_per_task).cast("int").alias("_salts"))
+        .where(F.col("_salts") > 1)
     )
-    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
-    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    joined = salted_left.join(salted_right, [*on, "_salt"], how)
-    return joined.drop("_salt")
+
+    def salted(side: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for c, k in zip(on, keys):
+            same &= side[c].eqNullSafe(hot[k])
+        joined = side.join(hot, same, "left").drop(*keys)
+        return joined.withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+    spread = F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int")
+    salted_left = salted(left).withColumn("_salt", spread).drop("_salts")
+    copies = F.sequence(F.lit(0), F.col("_salts") - 1)
+    salted_right = salted(right).withColumn("_salt", F.explode(copies)).drop("_salts")
+    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
 def broadcast_if_small(
@@ -69,11 +56,18 @@ def broadcast_if_small(
 ) -> DataFrame:
     """Mark a checkpointed frame for broadcast when it really is small.
 
-    Estimates stop at the first join or aggregate, so the rows are counted, at most one
-    more than allowed, and their text size is added up. A larger frame is returned as it
-    is and joins by shuffle.
+    Estimates stop at the first join or aggregate, so every task adds up its own rows and
+    their size, and only those sums meet. A larger frame is returned as it is and joins by
+    shuffle.
     """
-    head = stored.limit(max_rows + 1)
-    width = F.length(F.to_json(F.struct(*stored.columns)))
-    rows, size = head.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    width = F.lit(0).cast("long")
+    for field in stored.schema.fields:
+        if isinstance(field.dataType, T.AtomicType) and not isinstance(field.dataType, T.StringType):
+            width += 8
+        else:
+            text = F.col(field.name)
+            if not isinstance(field.dataType, T.StringType):
+                text = F.to_json(F.struct(text))
+            width += F.coalesce(F.octet_length(text), F.lit(0)) + 8
+    rows, size = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return F.broadcast(stored) if rows <= max_rows and size <= max_bytes else stored

@@ -26,33 +26,39 @@ def _newest_times(df: DataFrame, keys: list[str], at: str, keep: int) -> tuple[D
     return top, newest
 
 
+def _cutoff(top: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The oldest time to keep per key; a kept NULL time, the oldest of all, keeps every row."""
+    return top.groupBy(F.struct(*keys).alias("_key")).agg(
+        F.min(at).alias("_since"), F.bool_or(F.col(at).isNull()).alias("_all")
+    )
+
+
 def _since(df: DataFrame, cutoff: DataFrame, keys: list[str], at: str, **skew) -> DataFrame:
-    joined = join_unique(df, cutoff, keys, "inner", **skew)
-    return joined.where(F.col(at) >= F.col("_since")).select(*df.columns)
+    # Structs with NULL fields compare as equal, so rows with a NULL key keep their place.
+    keyed = df.withColumn("_key", F.struct(*keys))
+    joined = join_unique(keyed, cutoff, ["_key"], "inner", **skew)
+    return joined.where(F.col("_all") | (F.col(at) >= F.col("_since"))).select(*df.columns)
 
 
 def retain_last_versions(
     df: DataFrame, keys: list[str], at: str, keep: int = KEEP_VERSIONS, **skew
 ) -> DataFrame:
-    """Rows as new as the ``keep`` newest rows of their key; ties with the oldest stay."""
+    """Rows as new as the ``keep`` newest rows of their key; ties with the oldest stay.
+
+    A NULL key is a key of its own, and a NULL time is older than any other.
+    """
     top, newest = _newest_times(df, keys, at, keep)
     newer_rows = F.sum("_rows").over(newest.rowsBetween(Window.unboundedPreceding, -1))
-    cutoff = (
-        top.withColumn("_newer", F.coalesce(newer_rows, F.lit(0)))
-        .where(F.col("_newer") < keep)
-        .groupBy(*keys)
-        .agg(F.min(at).alias("_since"))
-    )
-    return _since(df, cutoff, keys, at, **skew)
+    top = top.withColumn("_newer", F.coalesce(newer_rows, F.lit(0))).where(F.col("_newer") < keep)
+    return _since(df, _cutoff(top, keys, at), keys, at, **skew)
 
 
 def retain_last_snapshots(
     df: DataFrame, keys: list[str], at: str, keep: int = KEEP_VERSIONS, **skew
 ) -> DataFrame:
-    """Rows of the ``keep`` newest distinct times of their key."""
+    """Rows of the ``keep`` newest distinct times of their key; NULLs as above."""
     top, _ = _newest_times(df, keys, at, keep)
-    cutoff = top.groupBy(*keys).agg(F.min(at).alias("_since"))
-    return _since(df, cutoff, keys, at, **skew)
+    return _since(df, _cutoff(top, keys, at), keys, at, **skew)
 
 
 def backup_rows(rows: DataFrame, condition: Column, now: datetime.datetime) -> DataFrame:
@@ -161,9 +167,9 @@ def check_migration(
 ) -> str:
     """Raise unless a table may be copied into ``target_schema``."""
     if target_schema is None or not target_schema.strip():
-        raise ValueError("Target schema cannot be null or blank")
+        raise ValueError("name the schema to copy to")
     if target_schema not in available:
-        raise ValueError(f"Target schema '{target_schema}' is not in available schemas list")
+        raise ValueError(f"no schema {target_schema!r} to copy to")
     if not source_exists:
-        raise ValueError("Table not found in the source schema")
+        raise ValueError("there is nothing to copy: no such table in the source schema")
     return target_schema

@@ -57,18 +57,18 @@ def _(spark, sf):
     "find_across_schemas",
     """SELECT 'public' AS schema_name, s_suppkey AS id, s_name AS tbl_label FROM supplier
        UNION ALL
-       SELECT 'dmgr', c_custkey, c_name FROM customer
+       SELECT 'published', c_custkey, c_name FROM customer
        WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""",
 )
 def _(spark, sf):
-    dmgr = table(spark, sf, "customer").select(
+    published = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("tbl_label")
     )
     public = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("id"), F.col("s_name").alias("tbl_label")
     )
-    schemas = {"dmgr": dmgr, "public": public}
-    return K.find_across_schemas({s: schemas[s] for s in K.schema_order(["dmgr", "public"])})
+    schemas = {"published": published, "public": public}
+    return K.find_across_schemas({s: schemas[s] for s in K.schema_order(["published", "public"])})
 
 
 def _cascade(spark, sf):
@@ -140,22 +140,6 @@ def _(spark, sf):
     return E.conversion_failures(table(spark, sf, "part"), "p_name", "varchar(10)", ["p_partkey"])
 
 
-@plan(
-    "table_structure",
-    """SELECT column_index AS ordinal, column_name AS "column",
-              CASE data_type WHEN 'VARCHAR' THEN 'TEXT' ELSE data_type END AS type,
-              CAST(NULL AS VARCHAR) AS "default"
-       FROM duckdb_columns() WHERE table_name = 'lineitem'""",
-)
-def _(spark, sf):
-    return E.table_structure(table(spark, sf, "lineitem"))
-
-
-@plan("clone_structure", "SELECT * FROM orders WHERE false")
-def _(spark, sf):
-    return E.clone_structure(table(spark, sf, "orders"))
-
-
 @plan(
     "backfill_default",
     """SELECT d.doc_id, d.source, coalesce(l.quality, 1) AS quality, coalesce(l.toxic, 0) AS toxic
@@ -315,24 +299,49 @@ def _(spark, sf):
     return V.rollback_tables(_tables(spark, sf), _backups(spark, sf))
 
 
+# NULL keys and NULL times take part: a key of their own, and older than any other time.
+_DIRTY_ORDERS_SQL = """
+    SELECT * REPLACE (
+        CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey END AS o_custkey,
+        CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate) FROM orders"""
+
+
 @plan(
     "retain_last_versions",
-    """SELECT * EXCLUDE (rk) FROM (
-           SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS rk
-           FROM orders) WHERE rk <= 5""",
+    f"""SELECT * EXCLUDE (rk) FROM (
+           SELECT *, rank() OVER (
+               PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST) AS rk
+           FROM ({_DIRTY_ORDERS_SQL})) WHERE rk <= 5""",
 )
 def _(spark, sf):
-    return V.retain_last_versions(table(spark, sf, "orders"), ["o_custkey"], "o_orderdate")
+    orders = table(spark, sf, "orders").withColumns(
+        {
+            "o_custkey": F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")),
+            "o_orderdate": F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")),
+        }
+    )
+    return V.retain_last_versions(orders, ["o_custkey"], "o_orderdate")
 
 
 @plan(
     "retain_last_snapshots",
     """SELECT * EXCLUDE (rk) FROM (
-           SELECT *, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC) AS rk
-           FROM lineitem) WHERE rk <= 5""",
+           SELECT *, dense_rank() OVER (
+               PARTITION BY l_suppkey ORDER BY l_shipdate DESC NULLS LAST) AS rk
+           FROM (SELECT * REPLACE (
+               CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_suppkey END AS l_suppkey,
+               CASE WHEN l_suppkey % 3 = 0 AND l_linenumber > 1 THEN NULL ELSE l_shipdate END
+                   AS l_shipdate) FROM lineitem)) WHERE rk <= 5""",
 )
 def _(spark, sf):
-    return V.retain_last_snapshots(table(spark, sf, "lineitem"), ["l_suppkey"], "l_shipdate")
+    hidden = (F.col("l_suppkey") % 3 == 0) & (F.col("l_linenumber") > 1)
+    lineitem = table(spark, sf, "lineitem").withColumns(
+        {
+            "l_suppkey": F.when(F.col("l_suppkey") % 5 != 0, F.col("l_suppkey")),
+            "l_shipdate": F.when(~hidden, F.col("l_shipdate")),
+        }
+    )
+    return V.retain_last_snapshots(lineitem, ["l_suppkey"], "l_shipdate")
 
 
 # --- data copies -------------------------------------------------------------------
@@ -477,12 +486,16 @@ def _(spark, sf):
     """SELECT o_orderkey, 'status' AS rule FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
        UNION ALL
        SELECT o_orderkey, 'priority' FROM orders
-       WHERE NOT regexp_full_match(o_orderpriority, '[a-zA-Z0-9_]+')""",
+       WHERE NOT regexp_full_match(o_orderpriority, '[a-zA-Z0-9_]+')
+       UNION ALL
+       SELECT o_orderkey, 'line break' FROM orders WHERE o_orderkey % 3 = 0""",
 )
 def _(spark, sf):
+    broken = F.when(F.col("o_orderkey") % 3 == 0, "\n").otherwise("")
     rules = {
         "status": L.in_domain(F.col("o_orderstatus"), ["O", "F"]),
         "priority": L.is_label(F.col("o_orderpriority")),
+        "line break": L.is_label(F.concat("o_orderstatus", broken)),
     }
     return L.violations(table(spark, sf, "orders"), ["o_orderkey"], rules)
 

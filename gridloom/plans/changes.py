@@ -374,41 +374,61 @@ def _(spark, sf):
     return C.delete_rows(orders_grid(spark, sf), big.select(F.col("l_orderkey").alias("id")))
 
 
+# The source repeats keys and has rows without one.
 _SUPPLIER_AS_CUSTOMER_SQL = """
-    SELECT s_suppkey * 20 AS c_custkey, s_name AS c_name, s_acctbal AS c_acctbal FROM supplier"""
+    SELECT s_suppkey * 20 AS c_custkey, s_name AS c_name, s_acctbal AS c_acctbal FROM supplier
+    UNION ALL
+    SELECT s_suppkey * 20, s_name || ' again', -s_acctbal FROM supplier WHERE s_suppkey % 2 = 0
+    UNION ALL
+    SELECT NULL, s_name, s_acctbal FROM supplier WHERE s_suppkey % 4 = 0"""
+
+
+def _one_per_key_sql(direction: str) -> str:
+    return f"""
+    SELECT c_custkey, c_name, c_acctbal FROM (
+        SELECT *, row_number() OVER (
+            PARTITION BY c_custkey ORDER BY c_name {direction}, c_acctbal {direction}) AS nth
+        FROM ({_SUPPLIER_AS_CUSTOMER_SQL})) WHERE nth = 1 OR c_custkey IS NULL"""
 
 
 def _supplier_as_customer(spark, sf):
-    return table(spark, sf, "supplier").select(
-        (F.col("s_suppkey") * 20).alias("c_custkey"),
-        F.col("s_name").alias("c_name"),
-        F.col("s_acctbal").alias("c_acctbal"),
+    supplier = table(spark, sf, "supplier")
+    key, name, balance = F.col("s_suppkey") * 20, F.col("s_name"), F.col("s_acctbal")
+    names = ["c_custkey", "c_name", "c_acctbal"]
+    again = supplier.where(F.col("s_suppkey") % 2 == 0)
+    keyless = supplier.where(F.col("s_suppkey") % 4 == 0)
+    return (
+        supplier.select(key, name, balance)
+        .union(again.select(key, F.concat(name, F.lit(" again")), -balance))
+        .union(keyless.select(F.lit(None).cast("long"), name, balance))
+        .toDF(*names)
     )
 
 
 @plan(
     "upsert",
     f"""SELECT coalesce(c.c_custkey, s.c_custkey) AS c_custkey,
-               CASE WHEN s.c_custkey IS NOT NULL THEN s.c_name ELSE c.c_name END AS c_name,
+               CASE WHEN s.c_name IS NOT NULL THEN s.c_name ELSE c.c_name END AS c_name,
                c.c_nationkey,
-               CASE WHEN s.c_custkey IS NOT NULL THEN s.c_acctbal ELSE c.c_acctbal END AS c_acctbal,
+               CASE WHEN s.c_name IS NOT NULL THEN s.c_acctbal ELSE c.c_acctbal END AS c_acctbal,
                c.c_mktsegment
-        FROM customer c FULL JOIN ({_SUPPLIER_AS_CUSTOMER_SQL}) s ON c.c_custkey = s.c_custkey""",
+        FROM customer c FULL JOIN ({_one_per_key_sql("DESC")}) s ON c.c_custkey = s.c_custkey""",
 )
 def _(spark, sf):
-    return C.upsert(table(spark, sf, "customer"), _supplier_as_customer(spark, sf), "c_custkey")
+    source = _supplier_as_customer(spark, sf)
+    return C.upsert(table(spark, sf, "customer"), source, "c_custkey", ["c_name"])
 
 
 @plan(
     "insert_if_absent",
     f"""SELECT c_custkey, c_name, c_acctbal FROM customer
         UNION ALL
-        SELECT * FROM ({_SUPPLIER_AS_CUSTOMER_SQL}) s
+        SELECT * FROM ({_one_per_key_sql("")}) s
         WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = s.c_custkey)""",
 )
 def _(spark, sf):
     customer = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return C.insert_if_absent(customer, _supplier_as_customer(spark, sf), "c_custkey")
+    return C.insert_if_absent(customer, _supplier_as_customer(spark, sf), "c_custkey", ["c_name"])
 
 
 @plan(

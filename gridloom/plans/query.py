@@ -117,14 +117,18 @@ def _(spark, sf):
     "identifier_check",
     """SELECT p_partkey,
               regexp_full_match(p_brand, '[a-zA-Z_][a-zA-Z0-9_]*') AS brand_ok,
-              regexp_full_match(p_type, '[a-zA-Z_][a-zA-Z0-9_]*') AS type_ok
+              regexp_full_match(p_type, '[a-zA-Z_][a-zA-Z0-9_]*') AS type_ok,
+              regexp_full_match(p_type || CASE WHEN p_partkey % 2 = 0 THEN chr(10) ELSE '' END,
+                  '[a-zA-Z_][a-zA-Z0-9_]*') AS line_ok
        FROM part""",
 )
 def _(spark, sf):
+    broken = F.when(F.col("p_partkey") % 2 == 0, "\n").otherwise("")
     return table(spark, sf, "part").select(
         "p_partkey",
         is_identifier(F.col("p_brand")).alias("brand_ok"),
         is_identifier(F.col("p_type")).alias("type_ok"),
+        is_identifier(F.concat("p_type", broken)).alias("line_ok"),
     )
 
 
@@ -208,6 +212,24 @@ def _(spark, sf):
     )
 
 
+_ORDERS_BY_PRICE = """
+    SELECT * FROM (
+        SELECT *, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) - 1
+            AS _position FROM orders)"""
+
+
+@plan("page_wide", f"{_ORDERS_BY_PRICE} WHERE _position >= 500 AND _position < 9000")
+def _(spark, sf):
+    orders = table(spark, sf, "orders")
+    return page(orders, [("o_totalprice", "desc")], ["o_orderkey"], 500, 9000, top_k_rows=1_000)
+
+
+@plan("page_all", _ORDERS_BY_PRICE)
+def _(spark, sf):
+    orders = table(spark, sf, "orders")
+    return page(orders, [("o_totalprice", "desc")], ["o_orderkey"], 0, 1 << 40, top_k_rows=1_000)
+
+
 @plan(
     "page_after",
     """SELECT o_orderkey, o_totalprice, o_orderdate FROM orders

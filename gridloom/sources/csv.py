@@ -81,7 +81,7 @@ def read_header(
     first = line_reader(spark.read, header=False).csv(path).limit(1)
     rows = first.select(split_line(F.col("line"), delimiter, quote, escape)).collect()
     if not rows:
-        raise ValueError("CSV file is empty or has no header")
+        raise ValueError("no header line to read")
     return [c.rstrip("\r") for c in rows[0][0]]
 
 

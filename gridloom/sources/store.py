@@ -254,7 +254,7 @@ class TableStore:
         self,
         spark: SparkSession,
         root: str,
-        schemas: tuple[str, ...] = ("public", "dmgr"),
+        schemas: tuple[str, ...] = ("public", "published"),
         bucket_count: int = 16,
     ):
         self.spark = spark
@@ -306,7 +306,7 @@ class TableStore:
     def _entry(self, table_id: int, schema: str):
         row = self.catalog(schema)["tables"].where(F.col("id") == table_id).first()
         if row is None:
-            raise ValueError(f"Table not found with ID: {table_id} in schema: {schema}")
+            raise ValueError(f"schema {schema} has no table {table_id}")
         return row
 
     def find(self, table_id: int):
@@ -315,7 +315,7 @@ class TableStore:
         found = K.find_across_schemas({s: self.catalog(s)["tables"] for s in order})
         row = found.where(F.col("id") == table_id).first()
         if row is None:
-            raise ValueError(f"Table not found with ID: {table_id}")
+            raise ValueError(f"no schema has a table {table_id}")
         return row["schema_name"], row
 
     def data(self, table_id: int, schema: str = K.DEFAULT_SCHEMA) -> TableData:
@@ -365,7 +365,7 @@ class TableStore:
     ) -> int:
         """An empty table with id and audit columns; returns its id."""
         if label is None or not label.strip():
-            raise ValueError("Table name is required")
+            raise ValueError("a table needs a name")
         kind = E.check_deployment_type(deployment_type)
         version, frames = self._version(schema), self.catalog(schema)
         table_id, link = max_id(frames["tables"], "id") + 1, f"tbl_{uuid.uuid4().hex}"
@@ -423,9 +423,9 @@ class TableStore:
     def _column(self, table_id: int, column_id: int, schema: str):
         row = self.catalog(schema)["columns"].where(F.col("id") == column_id).first()
         if row is None:
-            raise ValueError(f"Column not found with ID: {column_id}")
+            raise ValueError(f"no column {column_id}")
         if row["tbl_id"] != table_id:
-            raise ValueError("Column does not belong to the specified table")
+            raise ValueError(f"column {column_id} is of another table")
         return row
 
     def drop_column(

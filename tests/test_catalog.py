@@ -32,19 +32,19 @@ def test_parents_with_children(spark, rows):
     got = K.parents_with_children(parents, children, "id", "pid")
     assert rows(got) == [(1, "a", 10, 1), (1, "a", 11, 1), (2, "b", None, None)]
     salted = K.parents_with_children(
-        parents, children, "id", "pid", salt_from_bytes=0, rows_per_task=1
+        parents, children, "id", "pid", rows_per_task=1
     )
     assert rows(salted) == rows(got)
 
 
 def test_find_across_schemas(spark):
     make = lambda *ids: spark.createDataFrame([(i, f"x{i}") for i in ids], "id int, l string")
-    schemas = {"dmgr": make(1, 2), "public": make(2, 3), "other": make(3, 4)}
-    order = K.schema_order(["dmgr", "public", "other"])
-    assert order == ["public", "dmgr", "other"]
+    schemas = {"published": make(1, 2), "public": make(2, 3), "other": make(3, 4)}
+    order = K.schema_order(["published", "public", "other"])
+    assert order == ["public", "published", "other"]
     found = K.find_across_schemas({s: schemas[s] for s in order})
     assert {r.id: r.schema_name for r in found.collect()} == {
-        1: "dmgr", 2: "public", 3: "public", 4: "other",
+        1: "published", 2: "public", 3: "public", 4: "other",
     }
 
 
@@ -159,7 +159,7 @@ def history(spark):
     return spark.createDataFrame(data, "k int, at timestamp_ntz, v int")
 
 
-@pytest.mark.parametrize("skew", [{}, {"salt_from_bytes": 0, "rows_per_task": 2}])
+@pytest.mark.parametrize("skew", [{}, {"rows_per_task": 2}])
 def test_retention(history, skew):
     kept = V.retain_last_versions(history, ["k"], "at", **skew)
     assert sorted(r.v for r in kept.collect()) == [5, 6, 7, 8, 9, 100, 101]
@@ -203,10 +203,10 @@ def test_bulk_copy(spark):
 
 
 def test_check_migration():
-    assert V.check_migration("dmgr", ["public", "dmgr"], True) == "dmgr"
-    for target, there in ((None, True), (" ", True), ("else", True), ("dmgr", False)):
+    assert V.check_migration("published", ["public", "published"], True) == "published"
+    for target, there in ((None, True), (" ", True), ("else", True), ("published", False)):
         with pytest.raises(ValueError):
-            V.check_migration(target, ["public", "dmgr"], there)
+            V.check_migration(target, ["public", "published"], there)
 
 
 def test_integrity(spark):

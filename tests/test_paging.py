@@ -63,6 +63,19 @@ def test_page_of_identical_rows(spark):
     assert got.count() == 10
 
 
+def test_wide_pages_collect_little(spark, monkeypatch):
+    df = spark.range(0, 6000).select((F.col("id") * 7919 % 6000).alias("id"))
+    collected, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: collected.append(out := collect(self)) or out)
+    for start, end in ((0, 6000), (0, 1 << 40), (100, 5000), (2500, 4000)):
+        got = page(df, [("id", "desc")], [], start, end, top_k_rows=500, sample_rows=300)
+        assert sum(map(len, collected)) < 2_000
+        rows = got.orderBy("_position")
+        rows = [(r.id, r._position) for r in collect(rows)]
+        assert rows == [(5999 - p, p) for p in range(start, min(end, 6000))]
+        collected.clear()
+
+
 def test_page_after_walks_the_table(hot):
     sort = [("lead", "desc"), ("word", "asc")]
     seen, last = [], None
@@ -112,7 +125,7 @@ def test_salted_join_equals_plain_join(spark, rows, how):
     )
     right = spark.range(0, 30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     want = rows(left.join(right, ["k"], how))
-    got = join_unique(left, right, ["k"], how, salt_from_bytes=0, rows_per_task=100)
+    got = join_unique(left, right, ["k"], how, rows_per_task=100)
     assert rows(got) == want
     assert got.columns == left.join(right, ["k"], how).columns
     with pytest.raises(ValueError):

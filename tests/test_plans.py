@@ -8,11 +8,10 @@ import textwrap
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as driver
 from gridloom.operators import changes as C
 from gridloom.operators.paging import _narrow
 from gridloom.operators.skew import broadcast_if_small
-from gridloom.plans import changes as P
+from gridloom.plans import PLANS, changes as P
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -31,7 +30,7 @@ def plans(spark):
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        return {n: physical(q(spark, SF_DIR)) for n, q in driver.queries().items()}
+        return {n: physical(p.run(spark, SF_DIR)) for n, p in PLANS.items()}
     finally:
         for key in settings:
             spark.conf.unset(key)
@@ -60,6 +59,19 @@ def test_single_partitions_hold_summaries_only(plans):
             assert re.search(r"partial_|HashAggregate\(keys=\[_part|LocalLimit", below), (name, below)
 
 
+def test_measuring_adds_up_in_the_tasks(spark):
+    """The job that measures a frame, run while a plan is built, moves sums only."""
+    seen = []
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("measure", "measure")
+    df = spark.range(0, 50_000, numPartitions=4).select(F.repeat(F.lit("x"), 20).alias("s"))
+    broadcast_if_small(df)
+    for job in tracker.getJobIdsForGroup("measure"):
+        seen += [tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(job).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 4 in seen
+
+
 @pytest.mark.parametrize(
     "name,pushed",
     [
@@ -109,8 +121,8 @@ def test_broadcast_is_measured(spark):
 
 def test_narrowing_shrinks_the_table(spark):
     df = spark.range(0, 20_000).select((F.col("id") * 7919 % 20_000).alias("id"))
-    window, skipped = _narrow(df, [("id", "asc")], 12_000, 12_100, 500, 1_000)
-    assert window.count() <= 500 and window.agg(F.min("id")).first()[0] == skipped
+    window, skipped, rows = _narrow(df, [("id", "asc")], 12_000, 12_100, 500, 1_000)
+    assert window.count() == rows <= 500 and window.agg(F.min("id")).first()[0] == skipped
     assert skipped <= 12_000
 
 

@@ -95,38 +95,38 @@ def test_second_writer_fails(store, people):
 
 def test_migrate_and_rollback(spark, store, people):
     table_id, links = people
-    link = store.migrate(table_id, "dmgr", "ann", NOW)
+    link = store.migrate(table_id, "published", "ann", NOW)
     assert link == store.catalog("public")["tables"].first().tbl_link
-    copy = store.catalog("dmgr")["tables"].first()
+    copy = store.catalog("published")["tables"].first()
     assert (copy.tbl_label, copy.tbl_link, copy.version_no) == ("People", link, 1)
-    assert shown(store.scan(copy.id, "dmgr"), links) == shown(store.scan(table_id), links)
+    assert shown(store.scan(copy.id, "published"), links) == shown(store.scan(table_id), links)
     # The target changes, the source gets a column, and a second run builds a shadow.
-    target = store.data(copy.id, "dmgr")
+    target = store.data(copy.id, "published")
     target.replace(target.read().where("id <> 1"))
     city = store.add_columns(table_id, {"city": "text"}, "ann", NOW)["city"]
-    shadow = store.migrate(table_id, "dmgr", "bob", LATER)
+    shadow = store.migrate(table_id, "published", "bob", LATER)
     assert shadow != link
-    after = store.catalog("dmgr")["tables"].first()
+    after = store.catalog("published")["tables"].first()
     assert (after.id, after.tbl_link, after.version_no, after.upd_usr) == (copy.id, shadow, 2, "bob")
-    rows = store.scan(copy.id, "dmgr")
+    rows = store.scan(copy.id, "published")
     assert city in rows.columns and sorted(r.id for r in rows.collect()) == [2, 3, 4, 5]
-    labels = store.columns(copy.id, "dmgr").collect()
+    labels = store.columns(copy.id, "published").collect()
     assert sorted(r.col_label for r in labels) == ["age", "city", "name"]
     assert {r.tbl_link for r in labels} == {shadow}
     assert len({r.id for r in labels}) == 3
-    store.rollback(copy.id, "dmgr")
-    restored = store.catalog("dmgr")["tables"].first()
+    store.rollback(copy.id, "published")
+    restored = store.catalog("published")["tables"].first()
     assert (restored.tbl_link, restored.version_no, restored.upd_usr) == (link, 1, None)
-    assert sorted(r.col_label for r in store.columns(copy.id, "dmgr").collect()) == ["age", "name"]
+    assert sorted(r.col_label for r in store.columns(copy.id, "published").collect()) == ["age", "name"]
     with pytest.raises(ValueError):
-        store.rollback(copy.id, "dmgr")
+        store.rollback(copy.id, "published")
 
 
 def test_history_is_bounded(store, people):
     table_id, _ = people
     for n in range(8):
-        store.migrate(table_id, "dmgr", "ann", NOW + datetime.timedelta(days=n))
-    frames = store.catalog("dmgr")
+        store.migrate(table_id, "published", "ann", NOW + datetime.timedelta(days=n))
+    frames = store.catalog("published")
     assert frames["tables_bak"].count() == 5
     assert frames["columns_bak"].select("backup_ts").distinct().count() == 5
     assert frames["tables"].first().version_no == 8
@@ -136,7 +136,7 @@ def test_migration_checks(store, people):
     with pytest.raises(ValueError):
         store.migrate(people[0], "elsewhere", "ann", NOW)
     with pytest.raises(ValueError):
-        store.migrate(99, "dmgr", "ann", NOW)
+        store.migrate(99, "published", "ann", NOW)
     assert store.find(people[0])[0] == "public"
     with pytest.raises(ValueError):
         store.find(99)
