@@ -241,3 +241,31 @@ def payload_unknown_keys(
     known = F.array(*[F.lit(c) for c in columns])
     unknown = F.map_filter(F.col(payload), lambda k, _: ~F.array_contains(known, k))
     return df.select(*keep, F.explode(unknown).alias("column", "raw_value"))
+
+
+def payload_rejects(
+    df: DataFrame, payload: str, columns: Types, keep: list[str]
+) -> DataFrame:
+    """One row per map entry the table refuses: an unknown key, or a value that does not fit.
+
+    Columns: ``keep``, then column, raw_value, target_type (NULL for an unknown key), reason.
+    """
+    text = F.struct(*[normalize_cell(F.col(payload)[c]).alias(c) for c in columns])
+    clean = df.select(*keep, payload, text.alias("_text"))
+    cells = []
+    for name, type_name in columns.items():
+        value = parse_value(F.col("_text")[name], parse_type(type_name))
+        reason = reject_reason(F.col("_text")[name], value, type_name)
+        cell = F.struct(
+            F.lit(name).alias("column"),
+            F.col(payload)[name].alias("raw_value"),
+            F.lit(parse_type(type_name).name).alias("target_type"),
+            reason.alias("reason"),
+        )
+        cells.append(F.when(reason.isNotNull(), cell))
+    refused = clean.select(*keep, F.explode(F.array(*cells)).alias("_cell"))
+    refused = refused.where(F.col("_cell").isNotNull()).select(*keep, "_cell.*")
+    unknown = payload_unknown_keys(df, payload, columns, keep)
+    return refused.unionByName(
+        unknown.withColumns({"target_type": F.lit(None).cast("string"), "reason": F.lit("no such column")})
+    )

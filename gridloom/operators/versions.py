@@ -127,8 +127,8 @@ def rollback_columns(columns: DataFrame, backups: DataFrame, table_ids: DataFram
     """Column rows of the given tables ``(tbl_id)`` put back to their newest snapshot."""
     kept = join_unique(columns, table_ids, ["tbl_id"], "left_anti").select(*columns.columns)
     chosen = join_unique(backups, table_ids, ["tbl_id"], "left_semi")
-    newest = chosen.groupBy("tbl_id").agg(F.max("backup_ts").alias("_since"))
-    restored = _since(chosen, newest, ["tbl_id"], "backup_ts")
+    top, _ = _newest_times(chosen, ["tbl_id"], "backup_ts", 1)
+    restored = _since(chosen, _cutoff(top, ["tbl_id"], "backup_ts"), ["tbl_id"], "backup_ts")
     return kept.unionByName(restored.select(*columns.columns))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridloom.functions.names import normalize_headers
@@ -11,7 +13,8 @@ from gridloom.operators.paging import page
 from gridloom.operators.query import filter_model
 from gridloom.plans.registry import plan, table
 from gridloom.sources.arrow import from_ipc, to_ipc
-from gridloom.sources.csv import csv_lines, parse_lines
+from gridloom.session import ensure_checkpoint_dir
+from gridloom.sources.csv import csv_lines, parse_lines, read_csv, write_csv
 
 
 def _clean(column: str) -> str:
@@ -39,6 +42,20 @@ def _(spark, sf):
     return I.parse_typed(cells, types)
 
 
+@plan(
+    "csv_file_round_trip",
+    """SELECT CAST(doc_id AS VARCHAR) AS id, text, source FROM documents
+       UNION ALL SELECT CAST(page_id AS VARCHAR), html, url FROM pages""",
+)
+def _(spark, sf):
+    """Through files, line breaks in quotes included."""
+    documents = table(spark, sf, "documents").selectExpr("doc_id AS id", "text", "source")
+    pages = table(spark, sf, "pages").selectExpr("page_id AS id", "html AS text", "url AS source")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    write_csv(documents.union(pages), folder)
+    return read_csv(spark, folder)
+
+
 @plan(
     "csv_export",
     """SELECT c_custkey || ',' || c_name || ',' || c_nationkey || ',' || c_acctbal || ','
@@ -401,6 +418,29 @@ def _(spark, sf):
     return I.payload_unknown_keys(_payloads(spark, sf), "row_data", _PAYLOAD_TYPES, ["event_id"])
 
 
+@plan(
+    "payload_rejects",
+    """SELECT event_id, 'value' AS "column", CAST(value AS VARCHAR) || 'x' AS raw_value,
+              'DOUBLE' AS target_type, 'not parsed' AS reason
+       FROM events WHERE event_type = 'error'
+       UNION ALL
+       SELECT event_id, 'short', event_type, 'VARCHAR(6)', 'too long' FROM events
+       WHERE length(event_type) > 6
+       UNION ALL
+       SELECT event_id, event_type, 'true', NULL, 'no such column' FROM events
+       WHERE event_type IN ('signup', 'view')""",
+)
+def _(spark, sf):
+    kind, value = F.col("event_type"), F.col("value").cast("string")
+    payload = F.map_from_arrays(
+        F.array(F.lit("value"), F.lit("short"), kind),
+        F.array(F.when(kind == "error", F.concat(value, F.lit("x"))).otherwise(value), kind, F.lit("true")),
+    )
+    payloads = table(spark, sf, "events").select("event_id", payload.alias("row_data"))
+    types = {"value": "DOUBLE", "short": "VARCHAR(6)", "click": "TEXT", "error": "TEXT", "purchase": "TEXT"}
+    return I.payload_rejects(payloads, "row_data", types, ["event_id"])
+
+
 def _named_text(spark, sf):
     kind = F.col("event_type")
     return table(spark, sf, "events").select(

@@ -80,8 +80,11 @@ def write_arrow(df: DataFrame, path: str) -> None:
 
     A task writes a file of its own and reports it when done; the list of reported files
     is written last, as ``<path>/_files``. What a lost or repeated task left behind is not
-    on the list and is not read.
+    on the list and is not read. Without a scheme the path is a folder of this machine, which
+    only a local session shares with its tasks.
     """
+    if "://" not in path and not df.sparkSession.sparkContext.master.startswith("local["):
+        raise ValueError(f"executors cannot share {path}: give a path with a scheme")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, folder = _filesystem(path)

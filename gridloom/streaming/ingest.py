@@ -13,10 +13,12 @@ from gridloom.operators.ingest import (
     Types,
     good_rows,
     judge_rows,
+    payload_rejects,
     payload_to_columns,
     reject_rows,
 )
-from gridloom.sources.csv import line_reader, parse_lines
+from gridloom.functions.names import normalize_headers
+from gridloom.sources.csv import broken_records, join_records, parse_lines, split_line, text_lines
 from gridloom.sources.store import TableData
 
 _NOW = {"availableNow": True}
@@ -32,14 +34,22 @@ def ingest_payloads(
     checkpoint: str,
     user: str,
     clock: Clock,
+    rejects: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Insert a stream of string maps ``(seq, row_data)`` with ids and audit columns.
 
-    Ids follow ``seq`` inside a batch. A batch delivered twice is inserted once.
+    Ids follow ``seq`` inside a batch. A batch delivered twice is inserted once. Unknown keys
+    and values that do not fit are written to ``rejects``, a subfolder per batch; without
+    that folder any of them fails the stream. The other cells of such a row are inserted.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        refused = payload_rejects(batch, "row_data", columns, ["seq"])
+        if rejects is not None:
+            refused.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        elif first := refused.head():
+            raise ValueError(f"a payload was refused: {first.column}: {first.reason}")
         rows = payload_to_columns(batch, "row_data", columns, ["seq"])
         ordered = rows.withColumnRenamed("seq", "_seq")
         table.insert(ordered, [F.col("_seq").asc()], user, clock(), (name, batch_id))
@@ -62,27 +72,60 @@ def ingest_csv(
 ) -> StreamingQuery:
     """Load CSV files arriving in ``folder``: typed rows to ``out``, refused ones to
     ``rejects``. Each batch overwrites its own subfolder, so a repeated batch adds nothing.
-    More than ``skip_limit`` refused rows in a batch fail the stream.
+    Columns are found by each file's own cleaned-up header; a column a file lacks is NULL.
+    Records that end inside quotes are refused with their file. More than ``skip_limit``
+    refused rows in a batch fail the stream.
     """
-    cells = parse_lines(line_reader(spark.readStream).csv(folder), "line", list(types), delimiter)
+    lines = text_lines(spark.readStream, folder)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        judged = judge_rows(batch, types).persist()
+        records = join_records(batch, delimiter).persist()
+        cells = _by_header(records, list(types), delimiter)
+        judged = judge_rows(cells.drop("_file"), types).persist()
         try:
             skipped = judged.where(F.col("_reject").isNotNull())
             if skip_limit is not None and skipped.limit(skip_limit + 1).count() > skip_limit:
                 raise ValueError(f"more than {skip_limit} rows were refused")
             good_rows(judged, types).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-            reject_rows(judged, types).write.mode("overwrite").parquet(
-                f"{rejects}/batch={batch_id}"
-            )
+            refused = reject_rows(judged, types)
+            broken = broken_records(records).select(refused.columns)
+            refused.unionByName(broken).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
         finally:
             judged.unpersist()
+            records.unpersist()
 
-    writer = cells.writeStream.queryName(name).foreachBatch(apply)
+    writer = lines.writeStream.queryName(name).foreachBatch(apply)
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger or _NOW).start()
 
 
+def _by_header(records: DataFrame, names: list[str], delimiter: str) -> DataFrame:
+    """The cells of each record under the names its file's header gives them, and ``_file``.
+
+    Files with the same header are parsed together; a batch has few different headers.
+    """
+    line = F.rtrim(F.col("line"), F.lit("\r"))
+    headers = records.where("_header").select(F.col("_file"), line.alias("_names"))
+    rows = records.where(~F.col("_header") & F.col("_whole")).join(headers, "_file")
+    cells = None
+    different = headers.select("_names", split_line(F.col("_names"), delimiter).alias("cells"))
+    for header in different.distinct().collect():
+        found = normalize_headers(list(header.cells))
+        mine = rows.where(F.col("_names") == header["_names"])
+        parsed = parse_lines(mine, "line", found, delimiter, keep=["_file"])
+        here = {c.lower(): c for c in found}
+        parsed = parsed.select(
+            "_file",
+            *[
+                (F.col(here[n.lower()]) if n.lower() in here else F.lit(None).cast("string")).alias(n)
+                for n in names
+            ],
+        )
+        cells = parsed if cells is None else cells.union(parsed)
+    if cells is None:
+        cells = parse_lines(rows, "line", names, delimiter, keep=["_file"])
+    return cells
+
+
 def progress(query: StreamingQuery) -> dict:
     """Batch number and input rows of a stream's latest batches."""
     reports = query.recentProgress

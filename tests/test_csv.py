@@ -4,7 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import ingest as I
-from gridloom.sources.csv import csv_lines, parse_lines, read_csv, read_header, write_csv
+from gridloom.sources.csv import (
+    broken_records,
+    csv_lines,
+    parse_lines,
+    read_csv,
+    read_header,
+    read_records,
+    write_csv,
+)
 
 DIRTY = (
     ' id ,,Name,name,a b\r\n'
@@ -53,13 +61,41 @@ def test_several_files_each_lose_their_header(spark, tmp_path):
     assert sorted(r.a for r in df.collect()) == ["0", "1", "2"]
 
 
-def test_line_breaks_in_quotes(spark, tmp_path):
-    path = tmp_path / "m.csv"
-    path.write_text('a,b\n1,"two\nlines"\n2,"q""q"\n')
-    df = read_csv(spark, str(path), quote_style="doubled", multi_line=True)
-    assert sorted(tuple(r) for r in df.collect()) == [("1", "two\nlines"), ("2", 'q"q')]
-    with pytest.raises(ValueError):
-        read_csv(spark, str(path), multi_line=True)
+MULTI = (
+    'a,b,c\n1,"two\nlines",x\n2,"q""q\r\n\n, ""\n""",y\n3,x"y,z\n4,"bs \\" and\n \\"more",w\n'
+    '5,\uffff and \x00,v\n6,"","\n\n"\n7,"a\n","b\n"\n'
+)
+MULTI_ROWS = [
+    ("1", "two\nlines", "x"), ("2", 'q"q\r\n\n, "\n"', "y"), ("3", 'x"y', "z"), ("4", 'bs " and\n "more', "w"),
+    ("5", "\uffff and \x00", "v"), ("6", "", "\n\n"), ("7", "a\n", "b\n"),
+]
+
+
+@pytest.mark.parametrize("split_bytes", ["8", "23", "64m"])
+def test_line_breaks_in_quotes(spark, tmp_path, split_bytes):
+    """Whatever the splits: also with line breaks, escapes and quotes at their ends."""
+    for n in range(2):
+        (tmp_path / f"m{n}.csv").write_bytes(MULTI.encode())
+    settings = {"spark.sql.files.maxPartitionBytes": split_bytes, "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = read_csv(spark, str(tmp_path))
+        assert sorted(tuple(r) for r in df.collect()) == sorted(MULTI_ROWS * 2)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_header_with_a_line_break_and_open_end(spark, tmp_path):
+    path = tmp_path / "h.csv"
+    path.write_text('\n"a\nb",c\n1,2\n3,"4\n5,6\n')
+    df = read_csv(spark, str(path))
+    assert df.columns == ["a_b", "c"] and [tuple(r) for r in df.collect()] == [("1", "2")]
+    broken = broken_records(read_records(spark, str(path))).collect()
+    assert [(r.raw, r.reason) for r in broken] == [('3,"4\n5,6', "a quote is not closed")]
+    assert broken[0].source.endswith("h.csv")
 
 
 def test_empty_file(spark, tmp_path):

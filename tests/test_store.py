@@ -204,11 +204,25 @@ def test_payload_stream(spark, store, people, tmp_path):
         stream = spark.readStream.schema(schema).parquet(folder)
         ingest_payloads(
             stream, data, {links["name"]: "TEXT", links["age"]: "INTEGER"}, "payloads",
-            checkpoint, "rpc", lambda: LATER,
+            checkpoint, "rpc", lambda: LATER, rejects=f"{checkpoint}-bad",
         ).awaitTermination(120)
     rows = shown(data.read().where("add_usr = 'rpc'"), links)
     assert rows == [(6, "s00", 0), (7, "s01", 1), (8, "s02", 2), (9, "s10", 0), (10, "s11", 1), (11, "s12", 2)]
     assert data.manifest().streams["payloads"] == {"batch": 1, "rows": 6}
+    assert spark.read.parquet(f"{checkpoint}-bad").count() == 0
+    bad = [(50, {links["name"]: "late", links["age"]: "old", "nobody": "x"})]
+    spark.createDataFrame(bad, schema).coalesce(1).write.mode("append").parquet(folder)
+    args = [data, {links["name"]: "TEXT", links["age"]: "INTEGER"}, "payloads", checkpoint, "rpc", lambda: LATER]
+    stream = spark.readStream.schema(schema).parquet(folder)
+    with pytest.raises(Exception, match="refused"):
+        ingest_payloads(stream, *args).awaitTermination(120)
+    ingest_payloads(stream, *args, rejects=f"{checkpoint}-bad").awaitTermination(120)
+    refused = spark.read.parquet(f"{checkpoint}-bad").collect()
+    assert {(r.seq, r.column, r.reason) for r in refused} == {
+        (50, links["age"], "not parsed"), (50, "nobody", "no such column"),
+    }
+    late = data.read().where(F.col(links["name"]) == "late").collect()
+    assert len(late) == 1 and late[0][links["age"]] is None
 
 
 def test_csv_stream(spark, tmp_path, rows):
@@ -224,10 +238,14 @@ def test_csv_stream(spark, tmp_path, rows):
 
     (folder / "1.csv").write_text('a,b\n1,"x ""y"""\n,\nq,z\n')
     run()
-    (folder / "2.csv").write_text("a,b\n2,y\n")
+    (folder / "2.csv").write_text('B,a\n"y\nz",2\n"open,3\n')
     run()
-    assert rows(spark.read.parquet(out), "a", "b") == [(1, 'x "y"'), (2, "y")]
-    assert rows(spark.read.parquet(bad), "column", "raw_value") == [("a", "q")]
+    assert rows(spark.read.parquet(out), "a", "b") == [(1, 'x "y"'), (2, "y\nz")]
+    refused = spark.read.parquet(bad).collect()
+    assert {(r.column, r.raw_value, r.reason) for r in refused} == {
+        ("a", "q", "not parsed"), (None, None, "a quote is not closed"),
+    }
+    assert any(r.source and r.source.endswith("2.csv") for r in refused)
     (folder / "3.csv").write_text("a,b\n" + "q,z\n" * 5)
     with pytest.raises(Exception, match="refused"):
         run(skip_limit=3)
