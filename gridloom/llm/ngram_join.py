@@ -29,9 +29,10 @@ from gridloom.session import checkpointed
 GROUP_SETS = 256  # members of a group; a larger family is several groups
 KEYS = 3  # smallest hashes by which similar sets find a common leader
 SHARED_KEYS = 2  # of them, to be held against a leader; what this misses is found in the matrix
-FREQUENT_TOKENS = 1 << 16  # listed as frequent; the list only decides the order of tokens
+FREQUENT_TOKENS = 1 << 18  # listed as frequent; the list only decides the order of tokens
 COUNTED_TOKENS = 2_000_000  # tokens counted together inside a task
-FREQUENT = 4  # occurrences among those
+FREQUENT = 2  # occurrences among those; of the tokens with as many, the most frequent
+LISTED_TOKENS = 20_000  # are candidates for the list
 _GROUP_BITS = 20  # of a group's number within its family
 
 
@@ -69,6 +70,7 @@ def _signatures(documents: DataFrame, size: int) -> DataFrame:
         def frequent() -> pa.RecordBatch:
             tokens, many = np.unique(np.concatenate(held), return_counts=True)
             at = np.flatnonzero(many >= FREQUENT)
+            at = at[np.argsort(-many[at], kind="stable")[:LISTED_TOKENS]]
             none = pa.nulls(len(at), pa.int64())
             kind, id_, n = map(pa.array, (np.ones(len(at), np.int64), tokens[at].view(np.int64), many[at]))
             return pa.RecordBatch.from_arrays([kind, id_, none, n, *[none] * (1 + KEYS)], names=names)
@@ -240,32 +242,20 @@ class Order:
             out[common] = self.rank[at[common]].astype(np.uint64) | np.uint64(1 << 63)
         return out
 
-    def may_be_linked(self, a: np.ndarray, n: int, b: np.ndarray, m: int, percent: int) -> bool:
-        """Whether sets of n and m tokens with these first tokens can be linked.
-
-        Up to the place where the shorter list ends, both sets are known; from there on they
-        share no more than what is left of the smaller rest.
-        """
-        if 100 * min(n, m) < percent * max(n, m):
-            return False
-        x, y = self.keys(a), self.keys(b)
-        end = min(x[-1], y[-1])
-        known_a, known_b = np.searchsorted(x, end), np.searchsorted(y, end)
-        common = np.isin(a[:known_a], b[:known_b], assume_unique=True).sum()
-        return linked(int(common + min(n - known_a, m - known_b)), n, m, percent)
-
 
 def _first_tokens(
     documents: DataFrame, groups: DataFrame, order: Order, size: int, percent: int
 ) -> DataFrame:
-    """digest, rep, group, members, n and the first tokens of every set."""
+    """digest, rep, group, members, n, the first tokens of every set, and where those end."""
 
     def first_tokens(number: int, tokens: np.ndarray) -> tuple:
-        place = np.argsort(order.keys(tokens), kind="stable")
-        return number, len(tokens), tokens[place[: _probe(len(tokens), percent)]].tobytes()
+        keys = order.keys(tokens)
+        place = np.argsort(keys, kind="stable")[: _probe(len(tokens), percent)]
+        last = int((keys[place[-1:]] ^ np.uint64(1 << 63)).view(np.int64)[0])
+        return number, len(tokens), last, tokens[place].tobytes()
 
-    made = _pass_sets(documents, size, "digest long, n long, tokens binary", first_tokens)
-    made = made.groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    made = _pass_sets(documents, size, "digest long, n long, last long, tokens binary", first_tokens)
+    made = made.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "last", "tokens")])
     return checkpointed(made.join(groups, "digest"))
 
 
@@ -379,9 +369,8 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 80) ->
     order = Order(frequent)
     made = _first_tokens(known, groups, order, size, percent)
     cells = checkpointed(_matrix(made, percent))
-    opened = _opened(cells, made, known, order, size, percent)
-
-    links = stars.union(opened)
+    pairs = _candidates(cells, made, percent)
+    links = stars.union(_opened_in_turn(pairs, stars, groups, known, size, percent))
     families = components(links)
     labelled = sets.select("digest", "rep").join(families.withColumnRenamed("node", "digest"), "digest")
     smallest = labelled.groupBy("label").agg(F.min("rep").alias("least"))
@@ -441,63 +430,63 @@ def _groups(sets: DataFrame, families: DataFrame | None) -> DataFrame:
     return checkpointed(base.select("digest", "rep", group.alias("group"), F.col("many").alias("members")))
 
 
-def _opened(
-    cells: DataFrame, made: DataFrame, documents: DataFrame, order: Order, size: int, percent: int
-) -> DataFrame:
-    """A link for each pair of groups of two families that has one."""
+def _candidates(cells: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (key, g, h) of two families that may be linked, by their first tokens.
+
+    Of two single sets take the one whose first tokens end earlier in the order of tokens:
+    which of them the other set has is known, so the sets share no more than those and all
+    its other tokens. Of larger groups one common token is enough to be a candidate.
+    """
     high = F.col("sizes").bitwiseAND(F.lit((1 << 31) - 1))
     low = F.shiftright("sizes", 32)
     first = F.shiftright("sizes", 31).bitwiseAND(F.lit(1))
     sized = cells.select("token", "group", low.alias("low"), high.alias("high"), first.alias("first"))
-    other = sized.where("first = 1").toDF("token", "group2", "low2", "high2", "first2")
+    other = sized.toDF("token", "group2", "low2", "high2", "first2")
     meets = F.expr(
-        f"shiftright(group, {_GROUP_BITS}) <> shiftright(group2, {_GROUP_BITS}) "
-        # A set here that is as large as one there or larger, but not by too much.
-        f"and low2 <= high and 100 * high2 >= {percent} * low"
-    )
-    pairs = sized.join(other, "token").where(meets)
-    pairs = pairs.select(F.least("group", "group2").alias("g"), F.greatest("group", "group2").alias("h")).distinct()
-    pairs = checkpointed(pairs.withColumn("key", F.xxhash64("g", "h")))
-    sides = pairs.select("key", F.lit(0).alias("side"), F.col("g").alias("group")).union(
-        pairs.select("key", F.lit(1), "h")
+        f"group < group2 and shiftright(group, {_GROUP_BITS}) <> shiftright(group2, {_GROUP_BITS}) "
+        f"and 100 * high2 >= {percent} * low and 100 * high >= {percent} * low2"
     )
-    members = rows_with_ids(made, sides.select("group"), "group").drop("members")
-    rows = sides.join(members, "group").drop("group")
-    keys = checkpointed(_qualifying(rows.select("key", "side", "digest", "rep", "n", "tokens"), order, percent))
-    tokens = _tokens_of(documents, keys.select("digest", "rep").distinct(), size)
-    return _compared(keys.select("key", "side", "digest").join(tokens, "digest"), percent, False)
+    # The smaller set is looked up by its very first tokens.
+    looked_up = F.expr("(first = 1 and low <= high2) or (first2 = 1 and low2 <= high)")
+    pairs = sized.join(other, "token").where(meets).groupBy("group", "group2")
+    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.bool_or(looked_up).alias("found")).where("found")
+    single = made.where("members = 1").select("group", "n", "last")
+    pairs = pairs.join(single, "group", "left")
+    pairs = pairs.join(single.toDF("group2", "n2", "last2"), "group2", "left")
+    rest = F.expr(f"ceil({percent} * if(last <= last2, n, n2) / 100) - 1")
+    needed = F.expr(f"ceil({percent} * (n + n2) / {100 + percent})")
+    pairs = pairs.where(F.coalesce(F.col("shared") + rest >= needed, F.lit(True)))
+    key = F.xxhash64("group", "group2").alias("key")
+    return checkpointed(pairs.select(key, F.col("group").alias("g"), F.col("group2").alias("h")))
 
 
-def _qualifying(rows: DataFrame, order: Order, percent: int) -> DataFrame:
-    """key, side, digest and rep of the pairs of groups in which first tokens allow a link."""
-    rows = rows.repartition("key").sortWithinPartitions("key", "side")
-    names = ["key", "side", "digest", "rep"]
+def _opened(
+    pairs: DataFrame, groups: DataFrame, documents: DataFrame, size: int, percent: int
+) -> DataFrame:
+    """A link for each pair of groups that has one."""
+    sides = pairs.select("key", F.lit(0).alias("side"), F.col("g").alias("group"))
+    sides = sides.union(pairs.select("key", F.lit(1), "h"))
+    rows = checkpointed(sides.join(groups.select("digest", "rep", "group"), "group").drop("group"))
+    tokens = _tokens_of(documents, rows.select("digest", "rep").distinct(), size)
+    return checkpointed(_compared(rows.select("key", "side", "digest").join(tokens, "digest"), percent, False))
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in (*names, "n", "tokens"))):
-                if held and row[0] != held[0][0]:
-                    out += _allowed(held, order, percent)
-                    held = []
-                held.append(row)
-            yield _rows(out)
-        yield _rows(_allowed(held, order, percent))
-
-    def _rows(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out)) if out else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-    return rows.mapInArrow(bound, ", ".join(f"{c} long" for c in names))
-
-
-def _allowed(held: list[tuple], order: Order, percent: int) -> list[tuple]:
-    """The sets of both sides that may be linked with one of the other side."""
-    sets = [(side, n, np.frombuffer(t, np.uint64)) for _, side, _, _, n, t in held]
-    good = set()
-    for i, (side, n, a) in enumerate(sets):
-        for j, (other, m, b) in enumerate(sets):
-            if side < other and order.may_be_linked(a, n, b, m, percent):
-                good |= {i, j}
-    return [held[i][:4] for i in sorted(good)]
+
+def _opened_in_turn(
+    pairs: DataFrame, stars: DataFrame, groups: DataFrame, documents: DataFrame, size: int, percent: int
+) -> DataFrame:
+    """Links between families: one pair of their groups is opened for each two families first,
+    and the others only of families that no link has joined by then."""
+    family = [F.shiftright(c, _GROUP_BITS).alias(f"family_{c}") for c in ("g", "h")]
+    pairs = pairs.select("*", *family)
+    chosen = pairs.groupBy("family_g", "family_h").agg(F.min(F.struct("key", "g", "h")).alias("_one"))
+    links = _opened(chosen.select("_one.*"), groups, documents, size, percent)
+    rest = pairs.join(chosen.select("_one.key"), "key", "left_anti")
+    if rest.isEmpty():
+        return links
+    joined = components(stars.union(links)).withColumnRenamed("node", "digest")
+    label = groups.select("digest", F.shiftright("group", _GROUP_BITS).alias("family")).join(joined, "digest")
+    label = label.groupBy("family").agg(F.min("label").alias("label"))
+    for c in ("g", "h"):
+        rest = rest.join(label.toDF(f"family_{c}", f"label_{c}"), f"family_{c}", "left")
+    apart = checkpointed(rest.where(~F.coalesce(F.expr("label_g = label_h"), F.lit(False))).select("key", "g", "h"))
+    return links.union(_opened(apart, groups, documents, size, percent))
