@@ -226,17 +226,12 @@ class Block:
             for i in np.flatnonzero(cosines >= COSINE).tolist():
                 reach = len(self.words[i])
                 low, high = max(a - reach, found.first[doc]), min(b + reach, found.first[doc + 1])
-                # Windows that any match of at most this spread lies in.
-                step = max(1, reach // 4)
-                wide = int(np.ceil(SPREAD * reach)) + step
-                for at in range(low, max(high - wide + step, low + 1), step):
-                    region = hashes[at : min(at + wide, high)]
-                    if self._is_there(i, region):
-                        n, first, end = common_words(self.words[i], region)
-                        if n >= needed(reach):
-                            place = int(at - found.first[doc])
-                            row = (n, first - end, float(cosines[i]), place + first, place + end)
-                            seen[doc, i] = max(seen.get((doc, i), row), row)
+                if seen.get((doc, i), (0,))[0] < reach:
+                    n, first, end = self._match(i, hashes[low:high])
+                    if n:
+                        place = int(low - found.first[doc])
+                        row = (n, first - end, float(cosines[i]), place + first, place + end)
+                        seen[doc, i] = max(seen.get((doc, i), row), row)
         for (doc, i), (n, _, cosine, first, end) in sorted(seen.items()):
             yield doc, i, cosine, n, first, end
 
@@ -253,6 +248,28 @@ class Block:
             for k in np.flatnonzero(near & (around >= least)).tolist():
                 yield doc, int(starts[k]), int(ends[k])
 
+    def _match(self, i: int, region: np.ndarray) -> tuple[int, int, int]:
+        """Common words with a passage and where, if enough lie close enough together; else 0."""
+        none, size = (0, 0, 0), len(self.words[i])
+        if not self._is_there(i, region):
+            return none
+        best = common_words(self.words[i], region)
+        if best[0] < needed(size):
+            return none
+        if best[2] - best[1] <= SPREAD * size:
+            return best
+        # Windows that any match of at most this spread lies in.
+        step = max(1, size // 4)
+        wide = int(np.ceil(SPREAD * size)) + step
+        best = none
+        for at in range(0, max(len(region) - wide + step, 1), step):
+            part = region[at : at + wide]
+            if self._is_there(i, part):
+                n, first, end = common_words(self.words[i], part)
+                if n >= needed(size):
+                    best = max(best, (n, at + first, at + end), key=lambda x: (x[0], x[1] - x[2]))
+        return best
+
     def _is_there(self, i: int, region: np.ndarray) -> bool:
         """The answer check, and a bound on the common subsequence by counting words."""
         answers = self.answers[i]
