@@ -330,8 +330,11 @@ def changes_summary(net: DataFrame) -> DataFrame:
     )
 
 
-def check_limit(net: DataFrame, limit: int | None = SESSION_LIMIT) -> None:
-    """Raise when net changes touch more rows than ``limit``; None means no limit."""
+def check_limit(net: DataFrame, limit: int | None = None) -> None:
+    """Raise when net changes touch more rows than ``limit``; None means no limit.
+
+    SESSION_LIMIT is that of an interactive edit session.
+    """
     if limit is not None and changes_summary(net).first()["total"] > limit:
         raise ValueError(f"more than {limit} pending changes")
 

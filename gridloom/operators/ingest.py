@@ -211,17 +211,21 @@ def append_load(
 
     The counts are observed while the good rows are written, so a clean load reads its
     input once. Both paths should be new: a failed load raises after writing, and the
-    caller then does not publish what it wrote.
+    caller then does not publish what it wrote. A column ``_file`` of the input is not loaded
+    but names the source of the rejects.
     """
     judged = judge_rows(df, types)
+    source = F.col("_file") if "_file" in df.columns else None
     seen = Observation()
     observed = judged.observe(seen, *[c.alias(name) for name, c in _counts().items()])
-    good_rows(observed, types).write.mode("append").parquet(path)
+    good_rows(observed, types).drop("_file").write.mode("append").parquet(path)
     report = dict(seen.get)
     if report["skip_count"]:
-        reject_rows(judged, types).write.mode("append").parquet(rejects_path)
+        reject_rows(judged, types, source).write.mode("append").parquet(rejects_path)
     report["status"] = "FAILED" if report["skip_count"] > limit else "COMPLETED"
     report["failures"] = failure_lines(judged) if report["skip_count"] else []
+    if (more := report["skip_count"] - len(report["failures"])) > 0:
+        report["failures"].append(f"{more} more in {rejects_path}")
     if report["status"] == "FAILED":
         raise ValueError(f"more than {limit} rows were refused: {report}")
     return report

@@ -81,13 +81,15 @@ def ingest_csv(
     def apply(batch: DataFrame, batch_id: int) -> None:
         records = join_records(batch, delimiter).persist()
         cells = _by_header(records, list(types), delimiter)
-        judged = judge_rows(cells.drop("_file"), types).persist()
+        judged = judge_rows(cells, types).persist()
         try:
             skipped = judged.where(F.col("_reject").isNotNull())
             if skip_limit is not None and skipped.limit(skip_limit + 1).count() > skip_limit:
                 raise ValueError(f"more than {skip_limit} rows were refused")
-            good_rows(judged, types).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-            refused = reject_rows(judged, types)
+            good_rows(judged, types).drop("_file").write.mode("overwrite").parquet(
+                f"{out}/batch={batch_id}"
+            )
+            refused = reject_rows(judged, types, F.col("_file"))
             broken = broken_records(records).select(refused.columns)
             refused.unionByName(broken).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
         finally:

@@ -142,14 +142,14 @@ def test_summary(spark, name):
 
 def test_session_limit(spark):
     entries = [update(str(i), "n", "a", "b") for i in range(50)]
-    C.check_limit(C.compact_changes(log_frame(spark, entries)))
+    C.check_limit(C.compact_changes(log_frame(spark, entries)), C.SESSION_LIMIT)
     # More cells of a known row and cells of a new row are free.
     free = [*entries, update("1", "m", "a", "b")]
-    C.check_limit(C.compact_changes(log_frame(spark, free)))
+    C.check_limit(C.compact_changes(log_frame(spark, free)), C.SESSION_LIMIT)
     over = C.compact_changes(log_frame(spark, [*entries, op("delete", "99")]))
     with pytest.raises(ValueError):
-        C.check_limit(over)
-    C.check_limit(over, limit=None)
+        C.check_limit(over, C.SESSION_LIMIT)
+    C.check_limit(over)
 
 
 def test_empty_log(spark):
