@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from gridloom.llm.url_filter import MAX_MASK_BYTES, Rule, filter_urls
+from gridloom.llm.url_filter import Rule, filter_urls
 
 RULES = [
     Rule("block", "net", "/"),
