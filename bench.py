@@ -37,6 +37,7 @@ HEADLINE = {
     "upsert": "customer",
     "replay_changes": "events",
     "cascade_delete": "lineitem",
+    "migrate_shadow": "supplier",
     "migrate_shadow_merge": "lineitem",
     "retain_last_versions": "orders",
     "retain_last_snapshots": "lineitem",
