@@ -30,7 +30,7 @@ GROUP_SETS = 256  # members of a group; a larger family is several groups
 KEYS = 3  # smallest hashes by which similar sets find a common leader
 SHARED_KEYS = 2  # of them, to be held against a leader; what this misses is found in the matrix
 FREQUENT_TOKENS = 1 << 18  # listed as frequent; the list only decides the order of tokens
-COUNTED_TOKENS = 2_000_000  # tokens counted together inside a task
+COUNTED_TOKENS = 1_500_000  # tokens counted together inside a task
 FREQUENT = 2  # occurrences among those; of the tokens with as many, the most frequent
 LISTED_TOKENS = 20_000  # are candidates for the list
 _GROUP_BITS = 20  # of a group's number within its family

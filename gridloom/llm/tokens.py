@@ -17,7 +17,7 @@ import pyarrow as pa
 from gridloom.llm.table import Table
 from gridloom.llm.text import _BLANK, Words, buffers
 
-KNOWN_PIECES = 1_000_000  # pieces a worker remembers; past that it starts afresh
+KNOWN_PIECES = 400_000  # pieces a worker remembers; past that it starts afresh
 _AT_ONCE = 256  # pieces encoded in one call, with the end mark between them
 
 _LETTER = np.zeros(256, bool)
