@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from gridloom.llm import secrets
 from gridloom.llm.forest import Forest
@@ -78,3 +79,27 @@ def test_forest_learns_a_rule_it_is_not_told():
     forest = Forest(x[:1000], y[:1000])
     assert ((forest.predict(x[1000:]) >= 0.5) == y[1000:]).mean() > 0.93
     assert (Forest(x[:3], np.zeros(3)).predict(x) == 0).all() and len(Forest(x[:0], y[:0]).predict(x[:2])) == 2
+
+
+def test_every_run_of_a_word_is_a_candidate():
+    def parts(word, begins=False):
+        return [word[a:b] for a, b, _ in secrets.spans(word, begins)]
+
+    one, two = "a1b2c3d4e5f6a7b8", "Zk83hQpLm20xVn5T"
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    assert {one, two} <= set(parts(f"https://h.example/x?a={one}&token={two}"))
+    assert {one, two} <= set(parts(f'{{"id":"{one}","n":[1,"{two}"]}}'))
+    assert parts(f"{one},{two}") == [one, two] and parts(f'"{jwt}",{one}') == [jwt, one]
+    assert parts("password=correcthorse") == ["password", "correcthorse"] and parts('"correct!h0rse"', True) == ["correct!h0rse"]
+    assert parts("QUJDREVGR0g=") == ["QUJDREVGR0g="]
+
+
+def test_two_secrets_of_a_word_are_redacted(spark):
+    docs, _ = corpus()
+    frame = spark.createDataFrame(docs, SCHEMA)
+    usual = secrets.usage(frame)
+    forest = secrets.train(secrets.labelled_findings(frame, usual))
+    one, two = "AKIA" + "QWERTZUIOPASDFG7", "b2" + "0123456789abcdef" * 2 + "012345"
+    odd = [(1, f'{{"key":"{one}","token":"{two}"}}', 0, 1)]
+    after = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(odd, SCHEMA), usual, forest).collect()}
+    assert after[1] == '{"key":"[REDACTED]","token":"[REDACTED]"}'
