@@ -164,7 +164,16 @@ def candidate_words(found: Words, at: np.ndarray) -> tuple[np.ndarray, set[int]]
         return np.zeros(0, np.int64), set()
     digit, odd = _odd(found)
     chosen = (found.end - found.start >= LEAST) & (digit | odd)
-    named: set[int] = set()
+    runs = split_words(found.data, at, _NOT_CORE)
+    if len(runs.start):
+        chosen[np.searchsorted(found.start, runs.start[_odd(runs)[1]], "right") - 1] = True
+    named = named_words(found)
+    chosen[list(named)] = True
+    # Names and signs within one word.
+    sign = np.isin(found.data, [0x3D, 0x3A, 0x9A, 0x9D])
+    for i in np.unique(np.searchsorted(found.start, np.flatnonzero(sign), "right") - 1).tolist():
+        if i >= 0 and not chosen[i] and found.end[i] - found.start[i] > 4 and _NAMED.search(_latin(found, i)):
+            chosen[i] = True
     return np.flatnonzero(chosen), named
 
 
@@ -254,8 +263,6 @@ def _findings(piece: pa.RecordBatch, usual: Usage):
     chosen, named = candidate_words(found, _raw(piece)[1])
     for i in chosen.tolist():
         row, place, word = int(found.doc[i]), int(found.start[i]), _latin(found, i)
-        if not word.isascii():
-            continue
         back = [_latin(found, j)[-CONTEXT:] if j >= found.first[row] else "" for j in (i - 1, i - 2)]
         for a, b, beside in spans(word, i in named):
             yield row, place + a, place + b, word, (a, b), beside, describe(word, (a, b), *back, usual)

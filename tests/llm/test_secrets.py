@@ -94,12 +94,35 @@ def test_every_run_of_a_word_is_a_candidate():
     assert parts("QUJDREVGR0g=") == ["QUJDREVGR0g="]
 
 
+def findings(texts):
+    """Texts of the candidates of each text."""
+    usual = secrets.Usage(np.zeros((40, 40)), np.zeros(secrets._WORD_BUCKETS, bool))
+    piece = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    raw, _ = secrets._raw(piece)
+    out = [set() for _ in texts]
+    for row, a, b, *_ in secrets._findings(piece, usual):
+        out[row].add(raw[a:b].decode())
+    return out
+
+
+def test_candidates_beside_other_scripts_and_names():
+    key = "Zk83hQpLm20xVn5T"
+    texts = [f"x \u201c{key}\u201d", f"password\uff1a{key} y", f"caf\u00e9{key}", f"\u5bc6\u94a5\u662f{key}\u3002\u7136\u540e{key[::-1]}\uff0c\u597d"]
+    texts += ["password=correcthorse", "the password : horses", "token: horses", "password\uff1d\u201chorses\u201d", "\u5bc6ABCDEFGHIJKLMNOPQRST\u94a5"]
+    texts += ["Authorization: Bearer horses", "no candidate here", "token:", "horses"]
+    got = findings(texts)
+    assert got[:4] == [{key}, {"password", key}, {key}, {key, key[::-1]}]
+    assert all({"horses"} <= got[i] for i in (5, 6, 7, 9)) and got[4] == {"password", "correcthorse"}
+    assert got[8] == {"ABCDEFGHIJKLMNOPQRST"} and got[10:] == [set(), set(), set()]
+
+
 def test_two_secrets_of_a_word_are_redacted(spark):
     docs, _ = corpus()
     frame = spark.createDataFrame(docs, SCHEMA)
     usual = secrets.usage(frame)
     forest = secrets.train(secrets.labelled_findings(frame, usual))
     one, two = "AKIA" + "QWERTZUIOPASDFG7", "b2" + "0123456789abcdef" * 2 + "012345"
-    odd = [(1, f'{{"key":"{one}","token":"{two}"}}', 0, 1)]
+    odd = [(1, f'{{"key":"{one}","token":"{two}"}}', 0, 1), (2, f"\u5bc6\u94a5\u201c{one}\u201d\u548ctoken\uff1a{two}\u3002", 0, 1)]
     after = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(odd, SCHEMA), usual, forest).collect()}
     assert after[1] == '{"key":"[REDACTED]","token":"[REDACTED]"}'
+    assert after[2] == "\u5bc6\u94a5\u201c[REDACTED]\u201d\u548ctoken\uff1a[REDACTED]\u3002"
