@@ -23,6 +23,7 @@ from gridloom.llm.text import Words, mix, plain_words, slices
 from gridloom.session import checkpointed
 
 PASSAGE = 64  # words of a passage of a benchmark item
+STRIDE = 16  # between two passages of a longer item, so that no excerpt falls between them
 WINDOW, STEP = 32, 16  # words of a window of a document, and between two
 DIMENSIONS = 128
 COSINE = 0.4
@@ -80,7 +81,7 @@ def _vectors(words: Words, idf: np.ndarray):
 
 
 def passages(benchmark: DataFrame) -> DataFrame:
-    """item_id, passage (0, 1, ...) and text of every piece of PASSAGE words."""
+    """item_id, passage (0, 1, ...) and text of pieces of PASSAGE words, STRIDE apart."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,8 +89,8 @@ def passages(benchmark: DataFrame) -> DataFrame:
                 found = plain_words(piece.column("text"))
                 row, number, texts = [], [], []
                 for i, n in enumerate(found.count.tolist()):
-                    for k in range(-(-n // PASSAGE)):
-                        a = int(found.first[i]) + max(0, min(k * PASSAGE, n - PASSAGE))
+                    for k in range(1 + max(0, -(-(n - PASSAGE) // STRIDE)) if n else 0):
+                        a = int(found.first[i]) + max(0, min(k * STRIDE, n - PASSAGE))
                         b = min(a + PASSAGE, int(found.first[i + 1])) - 1
                         row.append(i)
                         number.append(k)

@@ -70,6 +70,20 @@ def test_finds_what_was_planted(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_ in docs if i not in dirty)
 
 
+def test_excerpts_across_the_cuts_of_a_long_item(spark):
+    rng = random.Random(3)
+    docs, items, _ = corpus()
+    long = [(40 + n, ["".join(rng.choices("abdeginorstuv", k=rng.randint(5, 10))) for _ in range(n)]) for n in (100, 128, 200)]
+    body = docs[1][1].split()
+    planted = [(i, n, " ".join([*body[:50], *w[a : a + d.PASSAGE], *body[50:]])) for i, w in long for n, a in enumerate(range(0, len(w) - d.PASSAGE + 1, 8))]
+    benchmark = spark.createDataFrame([*items, *((i, " ".join(w)) for i, w in long)], BENCHMARK)
+    frame = spark.createDataFrame([(1000 * i + n, t, 0) for i, n, t in planted] + docs, SCHEMA)
+    found = {(r.doc_id, r.item_id) for r in d.find_leaks(frame, benchmark).collect()}
+    assert {(1000 * i + n, i) for i, n, _ in planted} == {x for x in found if x[0] >= 1000}
+    kept = {r.doc_id for r in d.without_leaks(frame, benchmark).collect()}
+    assert not any(1000 * i + n in kept for i, n, _ in planted)
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     monkeypatch.setattr(d, "BLOCK_WORDS", 1000)
     docs, items, planted = corpus()
