@@ -84,16 +84,23 @@ class Search:
         self.q, self.qid, self.k = queries, query_ids, k
         self.scores = np.full((len(queries), k), -np.inf)
         self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
-        # Copies of a vector are one point; of their ids only the k + 1 smallest can count.
+        # Copies of a vector are one point; of their ids only the k + 1 smallest can count, one of
+        # which may be the query's own, and k rows of each.
         order = np.lexsort((point_ids, *points.T[::-1]))
         points, point_ids = points[order], point_ids[order]
         new = np.ones(len(points), bool)
         new[1:] = (points[1:] != points[:-1]).any(axis=1)
         start = np.flatnonzero(new)
-        nth = np.arange(len(points)) - np.repeat(start, np.diff(np.append(start, len(points))))
+        # The number of each row's id among those of its vector, and of the row among the id's.
+        other = new.copy()
+        other[1:] |= point_ids[1:] != point_ids[:-1]
+        begin = np.flatnonzero(other)
+        ids = np.cumsum(other) - 1
+        nth = ids - np.repeat(ids[start], np.diff(np.append(start, len(points))))
+        again = np.arange(len(points)) - np.repeat(begin, np.diff(np.append(begin, len(points))))
         self.p = points[start]
         self.group = np.cumsum(new) - 1
-        keep = nth <= k
+        keep = (nth <= k) & (again < k)
         self.group, self.pid = self.group[keep], point_ids[keep]
         self.first = np.searchsorted(self.group, np.arange(len(self.p) + 1))
         self.walk(cover_tree(self.q), cover_tree(self.p))

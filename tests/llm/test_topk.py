@@ -54,6 +54,13 @@ def test_odd_rows(spark, rows):
     assert found(spark, rows, [], 2) == set()
 
 
+def test_repeated_rows_leave_room_for_other_ids(spark, rows):
+    vectors = [(0, [1.0, 0.5], 1)] * 8 + [(1, [1.0, 0.5], 1), (3, [1.0, 0.5], 1), (5, [0.5, 0.5], 1), (7, [0.25, 0.5], 1)]
+    assert found(spark, rows, vectors, 2) == brute_force(vectors, 2, 5)
+    vectors += [(4, [1.0, 0.5], 1)] * 3 + [(9, [1.0, 0.5], 1)] * 9
+    assert found(spark, rows, vectors, 2) == brute_force(vectors, 2, 5)
+
+
 def test_large_components_are_exact(spark, rows):
     vectors = [(0, [2.0**40, 1.0], 1), (1, [1.0, 3.0], 1), (2, [1.0, 2.0], 1), (3, [-1.0, 2.0], 1)]
     assert found(spark, rows, vectors, 2, 2) == brute_force(vectors, 2, 2)
