@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import decontaminate, licenses, ngram_join, packing, quality, secrets, sharding, topk, toxicity, url_filter
+from gridloom.llm import centroids, decontaminate, licenses, ngram_join, packing, quality, secrets, sharding, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -152,3 +152,60 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+def _cluster_sql(k: int = 16, size: int = 64, rounds: int = 3) -> str:
+    """The rounds of clustering as one statement, a group of subqueries for each."""
+    steps = [
+        f"""
+kept AS (
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {size}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS (
+  SELECT row_no, vec_id, unnest(range({size})) AS i,
+    unnest(list_transform(v, lambda x: floor(64 * x)::BIGINT)) AS x FROM kept),
+first AS (
+  SELECT row_no, row_number() OVER (
+    ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c FROM kept),
+m0 AS (SELECT c, i, x FROM cells JOIN first USING (row_no) WHERE c < {k})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""
+d{r} AS (
+  SELECT row_no, c, sum((cells.x - m{r}.x) * (cells.x - m{r}.x)) AS distance
+  FROM cells JOIN m{r} USING (i) GROUP BY row_no, c),
+a{r} AS (
+  SELECT row_no, min(c) AS c, any_value(distance) AS distance FROM (
+    SELECT *, min(distance) OVER (PARTITION BY row_no) AS least FROM d{r})
+  WHERE distance = least GROUP BY row_no)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""
+s{r} AS (
+  SELECT c, i, sum(x) AS total, count(*) AS n FROM cells JOIN a{r} USING (row_no) GROUP BY c, i),
+m{r + 1} AS (
+  SELECT m.c, m.i, CASE WHEN n IS NULL THEN m.x
+    ELSE (total - ((total % n) + n) % n) // n END AS x
+  FROM m{r} m LEFT JOIN s{r} s ON m.c = s.c AND m.i = s.i)"""
+            )
+    steps.append(
+        f"""
+named AS (
+  SELECT c, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM m{rounds} GROUP BY c)"""
+    )
+    return f"""
+WITH {",".join(steps)}
+SELECT vec_id, c::INTEGER AS cluster, distance::BIGINT AS distance,
+  (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (row_no) JOIN named USING (c)
+"""
+
+
+@query("op12_clustering", _cluster_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
