@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import centroids, decontaminate, licenses, ngram_join, packing, quality, secrets, sharding, topk, toxicity, url_filter
+from gridloom.llm import centroids, collocations, decontaminate, licenses, ngram_join, packing, quality, secrets, sharding, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -209,3 +209,45 @@ FROM a{rounds} JOIN kept USING (row_no) JOIN named USING (c)
 @query("op12_clustering", _cluster_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+_PHRASE_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g
+  FROM worded, (VALUES (1), (2), (3), (4)) sizes(k)),
+f AS (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY lang, k, g HAVING count(*) >= 30),
+candidates AS (SELECT * FROM f WHERE k > 1),
+cuts AS (SELECT *, unnest(range(1, k)) AS c FROM candidates),
+scored AS (
+  SELECT cuts.lang, cuts.g, cuts.k, cuts.a, c, l.a AS l, r.a AS r,
+    2000000::HUGEINT * cuts.a // (l.a + r.a) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = cuts.g[1:c]
+    JOIN f r ON r.lang = cuts.lang AND r.g = cuts.g[c + 1:cuts.k]),
+lowest AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+inner_size AS (SELECT *, unnest(range(2, k)) AS s FROM candidates),
+inner_at AS (SELECT *, unnest(range(1, k - s + 2)) AS i FROM inner_size),
+held AS (SELECT lang, g[i:i + s - 1] AS g, max(a) AS most FROM inner_at GROUP BY ALL),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN held ON held.lang = lowest.lang AND held.g = lowest.g
+  WHERE most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT),
+ranked AS (
+  SELECT *, array_to_string(g, ' ') AS phrase,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+  FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", _PHRASE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
