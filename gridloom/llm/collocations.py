@@ -11,9 +11,10 @@ by two, three or four words. Equal suffixes of a slice of texts travel once, wit
 partition that was dealt by more words than it has sorted so far holds only some of
 its phrase's occurrences; it is never abandoned, and Spark adds up what the parts found.
 
-Suffixes end before a word rarer than a candidate's least count. The frequent and the crowded
-words are looked up in two bit tables of fixed size; a word that is taken for one of
-them by chance costs work and changes no count.
+Suffixes of two words go first. Partitions found too small are thereby abandoned for the whole
+corpus: longer suffixes end before a word, or a pair of words, rarer than a candidate's least
+count. Frequent and crowded words and frequent pairs are looked up in bit tables of fixed size;
+one that is taken for such by chance costs work and changes no count.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from gridloom.session import checkpointed
 
 WORDS = 4  # of the longest phrase
 SLICE = 4 << 20  # bytes of text sorted and dealt out at once
-PART_SUFFIXES = 1_000_000  # suffixes of a part, on average
+PART_SUFFIXES = 2_000_000  # suffixes of a part, on average
 CROWD = 250_000  # a word with more occurrences does not decide alone where its suffixes go
 SALTS = 64  # groups of a language that are ranked on their own first
 _SLOTS = 1 << 20  # 64-bit words of a bit table: 8 MB
@@ -133,82 +134,120 @@ def word_counts(texts: DataFrame, least: int) -> DataFrame:
     return checkpointed(sums.where(F.col("word").isNull() | (F.col("count") >= least)))
 
 
-def bit_tables(counts: DataFrame, crowd: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit tables of all tokens in ``counts`` and of those with more than ``crowd`` occurrences."""
+def bit_tables(phrases: DataFrame, crowd: int | None = None) -> np.ndarray:
+    """Bit table of all phrases of one or two words; with ``crowd`` a second one, of those with
+    more occurrences than that."""
 
     def places(batches):
         for b in batches:
-            slot, bit = _places(token_hashes(b.column("lang"), b.column("word")))
+            slot, bit = _places(phrase_hashes(b.column("lang"), b.column("phrase")))
             bits = (np.uint64(1) << bit).view(np.int64)
-            many = b.column("count").to_numpy() > crowd
+            many = b.column("count").to_numpy() > (crowd or 0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slot), pa.array(bits), pa.array(np.where(many, bits, 0))], names=["slot", "known", "many"]
             )
 
-    rows = counts.where("word is not null").select("lang", "word", "count")
-    rows = rows.mapInArrow(places, "slot long, known long, many long").groupBy("slot")
-    found = rows.agg(F.bit_or("known").alias("known"), F.bit_or("many").alias("many")).toArrow()
-    tables = np.zeros((2, _SLOTS), np.int64)
-    slot = found.column("slot").to_numpy()
-    tables[0, slot], tables[1, slot] = (found.column(c).to_numpy() for c in ("known", "many"))
-    return tables[0].view(np.uint64), tables[1].view(np.uint64)
-
-
-def suffixes(s: Slice, known: np.ndarray) -> np.ndarray:
-    """Tokens of the suffixes of two words or more, a row each, -1 after their end."""
-    count = len(s.token)
-    rows = np.full((count + WORDS, WORDS), -1, np.int64)
-    going = known[s.token] if count else np.zeros(0, bool)
-    goes_on = np.zeros(count + WORDS, bool)  # whether a word follows the one before it
+    rows = phrases.select("lang", "phrase", "count").mapInArrow(places, "slot long, known long, many long")
+    found = rows.groupBy("slot").agg(F.bit_or("known").alias("known"), F.bit_or("many").alias("many")).toArrow()
+    tables = np.zeros((1 if crowd is None else 2, _SLOTS), np.int64)
+    for table, name in zip(tables, ("known", "many")):
+        table[found.column("slot").to_numpy()] = found.column(name).to_numpy()
+    return tables.view(np.uint64)
+
+
+def phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each phrase of one or two words."""
+    words = pc.split_pattern(phrases, " ", max_splits=1)
+    out = token_hashes(langs, pc.list_element(words, 0))
+    two = pc.equal(pc.list_value_length(words), 2)
+    second = token_hashes(langs.filter(two), pc.list_element(words.filter(two), 1))
+    two = two.to_numpy(zero_copy_only=False)
+    out[two] = mix(out[two] * _BASE + second)
+    return out
+
+
+def suffixes(s: Slice, hashes: np.ndarray, known: np.ndarray, pairs: np.ndarray | None) -> np.ndarray:
+    """Tokens of the suffixes, a row each, -1 after their end.
+
+    Without ``pairs`` those of two known words. With it those of three and four words, of
+    which each two neighbours are a known pair.
+    """
+    count, width = len(s.token), 2 if pairs is None else WORDS
+    rows = np.full((count + width, width), -1, np.int64)
+    going = _in_table(known, hashes)[s.token] if count else np.zeros(0, bool)
+    goes_on = np.zeros(count + width, bool)  # whether a word follows the one before it
     goes_on[:count] = going & ~s.opens
-    alive = np.zeros(count + WORDS, bool)
-    alive[:count] = going
-    token = np.append(s.token, np.full(WORDS, -1))
-    for k in range(WORDS):
+    if pairs is not None and count > 1:
+        own = hashes[s.token]
+        goes_on[1:count] &= _in_table(pairs, mix(own[:-1] * _BASE + own[1:]))
+    alive = np.append(going, np.zeros(width, bool))
+    token = np.append(s.token, np.full(width, -1))
+    for k in range(width):
+        upto = count + width - k
         if k:
-            alive[: count + WORDS - k] &= goes_on[k:]
-            alive[count + WORDS - k :] = False
-        rows[: count + WORDS - k, k] = np.where(alive[: count + WORDS - k], token[k:], -1)
-    return rows[rows[:, 1] >= 0]
+            alive[:upto] &= goes_on[k:]
+            alive[upto:] = False
+        rows[:upto, k] = np.where(alive[:upto], token[k:], -1)
+    return rows[rows[:, 1 if pairs is None else 2] >= 0]
 
 
 def distinct(rows: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and how often each occurs."""
+    """Distinct rows in order, and how often each occurs."""
     base = tokens + 1
-    pairs = [np.unique((rows[:, k] + 1) * base + rows[:, k + 1] + 1, return_inverse=True) for k in (0, 2)]
-    (first, a), (second, b) = pairs
-    both, count = np.unique(a * max(len(second), 1) + b, return_counts=True)
-    a, b = first[both // max(len(second), 1)], second[both % max(len(second), 1)]
-    return np.stack([a // base, a % base, b // base, b % base], axis=1) - 1, count
+    halves = [(rows[:, k] + 1) * base + rows[:, k + 1] + 1 for k in range(0, rows.shape[1], 2)]
+    if len(halves) == 1:
+        both, count = np.unique(halves[0], return_counts=True)
+        halves = [both]
+    else:
+        (first, a), (second, b) = (np.unique(h, return_inverse=True) for h in halves)
+        both, count = np.unique(a * max(len(second), 1) + b, return_counts=True)
+        halves = [first[both // max(len(second), 1)], second[both % max(len(second), 1)]]
+    return np.stack([x for h in halves for x in (h // base, h % base)], axis=1) - 1, count
 
 
 def dealt(rows: np.ndarray, hashes: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of the words that decide where each suffix goes, and how many they are."""
     place = np.zeros(len(rows), np.uint64)
-    words = np.zeros(len(rows), np.int8)
-    for k in range(WORDS):
+    words = np.zeros(len(rows), np.int64)
+    width = rows.shape[1]
+    for k in range(width):
         there = rows[:, k] >= 0
         going = words == 0
         own = np.where(there, hashes[rows[:, k]], np.uint64(k))
         place = np.where(going, mix(place * _BASE + own), place)
-        last = ~(there & crowded[rows[:, k]]) if k < WORDS - 1 else np.ones(len(rows), bool)
-        last &= there | (k == WORDS - 1)
+        last = there & ~crowded[rows[:, k]] if k < width - 1 else np.ones(len(rows), bool)
         words[going & last] = k + 1
     return place, words
 
 
-BLOCKS = "part long, lang string, words array<string>, codes binary, counts binary, whole binary"
+BLOCKS = "part long, lang string, words array<string>, planes int, data binary"
+
 
+def _planes(at: np.ndarray, columns: int, planes: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(column, byte of its numbers, place of that byte for every row) in the data of blocks
+    whose rows begin at ``at``.
 
-def blocks(s: Slice, known: np.ndarray, crowded: np.ndarray, parts: int) -> pa.RecordBatch:
+    A block holds the lowest bytes of its first column, then the next bytes, and so on: bytes that are
+    alike stand together, which is what the compression of shuffled data needs.
+    """
+    size = np.diff(at)
+    block = np.repeat(np.arange(len(size)), size)
+    own = np.arange(at[-1]) - at[block] + at[block] * columns * planes
+    for column in range(columns):
+        for byte in range(planes):
+            yield column, byte, own + (column * planes + byte) * size[block]
+
+
+def blocks(s: Slice, tables: np.ndarray, pairs: np.ndarray | None, parts: int) -> pa.RecordBatch:
     """The suffixes of a slice, a row for each part and language.
 
-    A row holds its distinct words, and for every suffix four numbers of words (-1 after its
-    end), its count, and how many words decided on the part.
+    A row holds its distinct words, and for every suffix, in order, the numbers of its
+    words (0 after its end; the first word's as the step from the suffix before), its count, and
+    how many words decided on the part, all as bytes laid out by ``_planes``.
     """
     hashes = token_hashes(s.langs, s.words)
-    rows, count = distinct(suffixes(s, _in_table(known, hashes)), len(s.words))
-    place, words = dealt(rows, hashes, _in_table(crowded, hashes))
+    rows, count = distinct(suffixes(s, hashes, tables[0], pairs), len(s.words))
+    place, words = dealt(rows, hashes, _in_table(tables[1], hashes))
     langs = s.langs.dictionary_encode()
     lang = langs.indices.to_numpy(zero_copy_only=False)[rows[:, 0]].astype(np.int64)
     part = (place % np.uint64(parts)).astype(np.int64)
@@ -222,30 +261,49 @@ def blocks(s: Slice, known: np.ndarray, crowded: np.ndarray, parts: int) -> pa.R
     size = max(len(s.words), 1)
     keys, number = np.unique((block[:, None] * size + rows)[there], return_inverse=True)
     first = np.searchsorted(keys, np.arange(len(at)) * size)
-    codes = np.full(rows.shape, -1, np.int32)
-    codes[there] = number - first[np.broadcast_to(block[:, None], rows.shape)[there]]
-
-    def binary(values: np.ndarray, width: int) -> pa.Array:
-        offsets = (at * width).astype(np.int32)
-        return pa.Array.from_buffers(
-            pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]
-        )
-
-    spelled = s.words.cast(pa.string()).take(pa.array(keys % size))
-    opens = at[:-1]
+    codes = np.zeros((len(rows), rows.shape[1] + 2), np.uint32)
+    codes[:, :-2][there] = number - first[np.broadcast_to(block[:, None], rows.shape)[there]] + 1
+    codes[:, -2], codes[:, -1] = count, words
+    planes = max(1, (int(codes.max()).bit_length() + 7) // 8) if len(codes) else 1
+    step = np.diff(codes[:, 0], prepend=np.uint32(0))
+    codes[:, 0] = np.where(new, codes[:, 0], step)
+    data = np.empty(len(codes) * codes.shape[1] * planes, np.uint8)
+    for column, byte, to in _planes(at, codes.shape[1], planes):
+        data[to] = codes[:, column] >> (8 * byte)
+    opens, offsets = at[:-1], (at * codes.shape[1] * planes).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(part[opens]),
             langs.dictionary.take(pa.array(lang[opens])),
-            pa.ListArray.from_arrays(pa.array(first, pa.int32()), spelled),
-            binary(codes, 4 * WORDS),
-            binary(count.astype(np.int32), 4),
-            binary(words, 1),
+            pa.ListArray.from_arrays(pa.array(first, pa.int32()), s.words.cast(pa.string()).take(pa.array(keys % size))),
+            pa.array(np.full(len(opens), planes, np.int32)),
+            pa.Array.from_buffers(pa.binary(), len(opens), [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
         ],
-        names=["part", "lang", "words", "codes", "counts", "whole"],
+        names=["part", "lang", "words", "planes", "data"],
     )
 
 
+def read_blocks(rows: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers ``blocks`` has written, a row for each suffix, and the block of each."""
+    numbers, of = [], []
+    every = rows.column("planes").to_numpy()
+    for planes in np.unique(every).tolist():
+        mine = np.flatnonzero(every == planes)
+        held = pa.concat_arrays(rows.column("data").take(pa.array(mine)).chunks)
+        data, offsets = buffers(held)
+        at = offsets // (columns * planes)
+        found = np.zeros((at[-1], columns), np.uint32)
+        for column, byte, place in _planes(at, columns, planes):
+            found[:, column] |= data[place].astype(np.uint32) << np.uint32(8 * byte)
+        total = np.cumsum(found[:, 0], dtype=np.int64)
+        size = np.diff(at)
+        before = np.append(0, total)[at[:-1]]
+        found[:, 0] = total - np.repeat(before, size)
+        numbers.append(found)
+        of.append(np.repeat(mine, size))
+    return np.concatenate(numbers), np.concatenate(of)
+
+
 # --- sorting -----------------------------------------------------------------------
 
 
@@ -259,15 +317,15 @@ def equal_partitions(keys: np.ndarray, weights: np.ndarray, whole: np.ndarray, l
     of less than ``least`` are abandoned, unless ``whole`` says that some pointer's keys decide on
     completeness only at a greater depth.
     """
-    pointers = np.arange(keys.shape[1])
+    pointers = np.arange(keys.shape[1], dtype=np.int32)
     start, size = np.zeros(1, np.int64), np.array([len(pointers)])
     depth = np.zeros(1, np.int64)
     while len(pointers):
-        of = np.repeat(np.arange(len(size)), size)
+        of = np.repeat(np.arange(len(size), dtype=np.int32), size)
         key = keys[depth[of], pointers]
         three = np.sort(np.stack([key[start], key[start + size // 2], key[start + size - 1]]), axis=0)
         pivot = three[1]
-        side = (key >= pivot[of]).astype(np.int64)
+        side = (key >= pivot[of]).astype(np.int32)
         side += key > pivot[of]
         kind = 3 * of + side
         sizes = np.bincount(kind, minlength=3 * len(size))
@@ -298,28 +356,25 @@ def equal_partitions(keys: np.ndarray, weights: np.ndarray, whole: np.ndarray, l
 _PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("count", pa.int64())])
 
 
-def sort_part(part: pa.Table, least: int) -> pa.Table:
-    """Phrases of two words and more that begin the suffixes of a part, with their counts."""
+def sort_part(part: pa.Table, width: int, least: int) -> pa.Table:
+    """Phrases that begin the suffixes of a part, with their counts: of two words for suffixes of
+    two words, else of three and four."""
     part = part.combine_chunks()
     words = pa.concat_arrays([c.flatten() for c in part.column("words").chunks]).dictionary_encode()
     langs = pa.concat_arrays(part.column("lang").chunks).dictionary_encode()
     numbers = words.indices.to_numpy(zero_copy_only=False)
     first = np.concatenate([[0], np.cumsum(pc.list_value_length(part.column("words")).to_numpy())])
-
-    def values(name: str, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, kind) for x in part.column(name).to_pylist()])
-
-    codes = values("codes", np.int32).reshape(-1, WORDS)
-    weights, whole = values("counts", np.int32), values("whole", np.int8)
-    block = np.repeat(np.arange(part.num_rows), [len(x) for x in part.column("whole").to_pylist()])
-    keys = np.empty((1 + WORDS, len(codes)), np.int32)
+    codes, block = read_blocks(part, width + 2)
+    keys = np.empty((1 + width, len(codes)), np.int32)
     keys[0] = langs.indices.to_numpy(zero_copy_only=False)[block]
-    for k in range(WORDS):
-        there = codes[:, k] >= 0
-        keys[k + 1] = np.where(there, numbers[np.where(there, first[block] + codes[:, k], 0)], -1)
+    for k in range(width):
+        there = codes[:, k] > 0
+        keys[k + 1] = np.where(there, numbers[np.where(there, first[block] + codes[:, k] - 1, 0)], -1)
+    weights, whole = codes[:, -2].astype(np.int64), codes[:, -1].astype(np.int8)
+    del codes, block, numbers
     out = []
     for depth, pointers, count in equal_partitions(keys, weights, whole, least):
-        if depth >= 2:
+        if depth == 2 if width == 2 else depth > 2:
             spelled = [words.dictionary.take(pa.array(keys[k, pointers])) for k in range(1, depth + 1)]
             phrase = pc.binary_join_element_wise(*spelled, " ")
             lang = langs.dictionary.take(pa.array(keys[0, pointers]))
@@ -328,27 +383,41 @@ def sort_part(part: pa.Table, least: int) -> pa.Table:
     return pa.Table.from_batches(out, _PHRASES)
 
 
-def count_phrases(texts: DataFrame, counts: DataFrame, least: int, crowd: int | None = None) -> DataFrame:
-    """(lang, phrase, words, count) of phrases of two to four words with ``least`` occurrences."""
-    crowd = CROWD if crowd is None else crowd
-    sc = texts.sparkSession.sparkContext
-    known = counts.where("word is not null").agg(F.sum("count")).first()[0] or 0
-    parts = max(1, -(-known // PART_SUFFIXES))
-    tables = sc.broadcast(bit_tables(counts, crowd))
+def sorted_suffixes(texts: DataFrame, tables, pairs, width: int, parts: int, least: int) -> DataFrame:
+    """(lang, phrase, words, count) of frequent phrases among suffixes of ``width`` words."""
 
     def deal(batches):
         for s in read_slices(batches):
-            yield blocks(s, *tables.value, parts)
+            yield blocks(s, tables.value, None if pairs is None else pairs.value[0], parts)
 
     def sort(part: pa.Table) -> pa.Table:
-        return sort_part(part, least)
+        return sort_part(part, width, least)
 
     found = texts.mapInArrow(deal, BLOCKS).groupBy("part")
     found = found.applyInArrow(sort, "lang string, phrase string, words int, count long")
     sums = found.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("count").alias("count"))
-    phrases = checkpointed(sums.where(F.col("count") >= least))
+    return checkpointed(sums.where(F.col("count") >= least))
+
+
+def count_phrases(texts: DataFrame, counts: DataFrame, least: int, crowd: int | None = None) -> DataFrame:
+    """(lang, phrase, words, count) of phrases of two to four words with ``least`` occurrences.
+
+    Suffixes of two words are sorted first. Those of three and four words follow only where all
+    their pairs have turned out frequent.
+    """
+    sc = texts.sparkSession.sparkContext
+    words = counts.where("word is not null").withColumnRenamed("word", "phrase")
+
+    def parts(rows: DataFrame) -> int:
+        return max(1, -(-(rows.agg(F.sum("count")).first()[0] or 0) // PART_SUFFIXES))
+
+    tables = sc.broadcast(bit_tables(words, CROWD if crowd is None else crowd))
+    two = sorted_suffixes(texts, tables, None, 2, parts(words), least)
+    pairs = sc.broadcast(bit_tables(two))
+    more = sorted_suffixes(texts, tables, pairs, WORDS, parts(two), least)
     tables.destroy()
-    return phrases
+    pairs.destroy()
+    return two.unionByName(more)
 
 
 # --- scores ------------------------------------------------------------------------
