@@ -32,7 +32,7 @@ from gridloom.llm.text import _BASE, _BLANK, _LOWER, Words, buffers, mix, split_
 from gridloom.session import checkpointed
 
 WORDS = 4  # of the longest phrase
-SLICE = 4 << 20  # bytes of text sorted and dealt out at once
+SLICE = 10 << 20  # bytes of text sorted and dealt out at once
 PART_SUFFIXES = 2_000_000  # suffixes of a part, on average
 CROWD = 250_000  # a word with more occurrences does not decide alone where its suffixes go
 SALTS = 64  # groups of a language that are ranked on their own first
@@ -59,7 +59,7 @@ def read_slice(texts: pa.Array, langs: pa.Array) -> Slice:
     data, at = buffers(texts)
     found = split_words(_LOWER[data], at, _GAP)
     count = len(found.start)
-    split = np.cumsum(_SPLITS[data])[found.start] if count else np.zeros(0, np.int64)
+    split = np.cumsum(_SPLITS[data], dtype=np.int32)[found.start] if count else np.zeros(0, np.int64)
     opens = np.ones(count, bool)
     opens[1:] = (split[1:] != split[:-1]) | (found.doc[1:] != found.doc[:-1])
     offsets = np.zeros(count + 1, np.int32)
@@ -67,10 +67,15 @@ def read_slice(texts: pa.Array, langs: pa.Array) -> Slice:
     letters = found.data[~found.gap]
     words = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
     words, langs = words.dictionary_encode(), langs.dictionary_encode()
+    # Words in order, so that neighbours in a block's list are alike.
+    spelled = words.dictionary.take(order := pc.sort_indices(words.dictionary))
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    word = rank[words.indices.to_numpy(zero_copy_only=False)]
     lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[found.doc]
-    size = max(len(words.dictionary), 1)
-    both, token = np.unique(lang * size + words.indices.to_numpy(zero_copy_only=False), return_inverse=True)
-    return Slice(token, opens, langs.dictionary.take(pa.array(both // size)), words.dictionary.take(pa.array(both % size)))
+    size = max(len(spelled), 1)
+    both, token = np.unique(lang * size + word, return_inverse=True)
+    return Slice(token, opens, langs.dictionary.take(pa.array(both // size)), spelled.take(pa.array(both % size)))
 
 
 def read_slices(batches) -> Iterator[Slice]:
