@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import centroids, collocations, decontaminate, licenses, ngram_join, packing, quality, secrets, sharding, topk, toxicity, url_filter
+from gridloom.llm import bestfit, centroids, collocations, decontaminate, licenses, ngram_join, packing, quality, secrets, sharding, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,11 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer() -> str:
-    """The tokenizer file the queries use; it belongs to a package all executors have."""
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """A tokenizer file the queries use; it belongs to a package all executors have."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 RULES = [
@@ -251,3 +251,8 @@ FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 @query("op13_collocations", _PHRASE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_best_fit")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_whole(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
