@@ -1,25 +1,35 @@
 """Token ids of many texts with a byte-level BPE tokenizer file.
 
-The tokenizer never joins what stands before white space to what follows, and how it treats a run
-of white space depends only on what comes next. So a text can be cut before each ASCII blank that follows
-a visible character, and its ids are those of the chunks in a row. Equal chunks of a
-batch are encoded once, and a Python worker remembers a bounded number of them. Tests hold the
-result against encoding whole texts.
+The tokenizer never joins what stands before white space to what follows, nor letters to ASCII
+punctuation after them, and how it treats a run of white space depends only on what comes next. So
+a text can be cut before each ASCII blank that follows a visible character and between a letter
+and punctuation, and its ids are those of the chunks in a row. Equal chunks of a batch are encoded
+once, and a Python worker remembers a bounded number of them. Tests hold the result against
+encoding whole texts.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 
 from gridloom.llm.text import _BLANK, buffers
 
-KNOWN_CHUNKS = 200_000  # chunks a worker remembers; past that it starts afresh
+KNOWN_CHUNKS = 400_000  # chunks a worker remembers; past that it starts afresh
+
+_AT_ONCE = 256  # chunks encoded in one string, a line each
 
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[33:127] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+# Not the apostrophe, which may begin 's or 'll, and not the sign inside the end mark.
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in '!"#$%&()*+,-./:;<=>?@[\\]^_`{}~']] = True
+_PLAIN = re.compile(rb" ?[^\s\x1c-\x1f\x80-\xff]+").fullmatch
 
 
 class ByteEncoder:
@@ -30,6 +40,11 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.line_end = self._ids(["\n"])[0].tolist()
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        for mark in self.specials:
+            if len(self.chunks(np.frombuffer(mark, np.uint8), np.array([0, len(mark)]))) > 1:
+                raise ValueError(f"texts cannot be cut around the mark {mark!r}")
         self.forget()
 
     def forget(self) -> None:
@@ -45,21 +60,33 @@ class ByteEncoder:
             # Accented Latin letters (lead byte C3) are visible as well.
             visible = _VISIBLE[data[:-1]]
             visible[1:] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80)
-            opens[1:-1] = visible & _BLANK[data[1:]]
+            opens[1:-1] = visible & _BLANK[data[1:]] | _LETTER[data[:-1]] & _SIGN[data[1:]]
         opens[at] = True
         return np.flatnonzero(opens[:-1])
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
     def learn(self, chunks: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast(
-            [c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False
-        )
-        ids = [np.array(e.ids, np.uint32) for e in found]
-        size = np.array([len(x) for x in ids], np.int64)
-        start = len(self.pool) + np.cumsum(size) - size
-        for n, chunk in enumerate(chunks, len(self.size)):
+        """Encode chunks; those of visible ASCII after at most one blank share strings, as lines."""
+        plain = [c for c in chunks if _PLAIN(c) and not any(m in c for m in self.specials)]
+        shared = self._ids([b"\n".join(plain[i : i + _AT_ONCE] + [b""]).decode() for i in range(0, len(plain), _AT_ONCE)])
+        ids = np.concatenate(shared) if shared else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(ids == self.line_end[0])
+        if len(self.line_end) != 1 or len(ends) != len(plain):
+            raise ValueError("the tokenizer does not keep lines apart")
+        starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+        known = set(plain)
+        others = [c for c in chunks if c not in known]
+        own = self._ids([c.decode("utf-8", "replace") for c in others])
+        size = np.array([len(x) for x in own], np.int64)
+        for n, chunk in enumerate([*plain, *others], len(self.size)):
             self.known[chunk] = n
-        self.start, self.size = np.append(self.start, start), np.append(self.size, size)
-        self.pool = np.concatenate([self.pool, *ids])
+        first = len(self.pool) + len(ids) + np.cumsum(size) - size
+        self.start = np.concatenate([self.start, starts + len(self.pool), first])
+        self.size = np.concatenate([self.size, ends - starts, size])
+        self.pool = np.concatenate([self.pool, ids, *own])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of the texts; NULL counts as empty."""
