@@ -32,8 +32,8 @@ from gridloom.llm.text import _BASE, _BLANK, _LOWER, Words, buffers, mix, split_
 from gridloom.session import checkpointed
 
 WORDS = 4  # of the longest phrase
-SLICE = 10 << 20  # bytes of text sorted and dealt out at once
-PART_SUFFIXES = 2_000_000  # suffixes of a part, on average
+SLICE = 14 << 20  # bytes of text sorted and dealt out at once
+PART_SUFFIXES = 2_000_000  # suffixes of a part, on average; twice as many of two words
 CROWD = 250_000  # a word with more occurrences does not decide alone where its suffixes go
 SALTS = 64  # groups of a language that are ranked on their own first
 _SLOTS = 1 << 20  # 64-bit words of a bit table: 8 MB
@@ -413,13 +413,13 @@ def count_phrases(texts: DataFrame, counts: DataFrame, least: int, crowd: int |
     sc = texts.sparkSession.sparkContext
     words = counts.where("word is not null").withColumnRenamed("word", "phrase")
 
-    def parts(rows: DataFrame) -> int:
-        return max(1, -(-(rows.agg(F.sum("count")).first()[0] or 0) // PART_SUFFIXES))
+    def parts(rows: DataFrame, suffixes: int) -> int:
+        return max(1, -(-(rows.agg(F.sum("count")).first()[0] or 0) // suffixes))
 
     tables = sc.broadcast(bit_tables(words, CROWD if crowd is None else crowd))
-    two = sorted_suffixes(texts, tables, None, 2, parts(words), least)
+    two = sorted_suffixes(texts, tables, None, 2, parts(words, 2 * PART_SUFFIXES), least)
     pairs = sc.broadcast(bit_tables(two))
-    more = sorted_suffixes(texts, tables, pairs, WORDS, parts(two), least)
+    more = sorted_suffixes(texts, tables, pairs, WORDS, parts(two, PART_SUFFIXES), least)
     tables.destroy()
     pairs.destroy()
     return two.unionByName(more)
