@@ -203,70 +203,58 @@ def coercion_rejects(df: DataFrame, keep: list[str]) -> DataFrame:
 # --- change logs -------------------------------------------------------------------
 
 
-def _row_state(changes: DataFrame, seq_run: int) -> DataFrame:
-    """Each log entry with what was true of its row before it, and at the end.
+def _mark(on: str, off: str) -> Column:
+    """What an operation makes of a state of its row: true, false, or NULL for no change."""
+    return F.when(F.col("op") == on, True).when(F.col("op") == off, False)
 
-    Adds ``_deleted`` and ``_inserted`` (row state when the entry was made),
-    ``_deleted_at_end``, ``_last_delete`` and ``_last_uninsert``. State is carried in two
-    steps, over runs of sequence numbers and inside each run, so that no task holds all
-    entries of one row. What a run starts with joins the log as an entry of its own.
+
+def _reduced_runs(changes: DataFrame, seq_run: int) -> DataFrame:
+    """The log reduced to what each run of sequence numbers does to each row.
+
+    Inside a run an entry knows the state of its row from the entries before it, or not at
+    all (NULL) when none of them sets it. Updates and inserts of one cell made in the same state
+    are one; so a run leaves a few rows per cell, however often the cell was edited.
+
+    Columns: row_id, _run, op, field, seq and _last_seq, old_value and new_value; _deleted and
+    _inserted, the state before; _after_delete and _after_uninsert, whether the run's last delete and
+    uninsert come before; and of the run as a whole _ends_deleted, _ends_inserted (NULL when
+    it sets nothing), _delete and _uninsert, the last of each.
     """
     op, seq = F.col("op"), F.col("seq")
-    log = changes.withColumns(
+    in_run = Window.partitionBy("row_id", "_run").orderBy("seq")
+    earlier = in_run.rowsBetween(Window.unboundedPreceding, -1)
+    whole = in_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    deleted, inserted = _mark("delete", "undelete"), _mark("insert", "uninsert")
+    log = changes.withColumn("_run", F.expr(f"seq div {seq_run}")).withColumns(
         {
-            "_run": F.expr(f"seq div {seq_run}"),
-            "_del_mark": F.when(op == "delete", True).when(op == "undelete", False),
-            "_ins_mark": F.when(op == "insert", True).when(op == "uninsert", False),
+            "_deleted": F.last(deleted, ignorenulls=True).over(earlier),
+            "_inserted": F.last(inserted, ignorenulls=True).over(earlier),
+            "_ends_deleted": F.last(deleted, ignorenulls=True).over(whole),
+            "_ends_inserted": F.last(inserted, ignorenulls=True).over(whole),
+            "_delete": F.max(F.when(op == "delete", seq)).over(whole),
+            "_uninsert": F.max(F.when(op == "uninsert", seq)).over(whole),
         }
     )
-
-    def latest(mark: str) -> Column:
-        return F.max_by(mark, F.when(F.col(mark).isNotNull(), seq))
-
-    runs = log.groupBy("row_id", "_run").agg(
-        latest("_del_mark").alias("_run_del"),
-        latest("_ins_mark").alias("_run_ins"),
-        F.max(F.when(op == "delete", seq)).alias("_run_last_delete"),
-        F.max(F.when(op == "uninsert", seq)).alias("_run_last_uninsert"),
-    )
-    by_run = Window.partitionBy("row_id").orderBy("_run")
-    earlier_runs = by_run.rowsBetween(Window.unboundedPreceding, -1)
-    all_runs = by_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    no = F.lit(False)
-    at_end = F.last("_run_del", ignorenulls=True).over(all_runs)
-    carried = runs.select(
-        "row_id",
-        "_run",
-        F.last("_run_del", ignorenulls=True).over(earlier_runs).alias("_del_mark"),
-        F.last("_run_ins", ignorenulls=True).over(earlier_runs).alias("_ins_mark"),
-        F.struct(
-            F.coalesce(at_end, no).alias("deleted_at_end"),
-            F.max("_run_last_delete").over(all_runs).alias("last_delete"),
-            F.max("_run_last_uninsert").over(all_runs).alias("last_uninsert"),
-        ).alias("_row"),
+    # An update of a deleted row counts for nothing; only the last delete may become a change.
+    cell = op.isin("insert", "update") & ~F.coalesce((op == "update") & F.col("_deleted"), F.lit(False))
+    kept = F.when(cell | (seq == F.col("_delete")), op)
+    log = log.withColumns(
+        {
+            "op": kept,
+            "field": F.when(kept.isNotNull(), F.col("field")),
+            "_deleted": F.when(cell, F.col("_deleted")),
+            "_inserted": F.when(cell, F.col("_inserted")),
+            "_after_delete": F.when(cell, seq > F.coalesce("_delete", F.lit(-1))),
+            "_after_uninsert": F.when(cell, seq > F.coalesce("_uninsert", F.lit(-1))),
+        }
     )
-    # The carried entry has no seq and sorts first in its run.
-    entries = log.unionByName(carried, allowMissingColumns=True)
-    in_run = Window.partitionBy("row_id", "_run").orderBy(seq.asc_nulls_first())
-    earlier = in_run.rowsBetween(Window.unboundedPreceding, -1)
-
-    def state(mark: str) -> Column:
-        return F.coalesce(F.last(mark, ignorenulls=True).over(earlier), no)
-
-    row = F.first("_row").over(earlier)
-    return (
-        entries.withColumns(
-            {"_deleted": state("_del_mark"), "_inserted": state("_ins_mark"), "_row": row}
-        )
-        .where(seq.isNotNull())
-        .select(
-            *changes.columns,
-            "_deleted",
-            "_inserted",
-            F.col("_row.deleted_at_end").alias("_deleted_at_end"),
-            F.col("_row.last_delete").alias("_last_delete"),
-            F.col("_row.last_uninsert").alias("_last_uninsert"),
-        )
+    run = ["_ends_deleted", "_ends_inserted", "_delete", "_uninsert"]
+    keys = ["row_id", "_run", "op", "field", "_deleted", "_inserted", "_after_delete", "_after_uninsert"]
+    return log.groupBy(*keys, *run).agg(
+        F.min("seq").alias("seq"),
+        F.max("seq").alias("_last_seq"),
+        F.min_by("old_value", "seq").alias("old_value"),
+        F.max_by("new_value", "seq").alias("new_value"),
     )
 
 
@@ -277,35 +265,49 @@ def compact_changes(changes: DataFrame, seq_run: int = SEQ_RUN) -> DataFrame:
     A cell keeps the first old and the last new value and vanishes when they are equal.
     Edits of a new row belong to its insert. A delete drops the row's earlier updates,
     and edits made while a row is deleted count for nothing.
+
+    The log is read once and shuffled by row and run, so that no task holds all entries of one
+    row; what the runs leave is shuffled by row, where the state is carried from run to run.
     """
-    op, seq = F.col("op"), F.col("seq")
+    op = F.col("op")
     real_edit = (op != "update") | ~F.col("old_value").eqNullSafe(F.col("new_value"))
-    log = _row_state(changes.where(real_edit), seq_run)
-    alive = (op == "insert") | (F.col("_inserted") & ~F.col("_deleted"))
+    runs = _reduced_runs(changes.where(real_edit), seq_run)
+    row = Window.partitionBy("row_id")
+    before = row.orderBy("_run").rangeBetween(Window.unboundedPreceding, -1)
+    at_end = F.max(F.when(F.col("_ends_deleted").isNotNull(), F.struct("_run", "_ends_deleted")))
+    runs = runs.withColumns(
+        {
+            "_was_deleted": F.last("_ends_deleted", ignorenulls=True).over(before),
+            "_was_inserted": F.last("_ends_inserted", ignorenulls=True).over(before),
+            "_last_delete": F.max("_delete").over(row),
+            "_last_uninsert": F.max("_uninsert").over(row),
+            "_at_end": at_end.over(row),
+        }
+    )
+    no = F.lit(False)
+    deleted = F.coalesce("_deleted", "_was_deleted", no)
+    inserted = F.coalesce("_inserted", "_was_inserted", no)
+
+    def after(last: str, in_run: str) -> Column:
+        """Whether the last such entry of the row comes before."""
+        its_run = F.expr(f"{last} div {seq_run}")
+        return F.col(last).isNull() | (F.col("_run") > its_run) | ((F.col("_run") == its_run) & F.col(in_run))
+
+    alive = (op == "insert") | (inserted & ~deleted)
+    ends_deleted = F.coalesce(F.col("_at_end")["_ends_deleted"], no)
     kind = (
-        F.when(
-            (op == "delete") & F.col("_deleted_at_end") & (seq == F.col("_last_delete")), "delete"
-        )
-        .when(
-            op.isin("insert", "update") & alive & (seq > F.coalesce("_last_uninsert", F.lit(-1))),
-            "insert",
-        )
-        .when(
-            (op == "update")
-            & ~F.col("_inserted")
-            & ~F.col("_deleted")
-            & (seq > F.coalesce("_last_delete", F.lit(-1))),
-            "update",
-        )
+        F.when((op == "delete") & ends_deleted & (F.col("seq") == F.col("_last_delete")), "delete")
+        .when(op.isin("insert", "update") & alive & after("_last_uninsert", "_after_uninsert"), "insert")
+        .when((op == "update") & ~inserted & ~deleted & after("_last_delete", "_after_delete"), "update")
     )
     cells = (
-        log.select(kind.alias("op"), "row_id", "field", "seq", "old_value", "new_value")
+        runs.select(kind.alias("op"), "row_id", "field", "seq", "_last_seq", "old_value", "new_value")
         .where(op.isNotNull())
         .groupBy("op", "row_id", "field")
         .agg(
             F.min("seq").alias("seq"),
             F.min_by("old_value", "seq").alias("old_value"),
-            F.max_by("new_value", "seq").alias("new_value"),
+            F.max_by("new_value", "_last_seq").alias("new_value"),
         )
     )
     unchanged = (op == "update") & F.col("old_value").eqNullSafe(F.col("new_value"))
@@ -529,8 +531,10 @@ def apply_changes(
     now: datetime.datetime,
     id_col: str = ID_COLUMN,
     seq_run: int = SEQ_RUN,
+    next_id: int | None = None,
 ) -> DataFrame:
-    """``base`` after a change log: rows inserted, then updated, then deleted.
+    """``base`` after a change log: rows inserted, then updated, then deleted. New rows get ids
+    from ``next_id`` on, by default those after the largest.
 
     The log is compacted and pivoted once and written to the checkpoint folder; the
     table is read once and joined once. Cells listed by ``invalid_changes`` keep their
@@ -563,6 +567,7 @@ def apply_changes(
         base,
         [F.col("_seq").asc(), F.col("row_id").asc()],
         id_col,
+        next_id,
     )
     added = numbered.drop("_seq", "row_id")
     if any(c in base.columns for c in AUDIT_COLUMNS):
@@ -573,6 +578,9 @@ def apply_changes(
 
 # --- replayed row images -----------------------------------------------------------
 
+# State of a row that events change: the number of the last one, and whether it was a delete.
+SEQ, GONE = "_seq", "_gone"
+
 
 def last_images(events: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
     """The last change per row of an event stream ``(seq, op, <row columns>)``."""
@@ -590,3 +598,43 @@ def replay_images(base: DataFrame, events: DataFrame, id_col: str = ID_COLUMN) -
     kept = base.join(last.select(id_col), id_col, "left_anti")
     images = last.where(F.col("op") != "delete").select(*base.columns)
     return kept.unionByName(images)
+
+
+def event_images(events: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
+    """Events ``(seq, op, <row columns>)`` as row images with their state, the newest of each id.
+
+    Events without ``seq`` or id say nothing and are left out.
+    """
+    known = events.where(F.col("seq").isNotNull() & F.col(id_col).isNotNull())
+    columns = [c for c in events.columns if c not in ("seq", "op")]
+    gone = F.coalesce(F.col("op") == "delete", F.lit(False))
+    return newest_images(known.select(*columns, F.col("seq").alias(SEQ), gone.alias(GONE)), id_col)
+
+
+def newest_images(images: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
+    """The image with the highest ``_seq`` of each id; of several events with one number a
+    delete, then the one that sorts last."""
+    rest = [c for c in images.columns if c not in (id_col, SEQ, GONE)]
+    newest = F.max(F.struct(SEQ, GONE, *rest)).alias("_newest")
+    found = images.groupBy(id_col).agg(newest).select(id_col, "_newest.*")
+    return found.select(images.columns)
+
+
+def merge_images(
+    state: DataFrame, images: DataFrame, id_col: str = ID_COLUMN, small: bool = False
+) -> DataFrame:
+    """``state`` with newer images laid over it; both have the state columns.
+
+    An image holds where its ``_seq`` is higher than the row's own; a row without one is older
+    than any. So images may come in any order, late and more than once. Deleted rows stay as
+    marks. ``small`` says that the images are known to fit for a broadcast; then the rows they do
+    not touch are not shuffled.
+    """
+    newest = newest_images(images, id_col)
+    marks = newest.select(id_col, F.col(SEQ).alias("_new_seq"))
+    marks = F.broadcast(marks) if small else marks
+    holds = F.coalesce(F.col(SEQ) >= F.col("_new_seq"), F.col("_new_seq").isNull())
+    kept = state.join(marks, id_col, "left").where(holds).drop("_new_seq")
+    # Late images: those a row already there has outrun.
+    late = state.select(id_col, SEQ).join(marks, id_col).where(F.col(SEQ) >= F.col("_new_seq"))
+    return kept.unionByName(newest.join(late.select(id_col), id_col, "left_anti"))

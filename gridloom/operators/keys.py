@@ -47,10 +47,14 @@ def max_id(df: DataFrame, id_col: str) -> int:
 
 
 def assign_ids(
-    new: DataFrame, base: DataFrame, order: list[Column] | None, id_col: str
+    new: DataFrame,
+    base: DataFrame,
+    order: list[Column] | None,
+    id_col: str,
+    first: int | None = None,
 ) -> DataFrame:
-    """Give ``new`` rows the ids following the largest one in ``base``."""
-    first = max_id(base, id_col) + 1
+    """Give ``new`` rows the ids from ``first`` on, by default following the largest in ``base``."""
+    first = max_id(base, id_col) + 1 if first is None else first
     numbered = with_positions(new.drop(id_col), order, id_col)
     id_type = base.schema[id_col].dataType
     return numbered.withColumn(id_col, (F.col(id_col) + F.lit(first)).cast(id_type))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_TASK = 2_000_000
@@ -60,8 +60,14 @@ def broadcast_if_small(
     their size, and only those sums meet. A larger frame is returned as it is and joins by
     shuffle.
     """
+    rows, size = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(stored)), F.lit(0))).first()
+    return F.broadcast(stored) if rows <= max_rows and size <= max_bytes else stored
+
+
+def _width(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
     width = F.lit(0).cast("long")
-    for field in stored.schema.fields:
+    for field in df.schema.fields:
         if isinstance(field.dataType, T.AtomicType) and not isinstance(field.dataType, T.StringType):
             width += 8
         else:
@@ -69,5 +75,9 @@ def broadcast_if_small(
             if not isinstance(field.dataType, T.StringType):
                 text = F.to_json(F.struct(text))
             width += F.coalesce(F.octet_length(text), F.lit(0)) + 8
-    rows, size = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return F.broadcast(stored) if rows <= max_rows and size <= max_bytes else stored
+    return width
+
+
+def data_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows take, by reading them once."""
+    return df.agg(F.coalesce(F.sum(_width(df)), F.lit(0))).first()[0]

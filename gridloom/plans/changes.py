@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridloom.operators import changes as C
 from gridloom.plans.registry import NOW, USER, plan, table
+from gridloom.session import checkpointed
 
 _STAMP = f"TIMESTAMP '{NOW}'"
 
@@ -476,3 +477,39 @@ def _(spark, sf):
         "value",
     )
     return C.replay_images(base, events)
+
+
+@plan(
+    "sync_late_events",
+    """WITH last AS (
+           SELECT user_id, arg_max(event_type, event_id) AS event_type,
+                  arg_max(value, event_id) AS value, max(event_id) AS seq
+           FROM events GROUP BY user_id)
+       SELECT c_custkey AS id, 'none' AS event_type, c_acctbal AS value,
+              CAST(0 AS BIGINT) AS seq FROM customer
+       WHERE c_custkey NOT IN (SELECT user_id FROM last)
+       UNION ALL
+       SELECT user_id, event_type, value, seq FROM last WHERE event_type <> 'error'""",
+)
+def _(spark, sf):
+    # All events in four batches, each with old and new ones; one is sent again. After two
+    # batches the deltas are folded in.
+    columns = [F.col("c_custkey").alias("id"), F.lit("none").alias("event_type"), F.col("c_acctbal").alias("value")]
+    state = table(spark, sf, "customer").select(
+        *columns, F.lit(None).cast("long").alias(C.SEQ), F.lit(False).alias(C.GONE)
+    )
+    kind = F.col("event_type")
+    events = table(spark, sf, "events").select(
+        F.col("event_id").alias("seq"),
+        F.when(kind == "error", "delete").otherwise("update").alias("op"),
+        F.col("user_id").alias("id"),
+        "event_type",
+        "value",
+        F.pmod(F.xxhash64("event_id"), F.lit(4)).alias("batch"),
+    )
+    images = [C.event_images(events.where(F.col("batch") == n).drop("batch")) for n in (3, 1, 2, 0, 2)]
+    folded = checkpointed(C.merge_images(state, images[0].unionByName(images[1])))
+    late = images[2].unionByName(images[3]).unionByName(images[4])
+    rows = C.merge_images(folded, late)
+    seq = F.coalesce(C.SEQ, F.lit(0)).alias("seq")
+    return rows.where(~F.col(C.GONE)).select("id", "event_type", "value", seq)

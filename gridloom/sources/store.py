@@ -2,16 +2,15 @@
 
 Layout below a root folder every executor can reach::
 
-    <schema>/_catalog/<n>.json                names the folder of catalog version n
+    <schema>/_catalog/<n>.json   names the folder of catalog version n
     <schema>/_catalog/<folder>/{tables,columns,tables_bak,columns_bak}
-    <schema>/<link>/_versions/<n>.json        manifest of table version n
-    <schema>/<link>/data/<folder>/bucket=<b>  rows whose id hashes to bucket b
-
-Nothing written is ever changed: a write goes to a new folder, and creating the next
-numbered file publishes it. A reader sees the version it opened to the end, and the
-second of two writers fails instead of losing the first one's work. A manifest names the
-folders of each bucket, so an append adds a folder and an update rewrites only the
-buckets it touches.
+    <schema>/<link>/             the rows of a table, see ``data``
+
+Nothing written is ever changed: a write goes to a new folder, and renaming the next
+numbered file into place publishes it. A reader sees the version it opened to the end, and the
+second of two writers fails instead of losing the first one's work. A change of catalog and
+structure together is published by the catalog: the table's new version names the catalog
+version it belongs to, and does not count without it.
 """
 
 from __future__ import annotations
@@ -19,225 +18,18 @@ from __future__ import annotations
 import datetime
 import json
 import uuid
-from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gridloom.functions.names import check_identifier
 from gridloom.operators import catalog as K
 from gridloom.operators import evolve as E
 from gridloom.operators import versions as V
-from gridloom.operators.changes import last_images, replay_images, stamp_insert
-from gridloom.operators.keys import assign_ids, max_id, with_positions
-
-ID = "id"
-
-
-class VersionConflict(RuntimeError):
-    """Somebody else published the version this writer was about to publish."""
-
-
-class Folder:
-    """Small files in a shared folder, through the file system Spark itself uses."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self._jvm = spark._jvm
-        self.path = path
-        self._fs = self._hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _hadoop(self, path: str):
-        return self._jvm.org.apache.hadoop.fs.Path(path)
-
-    def names(self, below: str) -> list[str]:
-        path = self._hadoop(f"{self.path}/{below}")
-        if not self._fs.exists(path):
-            return []
-        return [s.getPath().getName() for s in self._fs.listStatus(path)]
-
-    def read(self, name: str) -> str:
-        stream = self._fs.open(self._hadoop(f"{self.path}/{name}"))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def create(self, name: str, text: str) -> None:
-        """Write a file that must not exist yet."""
-        path = self._hadoop(f"{self.path}/{name}")
-        try:
-            stream = self._fs.create(path, False)
-        except Exception as error:
-            if self._fs.exists(path):
-                raise VersionConflict(name) from error
-            raise
-        try:
-            stream.write(bytearray(text, "utf-8"))
-        finally:
-            stream.close()
-
-    def latest(self, below: str) -> int:
-        """The highest ``<n>.json`` there is, 0 when there is none."""
-        numbers = [n[:-5] for n in self.names(below) if n.endswith(".json")]
-        return max((int(n) for n in numbers if n.isdigit()), default=0)
-
-
-@dataclass(frozen=True)
-class Manifest:
-    """One version of a table's data."""
-
-    version: int
-    schema: str
-    bucket_count: int
-    next_id: int = 1
-    buckets: dict[str, list[str]] = field(default_factory=dict)
-    streams: dict[str, dict] = field(default_factory=dict)
-
-    @property
-    def struct(self) -> T.StructType:
-        return T.StructType.fromJson(json.loads(self.schema))
-
-
-class TableData:
-    """The versions of one physical table."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str, link: str):
-        self.spark = spark
-        self.path = f"{root}/{schema}/{link}"
-        self._folder = Folder(spark, self.path)
-
-    def exists(self) -> bool:
-        return self._folder.latest("_versions") > 0
-
-    def manifest(self, version: int | None = None) -> Manifest:
-        version = version or self._folder.latest("_versions")
-        if not version:
-            raise ValueError(f"no such table: {self.path}")
-        return Manifest(**json.loads(self._folder.read(f"_versions/{version}.json")))
-
-    def _publish(self, manifest: Manifest) -> Manifest:
-        text = json.dumps(manifest.__dict__)
-        self._folder.create(f"_versions/{manifest.version}.json", text)
-        return manifest
-
-    def create(self, schema: T.StructType, bucket_count: int) -> Manifest:
-        """Publish an empty first version. Choose buckets of about a gigabyte."""
-        return self._publish(Manifest(1, schema.json(), bucket_count))
-
-    def _bucket(self, manifest: Manifest) -> Column:
-        return F.pmod(F.xxhash64(F.col(ID).cast("long")), F.lit(manifest.bucket_count))
-
-    def _paths(self, manifest: Manifest, only: list[str] | None = None) -> list[str]:
-        chosen = manifest.buckets if only is None else only
-        return [
-            f"{self.path}/data/{folder}/bucket={b}"
-            for b in chosen
-            for folder in manifest.buckets.get(b, [])
-        ]
-
-    def _load(self, manifest: Manifest, only: list[str] | None = None) -> DataFrame:
-        paths = self._paths(manifest, only)
-        if not paths:
-            return self.spark.createDataFrame([], manifest.struct)
-        return self.spark.read.schema(manifest.struct).parquet(*paths)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        return self._load(self.manifest(version))
-
-    def _write(self, df: DataFrame, manifest: Manifest) -> dict[str, list[str]]:
-        """Write rows to a new folder, grouped by bucket; return what was written."""
-        folder = uuid.uuid4().hex
-        bucketed = df.withColumn("bucket", self._bucket(manifest))
-        path = f"{self.path}/data/{folder}"
-        bucketed.repartition(F.col("bucket")).write.partitionBy("bucket").parquet(path)
-        names = self._folder.names(f"data/{folder}")
-        return {n.split("=")[1]: [folder] for n in names if n.startswith("bucket=")}
-
-    def replace(self, df: DataFrame) -> Manifest:
-        """Publish ``df`` as the whole table, its columns as the new structure."""
-        old = self.manifest()
-        new = replace(old, version=old.version + 1, schema=df.schema.json())
-        buckets = self._write(df, new)
-        written = replace(new, buckets=buckets)
-        last = max_id(self._load(written), ID) if buckets else 0
-        return self._publish(replace(written, next_id=max(old.next_id, last + 1)))
-
-    def insert(
-        self,
-        rows: DataFrame,
-        order: list[Column] | None,
-        user: str,
-        now: datetime.datetime,
-        stream: tuple[str, int] | None = None,
-    ) -> Manifest:
-        """Append rows under fresh ids; existing files are neither read nor rewritten.
-
-        Columns starting with an underscore serve the order only and are not stored.
-        ``stream`` is ``(name, batch)`` of a streaming source; a batch that is in already
-        is left out.
-        """
-        old = self.manifest()
-        if stream and _seen(old, stream):
-            return old
-        numbered = with_positions(rows.drop(ID), order, ID)
-        numbered = numbered.withColumn(ID, F.col(ID) + F.lit(old.next_id)).drop(
-            *[c for c in rows.columns if c.startswith("_")]
-        )
-        added = V.bulk_copy(stamp_insert(numbered, user, now), old.struct)
-        fresh = self._write(added, old)
-        count = self._load(replace(old, buckets=fresh)).count() if fresh else 0
-        buckets = {b: [*old.buckets.get(b, []), *fresh.get(b, [])] for b in {*old.buckets, *fresh}}
-        return self._publish(
-            replace(
-                old,
-                version=old.version + 1,
-                next_id=old.next_id + count,
-                buckets=buckets,
-                streams=_advance(old, stream, count),
-            )
-        )
-
-    def apply_images(
-        self, events: DataFrame, stream: tuple[str, int] | None = None
-    ) -> Manifest:
-        """Bring the table up to date with row events ``(seq, op, <columns>)``.
-
-        Events are reduced to the last one per id, and only buckets holding such an id
-        are rewritten. A streaming batch that is in already is left out.
-        """
-        old = self.manifest()
-        if stream and _seen(old, stream):
-            return old
-        last = last_images(events).persist()
-        try:
-            hit = last.select(self._bucket(old).alias("bucket")).distinct()
-            touched = [str(r.bucket) for r in hit.collect()]
-            rows = last.count()
-            stored = self._load(old, touched)
-            fresh = self._write(replay_images(stored, last), old) if touched else {}
-        finally:
-            last.unpersist()
-        buckets = {b: f for b, f in old.buckets.items() if b not in touched}
-        new = replace(old, buckets={**buckets, **fresh}, version=old.version + 1)
-        top = max_id(self._load(new, list(fresh)), ID) if fresh else 0
-        return self._publish(
-            replace(
-                new, next_id=max(old.next_id, top + 1), streams=_advance(old, stream, rows)
-            )
-        )
-
-
-def _seen(manifest: Manifest, stream: tuple[str, int]) -> bool:
-    name, batch = stream
-    return batch <= manifest.streams.get(name, {}).get("batch", -1)
-
-
-def _advance(manifest: Manifest, stream: tuple[str, int] | None, rows: int) -> dict[str, dict]:
-    if stream is None:
-        return manifest.streams
-    name, batch = stream
-    before = manifest.streams.get(name, {}).get("rows", 0)
-    return {**manifest.streams, name: {"batch": batch, "rows": before + rows}}
+from gridloom.operators.keys import assign_ids, max_id
+from gridloom.sources.data import Manifest, TableData, bits_for
+from gridloom.sources.files import Folder, VersionConflict
 
+__all__ = ["Manifest", "TableData", "TableStore", "VersionConflict"]
 
 _FRAMES = {
     "tables": K.TABLES_SCHEMA,
@@ -248,7 +40,11 @@ _FRAMES = {
 
 
 class TableStore:
-    """Tables by id and label in a fixed list of schemas."""
+    """Tables by id and label in a fixed list of schemas.
+
+    A table starts with ``bucket_count`` buckets, rounded up to a power of two, and has more when
+    they hold more than ``bucket_bytes`` each.
+    """
 
     def __init__(
         self,
@@ -256,11 +52,13 @@ class TableStore:
         root: str,
         schemas: tuple[str, ...] = ("public", "published"),
         bucket_count: int = 16,
+        bucket_bytes: int | None = None,
     ):
         self.spark = spark
         self.root = root
         self.schemas = [check_identifier(s) for s in schemas]
-        self.bucket_count = bucket_count
+        self.bits = max(bucket_count - 1, 0).bit_length()
+        self.bucket_bytes = bucket_bytes
         self._open: dict[str, tuple[int, DataFrame]] = {}
 
     # catalog
@@ -280,15 +78,18 @@ class TableStore:
         path = f"{folder.path}/_catalog/{name}"
         return {n: self.spark.read.schema(s).parquet(f"{path}/{n}") for n, s in _FRAMES.items()}
 
-    def _save(self, schema: str, frames: dict[str, DataFrame], version: int) -> None:
-        """Publish the catalog that follows ``version``."""
+    def _save(
+        self, schema: str, frames: dict[str, DataFrame], version: int, commits: tuple[str, ...] = ()
+    ) -> None:
+        """Publish the catalog that follows ``version``, and with it the table versions that
+        were written under the tokens ``commits``."""
         folder, name = self._folder(schema), uuid.uuid4().hex
         for frame, frame_schema in _FRAMES.items():
             rows = frames[frame].select(
                 *[F.col(f.name).cast(f.dataType).alias(f.name) for f in frame_schema.fields]
             )
             rows.write.parquet(f"{folder.path}/_catalog/{name}/{frame}")
-        text = json.dumps({"folder": name})
+        text = json.dumps({"folder": name, "commits": commits})
         folder.create(f"_catalog/{version + 1}.json", text)
 
     def _version(self, schema: str) -> int:
@@ -319,8 +120,20 @@ class TableStore:
         return row["schema_name"], row
 
     def data(self, table_id: int, schema: str = K.DEFAULT_SCHEMA) -> TableData:
-        link = self._entry(table_id, schema)["tbl_link"]
-        return TableData(self.spark, self.root, schema, link)
+        return self._data(schema, self._entry(table_id, schema)["tbl_link"])
+
+    def _data(self, schema: str, link: str) -> TableData:
+        return TableData(self.spark, self.root, schema, link, self.bucket_bytes)
+
+    def _restructure(
+        self, data: TableData, struct: T.StructType, schema: str, frames: dict[str, DataFrame], version: int
+    ) -> None:
+        """Publish a table's new structure and the catalog that follows ``version`` as one."""
+        token = uuid.uuid4().hex
+        written = data.restructure(struct, [version + 1, token])
+        if data.latest() != written.version:
+            raise VersionConflict(f"{data.path}: version {written.version}")
+        self._save(schema, frames, version, (token,))
 
     def scan(self, table_id: int, schema: str = K.DEFAULT_SCHEMA) -> DataFrame:
         return self.data(table_id, schema).read()
@@ -369,7 +182,7 @@ class TableStore:
         kind = E.check_deployment_type(deployment_type)
         version, frames = self._version(schema), self.catalog(schema)
         table_id, link = max_id(frames["tables"], "id") + 1, f"tbl_{uuid.uuid4().hex}"
-        TableData(self.spark, self.root, schema, link).create(E.BASE_SCHEMA, self.bucket_count)
+        self._data(schema, link).create(E.BASE_SCHEMA, self.bits)
         row = self._catalog_row(
             K.TABLES_SCHEMA,
             id=table_id,
@@ -398,13 +211,12 @@ class TableStore:
         version, frames = self._version(schema), self.catalog(schema)
         data, entry = self.data(table_id, schema), self._entry(table_id, schema)
         first = max_id(frames["columns"], "id") + 1
-        links, rows = {}, frames["columns"]
+        links, added = {}, []
         probe = self.spark.createDataFrame([], data.manifest().struct)
         for i, (label, type_text) in enumerate(columns.items()):
             links[label] = f"col_{uuid.uuid4().hex}"
             probe = E.add_column(probe, links[label], type_text)
-            row = self._catalog_row(
-                K.COLUMNS_SCHEMA,
+            values = dict(
                 id=first + i,
                 tbl_id=table_id,
                 tbl_link=entry["tbl_link"],
@@ -414,10 +226,9 @@ class TableStore:
                 add_ts=now,
                 add_usr=user,
             )
-            rows = rows.unionByName(row)
-        old = data.manifest()
-        data._publish(replace(old, version=old.version + 1, schema=probe.schema.json()))
-        self._save(schema, {**frames, "columns": rows}, version)
+            added.append(tuple(values.get(f.name) for f in K.COLUMNS_SCHEMA.fields))
+        rows = frames["columns"].unionByName(self.spark.createDataFrame(added, K.COLUMNS_SCHEMA))
+        self._restructure(data, probe.schema, schema, {**frames, "columns": rows}, version)
         return links
 
     def _column(self, table_id: int, column_id: int, schema: str):
@@ -434,17 +245,16 @@ class TableStore:
         """Take a column out of the structure and the catalog; its data is just not read."""
         version, frames = self._version(schema), self.catalog(schema)
         row, data = self._column(table_id, column_id, schema), self.data(table_id, schema)
-        old = data.manifest()
-        probe = E.drop_column(self.spark.createDataFrame([], old.struct), row["col_link"])
-        data._publish(replace(old, version=old.version + 1, schema=probe.schema.json()))
+        probe = self.spark.createDataFrame([], data.manifest().struct)
+        probe = E.drop_column(probe, row["col_link"])
         kept = frames["columns"].where(F.col("id") != column_id)
-        self._save(schema, {**frames, "columns": kept}, version)
+        self._restructure(data, probe.schema, schema, {**frames, "columns": kept}, version)
 
     def change_column_type(
         self, table_id: int, column_id: int, type_text: str, schema: str = K.DEFAULT_SCHEMA
     ) -> None:
         row, data = self._column(table_id, column_id, schema), self.data(table_id, schema)
-        data.replace(E.change_column_type(data.read(), row["col_link"], type_text))
+        data.replace(E.change_column_type(data.state(), row["col_link"], type_text))
 
     def rename_table(
         self,
@@ -491,23 +301,22 @@ class TableStore:
         """
         entry = self.catalog(source_schema)["tables"].where(F.col("id") == table_id).first()
         V.check_migration(target_schema, self.schemas, entry is not None)
-        source = TableData(self.spark, self.root, source_schema, entry["tbl_link"])
+        source = self._data(source_schema, entry["tbl_link"])
         version, frames = self._version(target_schema), self.catalog(target_schema)
         label = frames["tables"].where(F.col("tbl_label") == entry["tbl_label"])
         known = label.orderBy("id").first()
-        same = TableData(self.spark, self.root, target_schema, entry["tbl_link"])
-        current = (
-            TableData(self.spark, self.root, target_schema, known["tbl_link"]) if known else same
-        )
+        same = self._data(target_schema, entry["tbl_link"])
+        current = self._data(target_schema, known["tbl_link"]) if known else same
         if not current.exists():
             link, copy = entry["tbl_link"], same
-            rows = source.read()
+            rows, size = source.read(), source.size()
         else:
             link = f"tbl_{uuid.uuid4().hex}"
-            copy = TableData(self.spark, self.root, target_schema, link)
+            copy = self._data(target_schema, link)
             rows = V.migrate_shadow(source.read(), current.read(), merge_source)
-        copy.create(source.manifest().struct, self.bucket_count)
-        copy.replace(rows)
+            size = current.size() + (source.size() if merge_source else 0)
+        copy.create(source.manifest().struct, bits_for(size, self.bits, copy.bucket_bytes))
+        copy.replace(rows, size)
         if known:
             target_id = known["id"]
             frames = self._backed_up(frames, target_id, now)

@@ -181,18 +181,6 @@ def test_sync_stream(spark, store, people, tmp_path):
     assert shown(store.scan(table_id), links) == want
 
 
-def test_only_touched_buckets_are_rewritten(spark, store, people):
-    table_id, links = people
-    copy = store.data(table_id)
-    before = copy.manifest().buckets
-    schema = event_schema(copy.manifest().struct)
-    row = tuple({"seq": 1, "op": "delete", "id": 1}.get(f) for f in schema.names)
-    after = copy.apply_images(spark.createDataFrame([row], schema)).buckets
-    changed = {b for b in {*before, *after} if before.get(b) != after.get(b)}
-    assert len(changed) == 1
-    assert copy.read().count() == 4
-
-
 def test_payload_stream(spark, store, people, tmp_path):
     table_id, links = people
     data = store.data(table_id)
