@@ -236,19 +236,41 @@ def _planes(at: np.ndarray, columns: int, planes: int) -> Iterator[tuple[int, in
     alike stand together, which is what the compression of shuffled data needs.
     """
     size = np.diff(at)
-    block = np.repeat(np.arange(len(size)), size)
-    own = np.arange(at[-1]) - at[block] + at[block] * columns * planes
+    kind = np.int32 if at[-1] * columns * planes < 1 << 31 else np.int64
+    own = np.arange(at[-1], dtype=kind) + np.repeat((at[:-1] * (columns * planes - 1)).astype(kind), size)
+    step = np.repeat(size.astype(kind), size)
     for column in range(columns):
         for byte in range(planes):
-            yield column, byte, own + (column * planes + byte) * size[block]
+            yield column, byte, own
+            own += step
+
+
+def _steps(codes: np.ndarray, new: np.ndarray) -> None:
+    """Replace numbers, in place, by the step from the row above where all columns to the left agree."""
+    words = codes[:, :-2].copy()
+    for k in range(words.shape[1]):
+        codes[1:, k] -= np.where(new[1:], 0, words[:-1, k]).astype(np.uint32)
+        new = new.copy()
+        new[1:] |= words[1:, k] != words[:-1, k]
+
+
+def _sums(codes: np.ndarray, new: np.ndarray) -> None:
+    """The reverse of ``_steps``."""
+    for k in range(codes.shape[1] - 2):
+        total = np.cumsum(codes[:, k], dtype=np.int64)
+        opens = np.flatnonzero(new)
+        before = total[opens] - codes[opens, k]
+        codes[:, k] = total - np.repeat(before, np.diff(np.append(opens, len(codes))))
+        new = new.copy()
+        new[1:] |= codes[1:, k] != codes[:-1, k]
 
 
 def blocks(s: Slice, tables: np.ndarray, pairs: np.ndarray | None, parts: int) -> pa.RecordBatch:
     """The suffixes of a slice, a row for each part and language.
 
     A row holds its distinct words, and for every suffix, in order, the numbers of its
-    words (0 after its end; the first word's as the step from the suffix before), its count, and
-    how many words decided on the part, all as bytes laid out by ``_planes``.
+    words (0 after its end; as steps from the suffix before, see ``_steps``), its count, and how
+    many words decided on the part, all as bytes laid out by ``_planes``.
     """
     hashes = token_hashes(s.langs, s.words)
     rows, count = distinct(suffixes(s, hashes, tables[0], pairs), len(s.words))
@@ -270,8 +292,7 @@ def blocks(s: Slice, tables: np.ndarray, pairs: np.ndarray | None, parts: int) -
     codes[:, :-2][there] = number - first[np.broadcast_to(block[:, None], rows.shape)[there]] + 1
     codes[:, -2], codes[:, -1] = count, words
     planes = max(1, (int(codes.max()).bit_length() + 7) // 8) if len(codes) else 1
-    step = np.diff(codes[:, 0], prepend=np.uint32(0))
-    codes[:, 0] = np.where(new, codes[:, 0], step)
+    _steps(codes, new)
     data = np.empty(len(codes) * codes.shape[1] * planes, np.uint8)
     for column, byte, to in _planes(at, codes.shape[1], planes):
         data[to] = codes[:, column] >> (8 * byte)
@@ -300,12 +321,11 @@ def read_blocks(rows: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray]:
         found = np.zeros((at[-1], columns), np.uint32)
         for column, byte, place in _planes(at, columns, planes):
             found[:, column] |= data[place].astype(np.uint32) << np.uint32(8 * byte)
-        total = np.cumsum(found[:, 0], dtype=np.int64)
-        size = np.diff(at)
-        before = np.append(0, total)[at[:-1]]
-        found[:, 0] = total - np.repeat(before, size)
+        new = np.zeros(len(found), bool)
+        new[at[:-1]] = True
+        _sums(found, new)
         numbers.append(found)
-        of.append(np.repeat(mine, size))
+        of.append(np.repeat(mine.astype(np.int32), np.diff(at)))
     return np.concatenate(numbers), np.concatenate(of)
 
 
@@ -375,7 +395,7 @@ def sort_part(part: pa.Table, width: int, least: int) -> pa.Table:
     for k in range(width):
         there = codes[:, k] > 0
         keys[k + 1] = np.where(there, numbers[np.where(there, first[block] + codes[:, k] - 1, 0)], -1)
-    weights, whole = codes[:, -2].astype(np.int64), codes[:, -1].astype(np.int8)
+    weights, whole = codes[:, -2].copy(), codes[:, -1].astype(np.int8)
     del codes, block, numbers
     out = []
     for depth, pointers, count in equal_partitions(keys, weights, whole, least):
