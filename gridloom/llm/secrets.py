@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm.forest import Forest
+from gridloom.llm.memory import release
 from gridloom.llm.text import Words, buffers, letter_words, slices, split_words, words
 
 LEAST = 8
@@ -64,6 +65,7 @@ _HARMLESS = re.compile(
     r"[^@\s]+@[^@\s]+|(?:https?|ftp)://\S+|\(?\+?[\d().\-/ ]+\)?[.,;:]?|(?:\d{1,3}\.){3}\d{1,3}[.,;:]?|"
     r"v?\d+(?:\.\d+)+[.,;:]?|\d{4}-\d\d-\d\d\S*|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}[.,;:]?"
 )
+_LETTERS = re.compile(r"[A-Za-z_\-]+")
 FEATURES = (
     "length digits upper lower symbols changes entropy transitions dictionary longest_letters hexadecimal "
     "path address assigned quoted key_before key_inside repeats"
@@ -104,6 +106,7 @@ def usage(documents: DataFrame) -> Usage:
                 total[_WORD_BUCKETS:] += np.bincount(pairs, minlength=1600)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "count"])
+        release()
 
     rows = documents.select("text").mapInArrow(count, "at long, count long")
     rows = rows.groupBy("at").agg(F.sum("count").alias("count")).toPandas()  # at most 67,136 rows
@@ -194,13 +197,15 @@ def spans(word: str, begins: bool = False) -> list[tuple[int, int, bool]]:
             b -= 1
         if a < b and not word.startswith("//", a):
             out.append((a, b, True))
-    taken = list(out)
-    for m in _CORE.finditer(word):
+    taken, runs = list(out), list(_CORE.finditer(word))
+    for m in runs:
         while taken and taken[0][1] <= m.start():
             taken.pop(0)
-        if not taken or m.end() <= taken[0][0]:
+        # Letters before a sign and a value are the value's name.
+        name = _LETTERS.fullmatch(m[0]) and _NAME.match(word, m.end())
+        if not name and (not taken or m.end() <= taken[0][0]):
             out.append((*m.span(), False))
-    if not out and word.isascii():
+    if not out and not runs and word.isascii():
         out.append((0, len(word), False))
     return sorted(out)
 
@@ -279,8 +284,6 @@ def weak_labels(word: str, span: tuple[int, int], named: bool, features: list[fl
     if named and text.isascii() and text.isalpha():
         # A word of the corpus after a name is prose; another one is a password.
         return 0 if value["dictionary"] == 1 else 1 if len(text) >= LEAST else None
-    if not named and re.fullmatch(r"[A-Za-z_\-]+", text) and _NAME.match(word, span[1]):
-        return 0
     if not named and sign not in ("=", ":") and _HARMLESS.fullmatch(word):
         return 0
     return None
@@ -305,6 +308,7 @@ def labelled_findings(documents: DataFrame, usual: Usage) -> DataFrame:
                     ],
                     names=["features", "label", "word"],
                 )
+        release()
 
     return documents.select("text").mapInArrow(label, "features array<double>, label int, word string")
 
@@ -345,6 +349,7 @@ def find_secrets(documents: DataFrame, usual: Usage, forest: Forest, threshold:
                     + [pa.array(c, t) for c, t in zip(columns, types)],
                     names=["doc_id", "start", "end", "length", "score", "sha256"],
                 )
+        release()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     found = documents.select("doc_id", "text").mapInArrow(
@@ -386,6 +391,7 @@ def redact(
                 if hits:
                     piece = _replaced(piece, hits, at, mark.encode())
                 yield piece
+        release()
 
     out = documents.mapInArrow(clean, documents.schema)
     if "n_chars" in names:

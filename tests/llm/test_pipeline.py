@@ -87,7 +87,7 @@ SMALL = [n for n in queries.QUERIES if n in queries.SQL]
 @pytest.mark.parametrize("name", SMALL)
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for table in ("pages", "embeddings"):
+    for table in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     df = queries.QUERIES[name](spark, SF_DIR)
     columns = sorted(df.columns)
@@ -115,4 +115,4 @@ def test_contracts(spark, folder):
 
 def test_registered():
     names = [n for n in driver.queries() if n.startswith("op")]
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11)) and "pipeline" in driver.queries()
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14)) and "pipeline" in driver.queries()
