@@ -89,6 +89,32 @@ def type_name(data_type: T.DataType) -> str:
     return data_type.simpleString().upper()
 
 
+# Metadata of a text column: the most characters it takes.
+MAX_LENGTH = "max_length"
+
+
+def type_metadata(type_text: str) -> dict[str, int]:
+    """What a column of this type has to remember beside its Spark type."""
+    length = parse_type(type_text).max_length
+    return {} if length is None else {MAX_LENGTH: length}
+
+
+def field_of(name: str, type_text: str) -> T.StructField:
+    """A table's column of the named type, its length kept as metadata."""
+    return T.StructField(name, parse_type(type_text).spark, True, type_metadata(type_text))
+
+
+def field_type_name(field: T.StructField) -> str:
+    """The name a table's column reads back as, its length included."""
+    length = (field.metadata or {}).get(MAX_LENGTH)
+    return type_name(field.dataType) if length is None else f"VARCHAR({length})"
+
+
+def max_lengths(struct: T.StructType) -> dict[str, int]:
+    """The columns that hold texts of limited length."""
+    return {f.name: f.metadata[MAX_LENGTH] for f in struct.fields if MAX_LENGTH in (f.metadata or {})}
+
+
 def type_of(data_type: T.DataType) -> ColumnType:
     """The column type that parses text into ``data_type``."""
     if isinstance(data_type, T.DecimalType):

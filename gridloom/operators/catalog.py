@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gridloom.functions.types import type_name
+from gridloom.functions.types import field_type_name
 from gridloom.operators.skew import join_unique
 
 _AUDIT = [
@@ -92,7 +92,7 @@ def tables_with_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
 
 def physical_types(df: DataFrame) -> DataFrame:
     """``(col_link, type)`` of a physical table, read from its schema."""
-    rows = [(f.name, type_name(f.dataType)) for f in df.schema.fields]
+    rows = [(f.name, field_type_name(f)) for f in df.schema.fields]
     return df.sparkSession.createDataFrame(rows, "col_link string, type string")
 
 

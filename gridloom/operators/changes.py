@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gridloom.functions.cells import parse_value, strip, timestamp_literal
 from gridloom.functions.names import AUDIT_COLUMNS, ID_COLUMN, type_by_name
-from gridloom.functions.types import parse_type, type_of
+from gridloom.functions.types import max_lengths, parse_type, type_of
 from gridloom.operators.keys import assign_ids
 from gridloom.operators.paging import PAGE_SIZE, SortModel, page, total_order
 from gridloom.operators.query import filter_model
@@ -347,17 +347,21 @@ def _typed_cells(net: DataFrame, base: DataFrame, id_col: str) -> DataFrame:
 
     Columns of one type are checked together, so wide tables do not make wide plans.
     """
-    editable: dict[str, list[str]] = {}
+    editable: dict[tuple, list[str]] = {}
+    lengths = max_lengths(base.schema)
     for field in base.schema.fields:
         if field.name != id_col and field.name not in AUDIT_COLUMNS:
-            editable.setdefault(field.dataType.json(), []).append(field.name)
+            kind = (field.dataType.json(), lengths.get(field.name))
+            editable.setdefault(kind, []).append(field.name)
     raw, name = F.col("new_value"), F.col("field")
     known = [c for names in editable.values() for c in names]
     reason = F.when(name.isNotNull() & ~name.isin(*known), F.lit("unknown column"))
     value = F.when(F.lit(False), raw)
-    for names in editable.values():
+    for (_, length), names in editable.items():
         data_type, mine = base.schema[names[0]].dataType, name.isin(*names)
         if isinstance(data_type, T.StringType):
+            if length is not None:
+                reason = reason.when(mine & (F.length(raw) > length), F.lit("too long"))
             continue
         parsed = parse_value(strip(raw), type_of(data_type))
         value = value.when(mine, parsed.cast("string"))
@@ -395,7 +399,8 @@ def net_rows(net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN) -> DataFr
 
 
 def invalid_changes(net: DataFrame, base: DataFrame, id_col: str = ID_COLUMN) -> DataFrame:
-    """Net cells the table refuses: unknown or system columns and values that do not parse."""
+    """Net cells the table refuses: unknown or system columns, values that do not parse, and
+    texts longer than the column's metadata says it takes."""
     cells = _typed_cells(net.where(F.col("op") != "delete"), base, id_col)
     refused = cells.where(F.col("_reason").isNotNull())
     return refused.drop("_value").withColumnRenamed("_reason", "reason")

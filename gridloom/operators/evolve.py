@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from gridloom.functions.cells import parse_value, strip, timestamp_literal
 from gridloom.functions.names import LABEL, check_identifier
-from gridloom.functions.types import ColumnType, parse_type, type_name
+from gridloom.functions.types import ColumnType, field_of, field_type_name, parse_type, type_metadata
 
 BASE_SCHEMA = T.StructType(
     [
@@ -53,7 +53,8 @@ def add_column(df: DataFrame, name: str, type_text: str) -> DataFrame:
     check_identifier(name)
     if name.lower() in [c.lower() for c in df.columns]:
         raise ValueError(f"the table has a column {name} already")
-    return df.withColumn(name, F.lit(None).cast(parse_type(type_text).spark))
+    added = df.withColumn(name, F.lit(None).cast(parse_type(type_text).spark))
+    return added.withMetadata(name, type_metadata(type_text))
 
 
 def drop_column(df: DataFrame, name: str) -> DataFrame:
@@ -98,7 +99,8 @@ def conversion_failures(df: DataFrame, name: str, type_text: str, keep: list[str
 def converted_column(df: DataFrame, name: str, type_text: str) -> DataFrame:
     """``df`` with one column in the new type, NULL where a value does not convert."""
     target = parse_type(type_text)
-    return df.withColumn(name, _converted(F.col(name), df.schema[name].dataType, target))
+    converted = df.withColumn(name, _converted(F.col(name), df.schema[name].dataType, target))
+    return converted.withMetadata(name, type_metadata(type_text))
 
 
 def change_column_type(df: DataFrame, name: str, type_text: str) -> DataFrame:
@@ -114,7 +116,7 @@ def table_structure(df: DataFrame, defaults: dict[str, str] | None = None) -> Da
     """One row ``(ordinal, column, type, default)`` per column, in table order."""
     defaults = defaults or {}
     rows = [
-        (i, f.name, type_name(f.dataType), defaults.get(f.name))
+        (i, f.name, field_type_name(f), defaults.get(f.name))
         for i, f in enumerate(df.schema.fields, start=1)
     ]
     schema = "ordinal int, column string, type string, default string"
@@ -128,10 +130,7 @@ def clone_structure(df: DataFrame) -> DataFrame:
 
 def empty_table(spark: SparkSession, columns: dict[str, str] | None = None) -> DataFrame:
     """A new table: id, audit columns, then the given columns."""
-    extra = [
-        T.StructField(check_identifier(c), parse_type(t).spark)
-        for c, t in (columns or {}).items()
-    ]
+    extra = [field_of(check_identifier(c), t) for c, t in (columns or {}).items()]
     return spark.createDataFrame([], T.StructType([*BASE_SCHEMA.fields, *extra]))
 
 

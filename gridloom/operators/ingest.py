@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from gridloom.functions.cells import (
+    TYPE_ORDER,
     normalize_cell,
     parse_cell,
     parse_value,
     reject_reason,
-    type_predicates,
+    type_bits,
 )
 from gridloom.functions.types import parse_type
 
 # Fixed value: refused rows a load may skip before it fails.
 SKIP_LIMIT = 100
 
+# Tables of more columns than this have their types inferred over cells as rows.
+INFER_WIDE = 40
+
 Types = dict[str, str]
 
 
@@ -54,12 +58,53 @@ def infer_types(
     """One row ``(position, column, type, value_count)`` per text column, from all rows in
     one pass; ``value_count`` is the number of non-empty cells.
 
-    Cells become rows first, so the plan stays small for tables with very many columns; each
-    task sums its cells up before the shuffle. A type holds when every non-empty cell reads
-    as it. ``conservative`` gives
+    Each column has one verdict, the bits of the types its cells share and their count, which
+    tasks sum up before anything is shuffled; up to INFER_WIDE columns are aggregated side by
+    side, row by row. In wider tables cells become rows first, so the plan stays small. A type
+    holds when every non-empty cell reads as it. ``conservative`` gives
     TEXT to every column, so that no later row can break it; False gives the narrowest type.
     """
     columns = columns or df.columns
+    if len(columns) <= INFER_WIDE:
+        summary = _verdicts(df, columns, conservative)
+    else:
+        summary = _exploded_verdicts(df, columns, conservative)
+    verdict = F.when(F.col("value_count") == 0, "TEXT")
+    for k, name in enumerate([] if conservative else TYPE_ORDER):
+        verdict = verdict.when(F.col("bits").bitwiseAND(1 << k) != 0, name)
+    names = F.array(*[F.lit(c) for c in columns])
+    return summary.select(
+        "position",
+        F.get(names, F.col("position")).alias("column"),
+        verdict.otherwise("TEXT").alias("type"),
+        "value_count",
+    )
+
+
+def _verdicts(df: DataFrame, columns: list[str], conservative: bool) -> DataFrame:
+    """``position, bits, value_count`` of each column, from one row of aggregates."""
+    clean = df.select(*[normalize_cell(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    if not conservative:
+        read = [type_bits(F.col(f"c{i}")).alias(f"b{i}") for i in range(len(columns))]
+        clean = clean.select("*", *read)
+    sums = []
+    for i in range(len(columns)):
+        sums.append(F.count(f"c{i}").alias(f"n{i}"))
+        if not conservative:
+            sums.append(F.bit_and(F.when(F.col(f"c{i}").isNotNull(), F.col(f"b{i}"))).alias(f"s{i}"))
+    rows = [
+        F.struct(
+            F.lit(i).alias("position"),
+            (F.lit(0) if conservative else F.col(f"s{i}")).alias("bits"),
+            F.col(f"n{i}").alias("value_count"),
+        )
+        for i in range(len(columns))
+    ]
+    return clean.agg(*sums).select(F.inline(F.array(*rows)))
+
+
+def _exploded_verdicts(df: DataFrame, columns: list[str], conservative: bool) -> DataFrame:
+    """The same over cells as rows, for plans of many columns."""
     cells = df.select(F.posexplode(F.array(*[F.col(c) for c in columns])).alias("position", "raw"))
     # An entry without a value per column keeps columns of an empty table in the result.
     every = df.sparkSession.createDataFrame(
@@ -67,25 +112,11 @@ def infer_types(
     )
     text = F.col("text")
     clean = cells.unionByName(every).select("position", normalize_cell(F.col("raw")).alias("text"))
-    # Types a cell reads as, one bit each; the bits all cells of a column share are its own.
-    predicates = [] if conservative else type_predicates(text)
-    bits = F.lit(0)
-    for k, (_, fits) in enumerate(predicates):
-        bits = bits.bitwiseOR(F.when(fits, 1 << k).otherwise(0))
-    summary = clean.groupBy("position").agg(
+    bits = F.lit(0) if conservative else type_bits(text)
+    return clean.groupBy("position").agg(
         F.bit_and(F.when(text.isNotNull(), bits)).alias("bits"),
         F.count(text).alias("value_count"),
     )
-    verdict = F.when(F.col("value_count") == 0, "TEXT")
-    for k, (type_name, _) in enumerate(predicates):
-        verdict = verdict.when(F.col("bits").bitwiseAND(1 << k) != 0, type_name)
-    names = F.array(*[F.lit(c) for c in columns])
-    return summary.select(
-        "position",
-        F.get(names, F.col("position")).alias("column"),
-        verdict.otherwise("TEXT").alias("type"),
-        "value_count",
-    )
 
 
 def apply_type_overrides(inferred: list[str], overrides: list[str | None] | None) -> list[str]:
@@ -156,6 +187,13 @@ def reject_rows(judged: DataFrame, types: Types, source: Column | None = None) -
     )
 
 
+def refused_cell(types: Types, source: Column) -> Column:
+    """The row of ``reject_rows`` for a judged row, as a struct."""
+    cell = F.col("_reject")
+    parts = [cell[n].alias(n) for n in ("column", "raw_value", "target_type", "reason")]
+    return F.struct(source.alias("source"), F.to_csv(F.struct(*types)).alias("raw"), *parts)
+
+
 def split_rejects(df: DataFrame, types: Types) -> tuple[DataFrame, DataFrame]:
     """(typed rows the table takes, rejects) of raw text rows; both are lazy."""
     judged = judge_rows(df, types)
@@ -204,6 +242,32 @@ def failure_lines(judged: DataFrame, limit: int = 20) -> list[str]:
     return [r.line for r in lines.limit(limit).collect()]
 
 
+def load_counts(outcomes: DataFrame) -> dict[str, int]:
+    """The counts of a load from rows marked good, refused or empty in ``outcome``."""
+    counts = [F.count_if(F.col("outcome") == o) for o in ("good", "refused", "empty")]
+    good, refused, empty = outcomes.agg(*counts).first()
+    return {
+        "read_count": good + refused,
+        "write_count": good,
+        "skip_count": refused,
+        "empty_count": empty,
+    }
+
+
+def report_of(counts: dict, rejects: DataFrame, limit: int, folder: str, shown: int = 20) -> dict:
+    """The report of a load whose rejects are stored; more than ``limit`` of them raise."""
+    report: dict = {**counts, "rejects": folder if counts["skip_count"] else None, "failures": []}
+    if counts["skip_count"]:
+        line = F.concat_ws(": ", "column", "reason", "raw_value")
+        report["failures"] = [r[0] for r in rejects.select(line).limit(shown).collect()]
+    if (more := counts["skip_count"] - len(report["failures"])) > 0:
+        report["failures"].append(f"{more} more in {folder}")
+    report["status"] = "FAILED" if counts["skip_count"] > limit else "COMPLETED"
+    if report["status"] == "FAILED":
+        raise ValueError(f"more than {limit} rows were refused: {report}")
+    return report
+
+
 def append_load(
     df: DataFrame, types: Types, path: str, rejects_path: str, limit: int = SKIP_LIMIT
 ) -> dict:
@@ -232,10 +296,14 @@ def append_load(
 
 
 def payload_to_columns(df: DataFrame, payload: str, columns: Types, keep: list[str]) -> DataFrame:
-    """Turn a string map per row into typed columns; missing keys give NULL."""
-    return df.select(
-        *keep, *[parse_cell(F.col(payload)[c], t).alias(c) for c, t in columns.items()]
-    )
+    """Turn a string map per row into typed columns; missing keys, and values the column does
+    not take, give NULL."""
+    cells = []
+    for name, type_text in columns.items():
+        cell, length = parse_cell(F.col(payload)[name], type_text), parse_type(type_text).max_length
+        fits = cell if length is None else F.when(F.length(cell) <= length, cell)
+        cells.append(fits.alias(name))
+    return df.select(*keep, *cells)
 
 
 def payload_unknown_keys(

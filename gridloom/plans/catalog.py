@@ -210,21 +210,20 @@ def _(spark, sf):
     return V.backup_rows(_tables(spark, sf), F.col("add_usr") == "MACHINERY", NOW)
 
 
-# Finished orders are the target's columns, pending ones the source's; the catalog ids
-# of a table differ between the two schemas.
+# Orders are the columns of both schemas, under other labels; the catalog ids of a table
+# differ between the two, and customers of two segments are the tables copied.
 @plan(
     "sync_columns",
     """WITH ids AS (SELECT c_custkey AS source_id, c_custkey + 5 AS target_id FROM customer
                     WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
        kept AS (SELECT o_orderkey AS id, o_custkey AS tbl_id, 'old' AS tbl_link,
                        o_orderpriority AS col_label
-                FROM orders WHERE o_orderstatus = 'F'
-                  AND o_custkey NOT IN (SELECT target_id FROM ids))
+                FROM orders WHERE o_custkey NOT IN (SELECT target_id FROM ids))
        SELECT * FROM kept
        UNION ALL
        SELECT (SELECT max(id) FROM kept) + row_number() OVER (ORDER BY target_id, o_orderkey),
               target_id, 'link_' || target_id, o_orderpriority || o_orderkey
-       FROM orders JOIN ids ON o_custkey = source_id WHERE o_orderstatus = 'P'""",
+       FROM orders JOIN ids ON o_custkey = source_id""",
 )
 def _(spark, sf):
     orders = table(spark, sf, "orders")
@@ -237,13 +236,13 @@ def _(spark, sf):
         target_id.alias("target_id"),
         F.concat(F.lit("link_"), target_id.cast("string")).alias("new_link"),
     )
-    target = orders.where(F.col("o_orderstatus") == "F").select(
+    target = orders.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("tbl_id"),
         F.lit("old").alias("tbl_link"),
         F.col("o_orderpriority").alias("col_label"),
     )
-    source = orders.where(F.col("o_orderstatus") == "P").select(
+    source = orders.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("tbl_id"),
         F.lit("old").alias("tbl_link"),
@@ -265,11 +264,11 @@ _BACKUPS_SQL = """
            7 AS version_no, o_orderpriority AS add_usr, o_orderstatus AS upd_usr,
            o_orderdate AS upd_ts,
            o_orderdate + to_microseconds(o_orderkey) AS backup_ts
-    FROM orders WHERE o_orderstatus = 'F'"""
+    FROM orders"""
 
 
 def _backups(spark, sf):
-    orders = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
+    orders = table(spark, sf, "orders")
     tick = F.expr("make_dt_interval(0, 0, 0, CAST(o_orderkey AS DECIMAL(18,6)) / 1000000)")
     key = F.col("o_orderkey").cast("string")
     return orders.select(
@@ -370,8 +369,7 @@ def _source_and_target(spark, sf):
     supplier = table(spark, sf, "supplier")
     target = supplier.withColumnRenamed("s_suppkey", "id")
     source = (
-        lineitem.where(F.col("l_returnflag") == "R")
-        .groupBy(F.col("l_partkey").alias("id"))
+        lineitem.groupBy(F.col("l_partkey").alias("id"))
         .agg(
             F.min("l_returnflag").alias("s_name"),
             F.min("l_linenumber").cast("bigint").alias("s_nationkey"),
@@ -397,7 +395,7 @@ def _(spark, sf):
            SELECT l_partkey AS id, min(l_returnflag) AS s_name,
                   CAST(min(l_linenumber) AS BIGINT) AS s_nationkey,
                   max(l_extendedprice) AS s_acctbal, count(*) AS returned
-           FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey)
+           FROM lineitem GROUP BY l_partkey)
        SELECT * FROM source
        UNION ALL
        SELECT s_suppkey, s_name, s_nationkey, s_acctbal, NULL FROM supplier

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from gridloom.functions.names import normalize_headers
+from gridloom.functions.types import field_of
 from gridloom.operators import changes as C
 from gridloom.operators import ingest as I
+from gridloom.operators.lengths import length_rejects
 from gridloom.operators.paging import page
 from gridloom.operators.query import filter_model
 from gridloom.plans.registry import plan, table
@@ -235,27 +237,42 @@ def _(spark, sf):
     " UNION ALL ".join(
         f"""SELECT {i} AS position, '{c}' AS "column",
             'TEXT' AS "type", count({c}) AS value_count FROM customer"""
-        for i, c in enumerate(["c_custkey", "c_name", "c_acctbal"])
+        for i, c in enumerate(["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
     ),
 )
 def _(spark, sf):
-    customer = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return I.infer_types(_as_text(customer))
+    return I.infer_types(_as_text(table(spark, sf, "customer")))
 
 
 @plan(
     "type_overrides",
     """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_totalprice,
-              CAST(o_orderdate AS DATE) AS o_orderdate FROM orders""",
+              CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders""",
 )
 def _(spark, sf):
-    orders = table(spark, sf, "orders").drop("o_orderpriority")
+    orders = table(spark, sf, "orders")
     text = _as_text(orders.withColumn("o_orderdate", F.to_date("o_orderdate")))
     inferred = ["TEXT"] * len(text.columns)
     types = I.apply_type_overrides(inferred, ["BIGINT", " ", None, " double", "DATE"])
     return I.parse_typed(text, dict(zip(text.columns, types)))
 
 
+_LIMITED = {"text": "VARCHAR(1500)", "lang": "VARCHAR(2)", "source": "VARCHAR(5)"}
+
+
+@plan(
+    "varchar_rejects",
+    " UNION ALL ".join(
+        f"""SELECT doc_id, '{c}' AS "column", {c} AS raw_value, '{t}' AS target_type,
+            'too long' AS reason FROM documents WHERE length({c}) > {t[8:-1]}"""
+        for c, t in _LIMITED.items()
+    ),
+)
+def _(spark, sf):
+    """Texts longer than the columns of the table they are meant for take."""
+    struct = T.StructType([field_of(c, t) for c, t in _LIMITED.items()])
+    return length_rejects(table(spark, sf, "documents"), struct, ["doc_id"])
+
 
 
 @plan(

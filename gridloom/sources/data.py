@@ -28,6 +28,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from gridloom.functions.names import AUDIT_COLUMNS
+from gridloom.functions.types import field_type_name
 from gridloom.operators import versions as V
 from gridloom.operators.changes import (
     GONE,
@@ -37,7 +39,16 @@ from gridloom.operators.changes import (
     merge_images,
     stamp_insert,
 )
-from gridloom.operators.keys import max_id, with_positions
+from gridloom.operators.ingest import (
+    SKIP_LIMIT,
+    Types,
+    judge_rows,
+    load_counts,
+    refused_cell,
+    report_of,
+)
+from gridloom.operators.keys import PLACED, max_id, numbered_rows, placed_columns, with_positions
+from gridloom.operators.lengths import checked, described, fitting_rows, inherited, length_rejects
 from gridloom.operators.skew import BROADCAST_BYTES, data_bytes
 from gridloom.sources.files import Folder
 
@@ -216,6 +227,7 @@ class TableData:
         base = self._files(manifest, manifest.buckets, changed)
         images = self._files(manifest, manifest.deltas, changed)
         merged = merge_images(base, images, ID, manifest.size(manifest.deltas) <= BROADCAST_BYTES // 4)
+        merged = described(merged, manifest.struct)
         rest = (set(manifest.buckets) if only is None else only) - changed
         return self._files(manifest, manifest.buckets, rest).unionByName(merged) if rest else merged
 
@@ -226,6 +238,12 @@ class TableData:
     def read(self, version: int | None = None) -> DataFrame:
         return self._load(self.manifest(version))
 
+    def types(self) -> Types:
+        """The type names of the columns users fill, lengths included."""
+        system = {ID, *AUDIT_COLUMNS}
+        fields = self.manifest().struct.fields
+        return {f.name: field_type_name(f) for f in fields if f.name not in system}
+
     def state(self) -> DataFrame:
         """The rows with their state, for ``replace``."""
         return self._state(self.manifest())
@@ -256,16 +274,19 @@ class TableData:
         buckets = {n.split("=")[1]: [folder] for n in names if n.startswith("bucket=")}
         return buckets, {folder: [bits, self._folder.size(f"data/{folder}")]} if buckets else {}
 
-    def replace(self, df: DataFrame, size: int | None = None) -> Manifest:
+    def replace(
+        self, df: DataFrame, size: int | None = None, struct: T.StructType | None = None
+    ) -> Manifest:
         """Publish ``df`` as the whole table, its columns as the new structure.
 
         The buckets are made for ``size`` bytes, measured when not given. Rows may come with
-        their state (``state``); without it every event counts as newer.
+        their state (``state``); without it every event counts as newer. Text columns keep the
+        lengths they had, unless ``struct`` gives the structure; a text that is too long fails.
         """
         old = self.manifest()
         bits = bits_for(data_bytes(df) if size is None else size, old.bits, self.bucket_bytes)
-        struct = df.drop(*HIDDEN).schema
-        buckets, folders = self._write(df, bits)
+        struct = inherited(df.drop(*HIDDEN).schema, old.struct) if struct is None else struct
+        buckets, folders = self._write(checked(df, struct), bits)
         written = replace(
             old, schema=struct.json(), bits=bits, buckets=buckets, deltas={}, folders=folders
         )
@@ -286,34 +307,97 @@ class TableData:
         user: str,
         now: datetime.datetime,
         stream: tuple[str, int] | None = None,
+        rejects: str | None = None,
     ) -> Manifest:
         """Append rows under fresh ids; existing files are neither read nor rewritten.
 
         Columns starting with an underscore serve the order only and are not stored.
         ``stream`` is ``(name, batch)`` of a streaming source; a batch that is in already
-        is left out.
+        is left out. A text longer than its column takes fails the insert, or, with a new folder
+        ``rejects``, is written there with its row, as JSON, and the other rows are inserted.
         """
         old = self.manifest()
         if stream and _seen(old, stream):
             return old
-        numbered = with_positions(rows.drop(ID), order, ID)
+        rows = rows.drop(ID)
+        if rejects is not None:
+            whole = rows.withColumn("raw", F.to_json(F.struct(*rows.columns)))
+            length_rejects(whole, old.struct, ["raw"]).write.parquet(rejects)
+            rows = fitting_rows(rows, old.struct)
+        return self._append(old, with_positions(rows, order, ID), user, now, stream)
+
+    def _append(
+        self,
+        old: Manifest,
+        numbered: DataFrame,
+        user: str,
+        now: datetime.datetime,
+        stream: tuple[str, int] | None = None,
+    ) -> Manifest:
+        """Publish rows numbered from 0 on as new rows of ``old``."""
         numbered = numbered.withColumn(ID, F.col(ID) + F.lit(old.next_id)).drop(
-            *[c for c in rows.columns if c.startswith("_")]
+            *[c for c in numbered.columns if c.startswith("_")]
         )
         added = V.bulk_copy(stamp_insert(numbered, user, now), old.struct)
-        fresh, folders = self._write(added, old.bits)
+        fresh, folders = self._write(checked(added, old.struct), old.bits)
         written = replace(old, folders={**old.folders, **folders})
-        count = self._files(written, fresh, None).count() if fresh else 0
+        count, last = 0, 0
+        if fresh:
+            count, last = self._files(written, fresh, None).agg(F.count(F.lit(1)), F.max(ID)).first()
         return self._publish(
             self._next(
                 old,
-                next_id=old.next_id + count,
+                next_id=max(old.next_id, last + 1),
                 buckets=_with(old.buckets, fresh),
                 folders=written.folders,
                 streams=_advance(old, stream, count),
             )
         )
 
+    def load(
+        self,
+        rows: DataFrame,
+        user: str,
+        now: datetime.datetime,
+        limit: int = SKIP_LIMIT,
+        types: Types | None = None,
+    ) -> dict:
+        """Parse rows of text, insert those the table takes and keep the others as rejects.
+
+        Returns the report: status, read_count, write_count, skip_count, empty_count, failures
+        (the first few as text), rejects (their folder, None without any). ``types`` are those
+        of the table unless given; columns of the table that ``rows`` lacks become NULL, and a
+        column ``_file`` names the source of a reject. New rows get ids and audit columns.
+
+        The input is read and parsed once: good and refused rows are written side by side,
+        by outcome, into a folder of the table, and the new version is made from the good
+        ones. With more than ``limit`` refused rows nothing is published; the rejects stay.
+        """
+        old = self.manifest()
+        types = self.types() if types is None else types
+        here = {c: t for c, t in types.items() if c in rows.columns}
+        staged = f"{self.path}/loads/{uuid.uuid4().hex}"
+        source = F.col("_file") if "_file" in rows.columns else F.lit(None).cast("string")
+        judged = judge_rows(rows.select(*here, source.alias("_source")), here)
+        outcome = F.when(F.col("_reject").isNotNull(), "refused").when(F.col("_empty"), "empty")
+        refused = refused_cell(here, F.col("_source"))
+        judged.select(
+            F.when(F.col("_reject").isNull(), F.col("_typed")).alias("_typed"),
+            F.when(F.col("_reject").isNotNull(), refused).alias("_refused"),
+            *placed_columns(),
+            outcome.otherwise("good").alias("outcome"),
+        ).write.partitionBy("outcome").parquet(staged)
+        typed = judged.select("_typed", refused.alias("_refused")).schema
+        schema = T.StructType([*typed.fields, *PLACED, T.StructField("outcome", T.StringType())])
+        parts = self.spark.read.schema(schema).parquet(staged)
+        report = load_counts(parts)
+        rejects = parts.where("outcome = 'refused'").select("_refused.*")
+        report = report_of(report, rejects, limit, f"{staged}/outcome=refused")
+        good = parts.where("outcome = 'good'").select("_typed.*", *[f.name for f in PLACED])
+        if report["write_count"]:
+            self._append(old, numbered_rows(good, ID), user, now)
+        return report
+
     def apply_images(
         self, events: DataFrame, stream: tuple[str, int] | None = None
     ) -> Manifest:
@@ -327,7 +411,7 @@ class TableData:
         if stream and _seen(old, stream):
             return old
         images = event_images(events.select("seq", "op", *old.struct.names), ID)
-        fresh, folders = self._write(images, old.bits)
+        fresh, folders = self._write(checked(images, old.struct), old.bits)
         written = replace(old, folders={**old.folders, **folders})
         rows, last = 0, 0
         if fresh:

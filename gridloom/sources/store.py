@@ -25,8 +25,10 @@ from gridloom.functions.names import check_identifier
 from gridloom.operators import catalog as K
 from gridloom.operators import evolve as E
 from gridloom.operators import versions as V
+from gridloom.operators.ingest import SKIP_LIMIT, Types
 from gridloom.operators.keys import assign_ids, max_id
-from gridloom.sources.data import Manifest, TableData, bits_for
+from gridloom.sources.csv import read_csv
+from gridloom.sources.data import HIDDEN, Manifest, TableData, bits_for
 from gridloom.sources.files import Folder, VersionConflict
 
 __all__ = ["Manifest", "TableData", "TableStore", "VersionConflict"]
@@ -231,6 +233,42 @@ class TableStore:
         self._restructure(data, probe.schema, schema, {**frames, "columns": rows}, version)
         return links
 
+    def load_csv(
+        self,
+        label: str,
+        path: str,
+        user: str,
+        now: datetime.datetime,
+        types: Types | None = None,
+        delimiter: str = ",",
+        limit: int = SKIP_LIMIT,
+        schema: str = K.DEFAULT_SCHEMA,
+    ) -> tuple[int, dict]:
+        """A new table from CSV files: (its id, the report of ``TableData.load``).
+
+        Columns are labelled with the cleaned-up header; ``types`` gives types by label, TEXT
+        where it has none, and a label the files lack is an error. Rows get ids and audit
+        columns. With more than ``limit`` refused rows the table is dropped again and the load
+        raises; the rejects stay.
+        """
+        text = read_csv(self.spark, path, delimiter, keep=["_file"])
+        labels = [c for c in text.columns if c != "_file"]
+        types = types or {}
+        unknown = sorted(set(types) - set(labels))
+        if unknown:
+            raise ValueError(f"columns not in the files: {unknown}")
+        table_id = self.create_table(label, user, now, schema=schema)
+        try:
+            wanted = {c: types.get(c, "TEXT") for c in labels}
+            links = self.add_columns(table_id, wanted, user, now, schema)
+            report = self.data(table_id, schema).load(
+                text.withColumnsRenamed(links), user, now, limit
+            )
+        except Exception:
+            self.drop_table(table_id, schema)
+            raise
+        return table_id, report
+
     def _column(self, table_id: int, column_id: int, schema: str):
         row = self.catalog(schema)["columns"].where(F.col("id") == column_id).first()
         if row is None:
@@ -254,7 +292,8 @@ class TableStore:
         self, table_id: int, column_id: int, type_text: str, schema: str = K.DEFAULT_SCHEMA
     ) -> None:
         row, data = self._column(table_id, column_id, schema), self.data(table_id, schema)
-        data.replace(E.change_column_type(data.state(), row["col_link"], type_text))
+        changed = E.change_column_type(data.state(), row["col_link"], type_text)
+        data.replace(changed, struct=changed.drop(*HIDDEN).schema)
 
     def rename_table(
         self,

@@ -6,7 +6,7 @@ import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gridloom.operators.ingest import (
     SKIP_LIMIT,
@@ -17,7 +17,7 @@ from gridloom.operators.ingest import (
     payload_to_columns,
     reject_rows,
 )
-from gridloom.functions.names import normalize_headers
+from gridloom.functions.names import normalize_headers, type_by_name
 from gridloom.sources.csv import broken_records, join_records, parse_lines, split_line, text_lines
 from gridloom.sources.store import TableData
 
@@ -29,7 +29,7 @@ Clock = Callable[[], datetime.datetime]
 def ingest_payloads(
     payloads: DataFrame,
     table: TableData,
-    columns: Types,
+    columns: Types | list[str] | None,
     name: str,
     checkpoint: str,
     user: str,
@@ -42,7 +42,13 @@ def ingest_payloads(
     Ids follow ``seq`` inside a batch. A batch delivered twice is inserted once. Unknown keys
     and values that do not fit are written to ``rejects``, a subfolder per batch; without
     that folder any of them fails the stream. The other cells of such a row are inserted.
+    ``columns`` gives the types; a list of names takes the types their names suggest, TEXT where
+    they suggest none, and None takes the table's own types.
     """
+    if columns is None:
+        columns = table.types()
+    elif not isinstance(columns, dict):
+        columns = {c: type_by_name(c) or "TEXT" for c in columns}
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         refused = payload_rejects(batch, "row_data", columns, ["seq"])
@@ -128,8 +134,60 @@ def _by_header(records: DataFrame, names: list[str], delimiter: str) -> DataFram
     return cells
 
 
+class StreamProgress(StreamingQueryListener):
+    """Adds up every batch of a session's named streams, and relates them to their sources.
+
+    Add it with ``spark.streams.addListener`` before a stream starts. ``totals`` gives, by
+    stream name, a function that counts the rows of its source as they are now, such as the
+    count of a batch read of the same folder; it is called by ``of``, not per batch. A restarted
+    stream goes on where its earlier run under the same name and checkpoint stopped.
+    """
+
+    def __init__(self, totals: dict[str, Callable[[], int]] | None = None):
+        self._totals = totals or {}
+        self._state: dict[str, str] = {}
+        self._names: dict[str, str] = {}
+        self._sums: dict[str, list[int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        if event.name:
+            self._names[str(event.runId)] = event.name
+            self._state[event.name] = "RUNNING"
+
+    def onQueryProgress(self, event) -> None:
+        report = event.progress
+        if not report.name:
+            return
+        # The last batch of a name: reported again while it idles, and once more after a restart
+        # when it had not been committed.
+        done = self._sums.setdefault(report.name, [-1, 0, 0])
+        batch, rows, last = done
+        if report.batchId > batch:
+            done[:] = [report.batchId, rows + report.numInputRows, report.numInputRows]
+        elif report.batchId == batch and report.numInputRows > last:
+            done[1:] = [rows + report.numInputRows - last, report.numInputRows]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        name = self._names.pop(str(event.runId), None)
+        if name:
+            self._state[name] = "FAILED" if event.exception else "COMPLETED"
+
+    def of(self, name: str) -> dict:
+        """``status``, last ``batch``, ``rows`` of all batches, and with a known source its
+        ``total`` and the ``share`` that is in, at most 1."""
+        batch, rows, _ = self._sums.get(name, [-1, 0, 0])
+        found = {"status": self._state.get(name), "batch": batch if batch >= 0 else None, "rows": rows}
+        if name in self._totals:
+            found["total"] = self._totals[name]()
+            found["share"] = min(rows / found["total"], 1.0) if found["total"] else 1.0
+        return found
+
+
 def progress(query: StreamingQuery) -> dict:
-    """Batch number and input rows of a stream's latest batches."""
+    """Batch number and input rows of a stream's latest batches; all of them: ``StreamProgress``."""
     reports = query.recentProgress
     return {
         "batch": reports[-1].batchId if reports else None,

@@ -38,7 +38,7 @@ def test_lifecycle(spark, store, people):
     first = store.scan(table_id).first()
     assert (first.add_usr, first.upd_ts) == ("ann", NOW)
     assert [(r.col_label, r.type) for r in store.columns(table_id).collect()] == [
-        ("name", "TEXT"), ("age", "INTEGER"),
+        ("name", "VARCHAR(20)"), ("age", "INTEGER"),
     ]
     store.rename_table(table_id, "Staff", "bob", LATER)
     other = store.create_table("Other", "ann", NOW, "RUN_TIME")
