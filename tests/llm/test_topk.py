@@ -83,5 +83,42 @@ def test_tree_covers_its_points():
 
 def test_block_without_candidates():
     empty = pd.DataFrame({"id": [], "vector": []})
-    one = pd.DataFrame({"id": [1], "vector": [np.array([1.0])]})
-    assert len(topk.block_top_k(one, empty, 3, 256)) == 0
+    one = pd.DataFrame({"id": [1], "vector": [np.array([1.0])], "floor": [0.0]})
+    assert len(topk.block_top_k(one, empty, 3)) == 0
+
+
+def test_cells_that_cannot_win_are_not_asked():
+    rng = np.random.default_rng(8)
+    middles = 4000 * np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    points = np.floor(np.repeat(middles, 200, axis=0) + 20 * rng.normal(size=(2400, 12)))
+    centres = topk.centres_of(points, 12)
+    own, away = topk._nearest(points, centres)
+    radii = np.array([away[own == c].max() for c in range(len(centres))])
+    parts = np.bincount(own, minlength=len(centres))
+    cells = topk.Cells(centres, radii, np.cumsum(parts) - parts, parts)
+    asking = points[::100]
+    scores = asking @ points.T
+    floor = np.sort(scores, axis=1)[:, -5]
+    block = np.argsort(np.argsort(own, kind="stable"))  # here every row is a block of its own
+    share = []
+    for line, least, found in zip(scores, floor, cells.open_blocks(asking, floor, np.full(len(asking), -1))):
+        assert set(block[line >= least]) <= set(found)
+        share.append(len(found) / len(points))
+    assert np.mean(share) < 0.2
+
+
+def test_blocks_of_cells_over_clusters(spark, rows, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(topk, "LEAF", 8)
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(8, 6))
+    points = (middles[rng.integers(0, 8, 500)] * rng.uniform(0.2, 3, (500, 1)) + 0.02 * rng.normal(size=(500, 6)))
+    points[:170] = points[3]  # a third of the rows are copies
+    vectors = [(i, [float(x) for x in p[: 6 - i % 2]], 0) for i, p in enumerate(points.astype(np.float32))]
+    assert found(spark, rows, vectors, 5) == brute_force(vectors, 5, 5)
+    assert found(spark, rows, vectors[:3], 5) == brute_force(vectors[:3], 5, 5)
+
+
+def test_an_id_with_two_vectors_asks_with_the_smaller(spark, rows):
+    vectors = [(0, [2.0, 1.0], 1), (0, [1.0, 5.0], 1), (1, [0.0, 1.0], 1), (3, [1.0, 0.0], 1)]
+    assert found(spark, rows, vectors, 2) == brute_force([vectors[1], vectors[0], *vectors[2:]], 2, 5)
