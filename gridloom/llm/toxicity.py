@@ -147,7 +147,8 @@ def _sampled(documents: DataFrame, labels: DataFrame, trainable: Column) -> Data
                 )
 
     signed = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    signed = signed.mapInArrow(sign, "doc_id long, toxic int, key long, other long")
+    kind = signed.schema["doc_id"].dataType.simpleString()
+    signed = signed.mapInArrow(sign, f"doc_id {kind}, toxic int, key long, other long")
     for key in ("key", "other"):
         rest = [F.min_by(c, "doc_id").alias(c) for c in ("key", "other") if c != key]
         signed = signed.groupBy("toxic", key).agg(F.min("doc_id").alias("doc_id"), *rest)

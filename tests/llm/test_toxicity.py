@@ -81,3 +81,17 @@ def test_without_labels_or_rows(spark):
     assert all(r.score < 0.5 for r in toxicity.score(frame, toxicity.fit(frame, none)).collect())
     empty = spark.createDataFrame([], SCHEMA)
     assert toxicity.score(empty, toxicity.fit(empty, none)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    docs, labels = corpus()
+    frame, marks = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = []
+    for kind in ("long", "int", "string"):
+        mine, theirs = (f.withColumn("doc_id", f.doc_id.cast(kind)) for f in (frame, marks))
+        found = toxicity.score(mine, toxicity.fit(mine, theirs, ~toxicity.held_out()))
+        assert dict(found.dtypes)["doc_id"] == mine.schema["doc_id"].dataType.simpleString()
+        scores.append({str(r.doc_id): r.score for r in found.collect()})
+    # The samples are the same up to the order of rows; an id's type changes no verdict.
+    verdicts = [{i: s >= 0.5 for i, s in found.items()} for found in scores]
+    assert verdicts[0] == verdicts[1] and scores[2].keys() == scores[0].keys()
