@@ -400,15 +400,18 @@ def one_of_each_group(documents: DataFrame, size: int = 5, percent: int = 80) ->
     asked = checkpointed(
         judged.where(~stays | (F.col("many") > 1)).select("doc_id", "text_hash", stays.alias("stays"))
     )
-    hashed = documents.withColumn("_hash", F.xxhash64("text"))
+    # The documents' columns travel in a struct, where no name of theirs meets one made up here.
+    row = F.struct(*documents.columns).alias("row")
+    hashed = documents.select(row, F.col("doc_id"), F.xxhash64("text").alias("_hash"))
     maybe = rows_with_ids(hashed, asked, "doc_id")
-    rest = rows_with_ids(hashed, asked, "doc_id", keep=False).drop("_hash")
+    rest = rows_with_ids(hashed, asked, "doc_id", keep=False)
     asked = asked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), "stays")
     same = (maybe["doc_id"] == asked["_id"]) & (maybe["_hash"] == asked["_text"])
     maybe = maybe.join(asked, same, "left").where("coalesce(stays, true)")
     once = maybe.where("stays").dropDuplicates(["_id", "_text"])
     others = maybe.where("stays is null")
-    return rest.union(once.select(documents.columns)).union(others.select(documents.columns))
+    kept = [part.select("row.*") for part in (rest, once, others)]
+    return kept[0].union(kept[1]).union(kept[2])
 
 
 def _groups(sets: DataFrame, families: DataFrame | None) -> DataFrame:

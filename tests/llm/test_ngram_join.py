@@ -79,6 +79,17 @@ def test_matches_brute_force(spark, rows):
     assert [r.text for r in kept.collect() if r.doc_id == 2001] == [odd[3][1]]
 
 
+def test_columns_of_any_name_stay(spark):
+    text = "one two three four five six seven eight"
+    names = ["_hash", "stays", "_id", "_text", "_word", "_bit", "_bits", "row", "many", "first"]
+    schema = ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]])
+    docs = [(i, t, *[f"{n}{i}" for n in names]) for i, t in ((1, text), (2, text), (3, "other words here"), (None, text))]
+    docs.append(docs[0])
+    kept = one_of_each_group(spark.createDataFrame(docs, schema))
+    assert kept.columns == ["doc_id", "text", *names]
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([docs[0], docs[2], docs[3]], key=str)
+
+
 def test_empty_table(spark):
     assert similar_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
