@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the thirteen operators, each over its whole table."""
 
 from __future__ import annotations
 
