@@ -19,6 +19,7 @@ from gridloom.operators.ingest import (
 )
 from gridloom.functions.names import normalize_headers, type_by_name
 from gridloom.sources.csv import broken_records, join_records, parse_lines, split_line, text_lines
+from gridloom.sources.files import Folder
 from gridloom.sources.store import TableData
 
 _NOW = {"availableNow": True}
@@ -80,7 +81,8 @@ def ingest_csv(
     ``rejects``. Each batch overwrites its own subfolder, so a repeated batch adds nothing.
     Columns are found by each file's own cleaned-up header; a column a file lacks is NULL.
     Records that end inside quotes are refused with their file. More than ``skip_limit``
-    refused rows in a batch fail the stream.
+    refused rows fail the stream, those of earlier batches counted, so it does not matter how
+    files are cut into batches.
     """
     lines = text_lines(spark.readStream, folder)
 
@@ -89,9 +91,11 @@ def ingest_csv(
         cells = _by_header(records, list(types), delimiter)
         judged = judge_rows(cells, types).persist()
         try:
-            skipped = judged.where(F.col("_reject").isNotNull())
-            if skip_limit is not None and skipped.limit(skip_limit + 1).count() > skip_limit:
-                raise ValueError(f"more than {skip_limit} rows were refused")
+            if skip_limit is not None:
+                room = max(skip_limit - _refused_before(spark, rejects, batch_id), 0)
+                skipped = judged.where(F.col("_reject").isNotNull())
+                if skipped.limit(room + 1).count() > room:
+                    raise ValueError(f"more than {skip_limit} rows were refused")
             good_rows(judged, types).drop("_file").write.mode("overwrite").parquet(
                 f"{out}/batch={batch_id}"
             )
@@ -106,6 +110,15 @@ def ingest_csv(
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger or _NOW).start()
 
 
+def _refused_before(spark: SparkSession, rejects: str, batch_id: int) -> int:
+    """Refused rows of the batches before this one; records with an open quote are not counted."""
+    names = [n for n in Folder(spark, rejects).names("") if n.startswith("batch=")]
+    earlier = [f"{rejects}/{n}" for n in names if int(n.split("=")[1]) < batch_id]
+    if not earlier:
+        return 0
+    return spark.read.parquet(*earlier).where(F.col("column").isNotNull()).count()
+
+
 def _by_header(records: DataFrame, names: list[str], delimiter: str) -> DataFrame:
     """The cells of each record under the names its file's header gives them, and ``_file``.
 

@@ -237,3 +237,23 @@ def test_csv_stream(spark, tmp_path, rows):
     (folder / "3.csv").write_text("a,b\n" + "q,z\n" * 5)
     with pytest.raises(Exception, match="refused"):
         run(skip_limit=3)
+
+
+def test_skip_limit_counts_over_batches(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    out, bad, checkpoint = (str(tmp_path / n) for n in ("out", "bad", "cp"))
+
+    def run(limit):
+        ingest_csv(
+            spark, str(folder), {"a": "BIGINT"}, out, bad, "limited", checkpoint, skip_limit=limit
+        ).awaitTermination(120)
+
+    for n, lines in enumerate(["q\n1\n", "q\n2\n", "3\n", "q\n4\n"]):
+        (folder / f"{n}.csv").write_text("a\n" + lines)
+        if n < 3:
+            run(2)
+    with pytest.raises(Exception, match="refused"):
+        run(2)
+    run(3)
+    assert sorted(r.a for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
