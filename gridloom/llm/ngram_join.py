@@ -4,8 +4,11 @@ A document is its set of distinct word n-grams. Equal sets are one. Similar sets
 into groups; the matrix holds the tokens of each group's union once, whatever the number of
 its members. Two sets can only be linked if one has PREFIX of its tokens in the other's group,
 so the matrix joined with itself on those tokens bounds the overlap of every query with every
-group, and only qualifying pairs of groups are opened. There a set is held against the whole
-union of the other group first, and against its members only if the overlap can suffice.
+group. Each set also has a bitmap with two to four bits a token; those of a group travel as one
+row, and a token whose bit the other set lacks is not shared, which bounds the overlap again.
+Only pairs that still qualify are opened, of two families the most promising pair of sets first.
+There a set is held against the whole union of the other side, and against its members only if
+the overlap can suffice.
 
 Tokens are taken rarest first, by a list of the frequent ones that is found while the sets are
 made: any common order makes the bound right, and this one keeps frequent passages out of it.
@@ -33,7 +36,6 @@ FREQUENT_TOKENS = 1 << 18  # listed as frequent; the list only decides the order
 COUNTED_TOKENS = 1_500_000  # tokens counted together inside a task
 FREQUENT = 2  # occurrences among those; of the tokens with as many, the most frequent
 LISTED_TOKENS = 20_000  # are candidates for the list
-_GROUP_BITS = 20  # of a group's number within its family
 
 
 def linked(common, a, b, percent: int):
@@ -57,6 +59,40 @@ def digest(tokens: np.ndarray) -> int:
     return int(mix(mix(total[:1]) ^ mix(total[1:] * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)[0])
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A power of two of bits, two to four a token, with those of the tokens set."""
+    size = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bitmaps as bitmaps of ``size`` bytes."""
+    while bits.shape[1] > size:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def shared_at_most(n_a: int, a: bytes, n_b: np.ndarray, b: list[bytes]) -> np.ndarray:
+    """Upper bounds of the tokens that a set shares with others, by their sizes and bitmaps."""
+    out = np.zeros(len(b), np.int64)
+    lengths = np.array([len(x) for x in b])
+    a = np.frombuffer(a, np.uint8)[None]
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        size = min(a.shape[1], int(length))
+        rows = np.frombuffer(b"".join([b[j] for j in at]), np.uint8).reshape(len(at), length)
+        rows, query = _folded(rows, size), _folded(a, size)
+        both = np.bitwise_count(rows & query).sum(axis=1, dtype=np.int64)
+        # A bit that only one set has stands for a token, or more, that only it has.
+        only_a = np.bitwise_count(query).sum(dtype=np.int64) - both
+        only_b = np.bitwise_count(rows).sum(axis=1, dtype=np.int64) - both
+        out[at] = np.minimum(n_a - only_a, n_b[at] - only_b)
+    return out
+
+
 _SEEDS = mix(np.arange(1, 64, dtype=np.uint64))
 
 
@@ -246,24 +282,26 @@ class Order:
 def _first_tokens(
     documents: DataFrame, groups: DataFrame, order: Order, size: int, percent: int
 ) -> DataFrame:
-    """digest, rep, group, members, n, the first tokens of every set, and where those end."""
+    """digest, rep, family, group, members, n, bitmap and first tokens of every set, and where those end."""
 
     def first_tokens(number: int, tokens: np.ndarray) -> tuple:
         keys = order.keys(tokens)
         place = np.argsort(keys, kind="stable")[: _probe(len(tokens), percent)]
         last = int((keys[place[-1:]] ^ np.uint64(1 << 63)).view(np.int64)[0])
-        return number, len(tokens), last, tokens[place].tobytes()
+        return number, len(tokens), last, tokens[place].tobytes(), bitmap(tokens)
 
-    made = _pass_sets(documents, size, "digest long, n long, last long, tokens binary", first_tokens)
-    made = made.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "last", "tokens")])
+    schema = "digest long, n long, last long, tokens binary, bits binary"
+    made = _pass_sets(documents, size, schema, first_tokens)
+    made = made.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "last", "tokens", "bits")])
     return checkpointed(made.join(groups, "digest"))
 
 
 def _matrix(made: DataFrame, percent: int) -> DataFrame:
-    """The token-group matrix: (token, group, sizes), only for tokens that two families share.
+    """The token-group matrix: (token, group, family, sizes), only for tokens that two families share.
 
-    ``sizes`` packs the smallest and largest set size behind the token and whether the token
-    is one of the first of a set, by which smaller sets are looked up.
+    ``sizes`` packs the smallest set size behind the token, how much larger the largest is, and
+    whether the token is one of the first of a set, by which smaller sets are looked up. The
+    family is 0 where the group is all of it. Both keep the shuffled rows short.
     """
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,13 +313,15 @@ def _matrix(made: DataFrame, percent: int) -> DataFrame:
                 tokens = [np.frombuffer(t, np.int64) for t in part.column("tokens").to_pylist()]
                 many = [len(t) for t in tokens]
                 first = np.concatenate([np.arange(m) < _index(k, percent) for m, k in zip(many, n.tolist())])
-                yield _cells(np.concatenate(tokens), np.repeat(part.column("group").to_numpy(), many), np.repeat(n, many), np.repeat(n, many), first)
+                group, family, n = (np.repeat(part.column(c).to_numpy(), many) for c in ("group", "family", "n"))
+                yield _cells(np.concatenate(tokens), group, family, n, n, first)
 
     def unions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The cells of one group after the other."""
         group, held = None, []
         for batch in batches:
-            groups_, n = batch.column("group").to_pylist(), batch.column("n").to_pylist()
+            groups_ = zip(batch.column("group").to_pylist(), batch.column("family").to_pylist())
+            n = batch.column("n").to_pylist()
             for g, k, t in zip(groups_, n, batch.column("tokens").to_pylist()):
                 if g != group:
                     yield from _union(group, held, percent)
@@ -289,24 +329,24 @@ def _matrix(made: DataFrame, percent: int) -> DataFrame:
                 held.append((k, np.frombuffer(t, np.int64)))
         yield from _union(group, held, percent)
 
-    schema = "token long, group long, sizes long"
-    columns = ["group", "n", "tokens"]
+    schema = "token long, group long, family long, sizes long"
+    columns = ["group", "family", "n", "tokens"]
     singles = made.where("members = 1").select(*columns).mapInArrow(rows_of, schema)
     grouped = made.where("members > 1").select(*columns).repartition("group").sortWithinPartitions("group")
     cells = singles.union(grouped.mapInArrow(unions_of, schema))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of a token with groups of more than one family; a run may span batches."""
-        open_ = np.zeros((0, 3), np.int64)  # the last run so far, if it has one family only
+        open_ = np.zeros((0, 4), np.int64)  # the last run so far, if it has one family only
         last_shared = None  # the token of the last run, if it has more
         for batch in batches:
-            rows = np.column_stack([batch.column(c).to_numpy() for c in ("token", "group", "sizes")])
+            rows = np.column_stack([batch.column(c).to_numpy() for c in _CELL])
             rows = np.concatenate((open_, rows))
             if not len(rows):
                 continue
             start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
             many = np.diff(np.append(start, len(rows)))
-            family = rows[:, 1] >> _GROUP_BITS
+            family = np.where(rows[:, 2] == 0, rows[:, 1], rows[:, 2])
             mixed = np.minimum.reduceat(family, start) != np.maximum.reduceat(family, start)
             if last_shared is not None and rows[0, 0] == last_shared:
                 mixed[0] = True
@@ -314,14 +354,18 @@ def _matrix(made: DataFrame, percent: int) -> DataFrame:
             out = rows[np.repeat(mixed, many)]
             # A family's groups keep their run's cells until another family turns up.
             open_ = rows[start[-1] :] if not mixed[-1] else rows[:0]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.T], names=["token", "group", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out.T], names=_CELL)
 
     return cells.repartition("token").sortWithinPartitions("token").mapInArrow(shared, schema)
 
 
-def _cells(token, group, low, high, first) -> pa.RecordBatch:
-    sizes = (low.astype(np.int64) * 2 + first) << 31 | high.astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(group), pa.array(sizes)], names=["token", "group", "sizes"])
+_CELL = ["token", "group", "family", "sizes"]
+
+
+def _cells(token, group, family, low, high, first) -> pa.RecordBatch:
+    sizes = (low.astype(np.int64) * 2 + first) << 31 | (high - low).astype(np.int64)
+    family = np.where(family == group, 0, family)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (token, group, family, sizes)], names=_CELL)
 
 
 def _union(group, held: list, percent: int):
@@ -337,7 +381,8 @@ def _union(group, held: list, percent: int):
             low, high = np.full(len(values), 2**31 - 1, np.int64), np.zeros(len(values), np.int64)
             np.minimum.at(low, at, n[part])
             np.maximum.at(high, at, n[part])
-            yield _cells(values, np.full(len(values), group), low, high, np.full(len(values), part is first))
+            numbers = (np.full(len(values), number) for number in group)
+            yield _cells(values, *numbers, low, high, np.full(len(values), part is first))
 
 
 def similar_documents(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -370,7 +415,8 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 80) ->
     made = _first_tokens(known, groups, order, size, percent)
     cells = checkpointed(_matrix(made, percent))
     pairs = _candidates(cells, made, percent)
-    links = stars.union(_opened_in_turn(pairs, stars, groups, known, size, percent))
+    rows = checkpointed(_bounded(pairs, made, percent))
+    links = stars.union(_opened_in_turn(rows, stars, known, size, percent))
     families = components(links)
     labelled = sets.select("digest", "rep").join(families.withColumnRenamed("node", "digest"), "digest")
     smallest = labelled.groupBy("label").agg(F.min("rep").alias("least"))
@@ -415,9 +461,9 @@ def one_of_each_group(documents: DataFrame, size: int = 5, percent: int = 80) ->
 
 
 def _groups(sets: DataFrame, families: DataFrame | None) -> DataFrame:
-    """digest, rep, group and members: families cut into groups, other sets by themselves.
+    """digest, rep, family, group and members: families cut into groups, other sets by themselves.
 
-    A group's number holds its family's in the high bits.
+    A family has the number of one of its sets, and so has a group that is a whole family.
     """
     base = sets.select("digest", "rep")
     if families is None:
@@ -428,31 +474,37 @@ def _groups(sets: DataFrame, families: DataFrame | None) -> DataFrame:
         base = base.join(inside, "digest", "left")
         base = base.withColumns({"label": F.coalesce("label", "digest"), "many": F.coalesce("many", F.lit(1))})
     number = F.pmod(F.xxhash64("digest"), F.ceil(F.col("many") / GROUP_SETS)).cast("long")
-    high = F.xxhash64("label").bitwiseAND(F.lit(-1 << _GROUP_BITS))
-    group = high.bitwiseOR(number.bitwiseAND(F.lit((1 << _GROUP_BITS) - 1)))
-    return checkpointed(base.select("digest", "rep", group.alias("group"), F.col("many").alias("members")))
+    group = F.when(F.col("many") <= GROUP_SETS, F.col("label")).otherwise(F.xxhash64("label", number))
+    group = group.alias("group")
+    return checkpointed(base.select("digest", "rep", F.col("label").alias("family"), group, F.col("many").alias("members")))
 
 
 def _candidates(cells: DataFrame, made: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (key, g, h) of two families that may be linked, by their first tokens.
+    """Pairs of groups (key, g, h, family_g, family_h) that may be linked, by their first tokens.
 
     Of two single sets take the one whose first tokens end earlier in the order of tokens:
     which of them the other set has is known, so the sets share no more than those and all
     its other tokens. Of larger groups one common token is enough to be a candidate.
     """
-    high = F.col("sizes").bitwiseAND(F.lit((1 << 31) - 1))
     low = F.shiftright("sizes", 32)
+    high = low + F.col("sizes").bitwiseAND(F.lit((1 << 31) - 1))
     first = F.shiftright("sizes", 31).bitwiseAND(F.lit(1))
-    sized = cells.select("token", "group", low.alias("low"), high.alias("high"), first.alias("first"))
-    other = sized.toDF("token", "group2", "low2", "high2", "first2")
+    family = F.when(F.col("family") == 0, F.col("group")).otherwise(F.col("family")).alias("family")
+    sized = cells.select("token", "group", family, low.alias("low"), high.alias("high"), first.alias("first"))
+    other = sized.toDF("token", "group2", "family2", "low2", "high2", "first2")
     meets = F.expr(
-        f"group < group2 and shiftright(group, {_GROUP_BITS}) <> shiftright(group2, {_GROUP_BITS}) "
+        f"group < group2 and family <> family2 "
         f"and 100 * high2 >= {percent} * low and 100 * high >= {percent} * low2"
     )
     # The smaller set is looked up by its very first tokens.
     looked_up = F.expr("(first = 1 and low <= high2) or (first2 = 1 and low2 <= high)")
     pairs = sized.join(other, "token").where(meets).groupBy("group", "group2")
-    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.bool_or(looked_up).alias("found")).where("found")
+    pairs = pairs.agg(
+        F.count(F.lit(1)).alias("shared"),
+        F.bool_or(looked_up).alias("found"),
+        F.first("family").alias("family_g"),
+        F.first("family2").alias("family_h"),
+    ).where("found")
     single = made.where("members = 1").select("group", "n", "last")
     pairs = pairs.join(single, "group", "left")
     pairs = pairs.join(single.toDF("group2", "n2", "last2"), "group2", "left")
@@ -460,36 +512,88 @@ def _candidates(cells: DataFrame, made: DataFrame, percent: int) -> DataFrame:
     needed = F.expr(f"ceil({percent} * (n + n2) / {100 + percent})")
     pairs = pairs.where(F.coalesce(F.col("shared") + rest >= needed, F.lit(True)))
     key = F.xxhash64("group", "group2").alias("key")
-    return checkpointed(pairs.select(key, F.col("group").alias("g"), F.col("group2").alias("h")))
+    ends = [F.col("group").alias("g"), F.col("group2").alias("h")]
+    return checkpointed(pairs.select(key, *ends, "family_g", "family_h"))
 
 
-def _opened(
-    pairs: DataFrame, groups: DataFrame, documents: DataFrame, size: int, percent: int
-) -> DataFrame:
-    """A link for each pair of groups that has one."""
-    sides = pairs.select("key", F.lit(0).alias("side"), F.col("g").alias("group"))
-    sides = sides.union(pairs.select("key", F.lit(1), "h"))
-    rows = checkpointed(sides.join(groups.select("digest", "rep", "group"), "group").drop("group"))
+def _bounded(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+    """The sets of each pair of groups that may be linked, by their bitmaps.
+
+    Rows (key, family_g, family_h, side, digest, rep, score, many, best): ``many`` pairs of sets
+    of the two groups may be linked, ``best`` marks the two sets with the highest bound of their
+    similarity, ``score``. A group travels as one row, whose members are bounded in number.
+    """
+    wanted = pairs.select(F.col("g").alias("group")).union(pairs.select("h")).distinct()
+    packed = made.select("group", "digest", "rep", "n", "bits").join(wanted, "group", "left_semi")
+    packed = checkpointed(packed.groupBy("group").agg(F.collect_list(F.struct("digest", "rep", "n", "bits")).alias("sets")))
+    both = pairs.join(packed.toDF("g", "sets_g"), "g").join(packed.toDF("h", "sets_h"), "h")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                out = []
+                for row in batch.slice(at, 64).to_pylist():
+                    ends = row["key"], row["family_g"], row["family_h"]
+                    out += [(*ends, *found) for found in _may_link(row["sets_g"], row["sets_h"], percent)]
+                columns = list(zip(*out)) if out else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    schema = "key long, family_g long, family_h long, side int, digest long, rep long, score double, many long, best boolean"
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    names, types = zip(*[(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+    return both.select("key", "family_g", "family_h", "sets_g", "sets_h").mapInArrow(bound, schema)
+
+
+def _may_link(group: list[dict], other: list[dict], percent: int) -> list[tuple]:
+    """(side, digest, rep, score, many, best) of the sets of two groups that may have a link."""
+    sizes, bits = np.array([m["n"] for m in other]), [m["bits"] for m in other]
+    many, score, best, near, near_other = 0, -1.0, None, set(), set()
+    for i, member in enumerate(group):
+        n = member["n"]
+        fits = np.flatnonzero(100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes))
+        if not len(fits):
+            continue
+        shared = shared_at_most(n, member["bits"], sizes[fits], [bits[j] for j in fits])
+        may = linked(shared, n, sizes[fits], percent)
+        if not may.any():
+            continue
+        fits, shared = fits[may], shared[may]
+        likeness = shared / (n + sizes[fits] - shared)
+        first = int(likeness.argmax())
+        if likeness[first] > score:
+            score, best = float(likeness[first]), (i, int(fits[first]))
+        many += len(fits)
+        near.add(i)
+        near_other.update(fits.tolist())
+    sides = ((0, group, near), (1, other, near_other))
+    return [
+        (side, sets[i]["digest"], sets[i]["rep"], score, many, best[side] == i)
+        for side, sets, chosen in sides
+        for i in sorted(chosen)
+    ]
+
+
+def _opened(rows: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """A link for each key of (key, side, digest, rep) that has one."""
+    rows = checkpointed(rows.select("key", "side", "digest", "rep"))
     tokens = _tokens_of(documents, rows.select("digest", "rep").distinct(), size)
     return checkpointed(_compared(rows.select("key", "side", "digest").join(tokens, "digest"), percent, False))
 
 
-def _opened_in_turn(
-    pairs: DataFrame, stars: DataFrame, groups: DataFrame, documents: DataFrame, size: int, percent: int
-) -> DataFrame:
-    """Links between families: one pair of their groups is opened for each two families first,
-    and the others only of families that no link has joined by then."""
-    family = [F.shiftright(c, _GROUP_BITS).alias(f"family_{c}") for c in ("g", "h")]
-    pairs = pairs.select("*", *family)
-    chosen = pairs.groupBy("family_g", "family_h").agg(F.min(F.struct("key", "g", "h")).alias("_one"))
-    links = _opened(chosen.select("_one.*"), groups, documents, size, percent)
-    rest = pairs.join(chosen.select("_one.key"), "key", "left_anti")
+def _opened_in_turn(rows: DataFrame, stars: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between families: of each two families the most promising pair of sets is opened
+    first, and all others only of families that no link has joined by then."""
+    first = rows.where("best and side = 0").groupBy("family_g", "family_h")
+    first = first.agg(F.max(F.struct("score", "key")).alias("top")).select("top.key")
+    links = _opened(rows.where("best").join(first, "key"), documents, size, percent)
+    # A pair of groups with one pair of sets is done when that was opened.
+    rest = rows.join(first.withColumn("opened", F.lit(True)), "key", "left")
+    rest = checkpointed(rest.where("many > 1 or opened is null").drop("opened"))
     if rest.isEmpty():
         return links
-    joined = components(stars.union(links)).withColumnRenamed("node", "digest")
-    label = groups.select("digest", F.shiftright("group", _GROUP_BITS).alias("family")).join(joined, "digest")
-    label = label.groupBy("family").agg(F.min("label").alias("label"))
+    joined = components(stars.union(links))
     for c in ("g", "h"):
-        rest = rest.join(label.toDF(f"family_{c}", f"label_{c}"), f"family_{c}", "left")
-    apart = checkpointed(rest.where(~F.coalesce(F.expr("label_g = label_h"), F.lit(False))).select("key", "g", "h"))
-    return links.union(_opened(apart, groups, documents, size, percent))
+        label = joined.select(F.col("node").alias(f"family_{c}"), F.col("label").alias(f"label_{c}"))
+        rest = rest.join(label, f"family_{c}", "left")
+    apart = F.expr("coalesce(label_g, family_g) <> coalesce(label_h, family_h)")
+    return links.union(_opened(rest.where(apart), documents, size, percent))

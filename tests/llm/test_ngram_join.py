@@ -3,8 +3,12 @@
 import random
 import re
 
+import numpy as np
+
+from gridloom.llm import ngram_join
 from gridloom.llm.components import components
-from gridloom.llm.ngram_join import one_of_each_group, similar_documents
+from gridloom.llm.ngram_join import bitmap, one_of_each_group, shared_at_most, similar_documents
+from gridloom.llm.text import mix
 
 SCHEMA = "doc_id long, text string"
 
@@ -79,6 +83,36 @@ def test_matches_brute_force(spark, rows):
     assert [r.text for r in kept.collect() if r.doc_id == 2001] == [odd[3][1]]
 
 
+def test_families_of_many_groups(spark, rows, monkeypatch):
+    """Large families, with links between their groups only through some of the sets."""
+    monkeypatch.setattr(ngram_join, "GROUP_SETS", 3)
+    monkeypatch.setattr(ngram_join, "SHARED_KEYS", 3)  # so that leaders miss links
+    rng = random.Random(5)
+    docs = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(60)] + [f"shared{i}" for i in range(25)]
+        for _ in range(25):
+            base[rng.randrange(len(base))] = f"new{rng.randrange(10**6)}"
+            docs.append(" ".join(base))
+    docs = list(enumerate(docs))
+    rng.shuffle(docs)
+    got = rows(similar_documents(spark.createDataFrame(docs, SCHEMA)), "doc_id", "n_shingles", "component_id")
+    assert sorted(got) == sorted(brute_force(docs))
+
+
+def test_bitmaps_never_bound_too_low():
+    rng = np.random.default_rng(3)
+    pool = mix(np.arange(1, 4000, dtype=np.uint64))
+    sets = [rng.choice(pool[: 30 * n], n, replace=False) for n in (1, 2, 5, 31, 32, 33, 60, 100, 130)] * 3
+    for a in sets:
+        sizes = np.array([len(b) for b in sets])
+        bound = shared_at_most(len(a), bitmap(a), sizes, [bitmap(b) for b in sets])
+        common = np.array([len(np.intersect1d(a, b)) for b in sets])
+        assert (bound >= common).all() and (bound <= np.minimum(sizes, len(a))).all()
+    a, b = pool[:1000], np.concatenate((pool[:500], pool[1000:1500]))
+    assert shared_at_most(1000, bitmap(a), np.array([1000]), [bitmap(b)])[0] < 750
+
+
 def test_columns_of_any_name_stay(spark):
     text = "one two three four five six seven eight"
     names = ["_hash", "stays", "_id", "_text", "_word", "_bit", "_bits", "row", "many", "first"]
