@@ -1,7 +1,7 @@
 """Documents that share most of their word n-grams, by a token-group matrix.
 
 A document is its set of distinct word n-grams. Equal sets are one. Similar sets are gathered
-into groups; the matrix holds the tokens of each group's union once, whatever the number of
+into groups, and so are sets that are merely alike where there are many; the matrix holds the tokens of each group's union once, whatever the number of
 its members. Two sets can only be linked if one has PREFIX of its tokens in the other's group,
 so the matrix joined with itself on those tokens bounds the overlap of every query with every
 group. Each set also has a bitmap with two to four bits a token; those of a group travel as one
@@ -32,6 +32,7 @@ from gridloom.session import checkpointed
 GROUP_SETS = 256  # members of a group; a larger family is several groups
 KEYS = 3  # smallest hashes by which similar sets find a common leader
 SHARED_KEYS = 2  # of them, to be held against a leader; what this misses is found in the matrix
+LOOSE_SETS = 32  # sets outside families that share a smallest hash are gathered if so many
 FREQUENT_TOKENS = 1 << 18  # listed as frequent; the list only decides the order of tokens
 COUNTED_TOKENS = 1_500_000  # tokens counted together inside a task
 FREQUENT = 2  # occurrences among those; of the tokens with as many, the most frequent
@@ -168,37 +169,36 @@ def _pass_sets(
     return documents.select("text").mapInArrow(run, schema)
 
 
-def _tokens_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(digest, tokens) of the wanted sets (digest, rep); a set's text is that of document rep."""
-    wanted = wanted.select("digest", F.col("rep").alias("doc_id"))
-    texts = rows_with_ids(documents.select("doc_id", "text"), wanted, "doc_id")
-    # Not a semi join, which the optimizer would move below the filter.
-    texts = texts.join(wanted.select("doc_id").distinct(), "doc_id")
-    made = _pass_sets(texts, size, "digest long, tokens binary", lambda d, t: (d, t.tobytes()))
-    # An id that occurs with two texts brings a set that was not asked for.
-    return made.join(wanted.select("digest"), "digest", "left_semi")
+def _texts_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (key, side, digest, rep) with the text of document rep in place of it."""
+    rows = rows.withColumnRenamed("rep", "doc_id")
+    texts = rows_with_ids(documents.select("doc_id", "text"), rows.select("doc_id").distinct(), "doc_id")
+    return texts.join(rows, "doc_id").select("key", "side", "digest", "text")
 
 
-def _compared(rows: DataFrame, percent: int, every: bool) -> DataFrame:
+def _compared(rows: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
     """Links (a, b) between the sets of side 0 and of side 1 of each ``key``.
 
-    ``rows`` has key, side, digest and tokens; a key has a bounded number of sets. With
-    ``every`` all links are returned, else one for each key that has any.
+    ``rows`` has key, side, digest and text; a key has a bounded number of sets. With
+    ``every`` so many links are returned as hold together what the links of the key do, else
+    one for each key that has any. Texts travel, which take less room than their tokens.
     """
     rows = rows.repartition("key").sortWithinPartitions("key", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sides = None, ({}, {})
         for batch in batches:
-            out = []
-            keys, places = batch.column("key").to_pylist(), batch.column("side").to_pylist()
-            digests, tokens = batch.column("digest").to_pylist(), batch.column("tokens").to_pylist()
-            for k, side, d, t in zip(keys, places, digests, tokens):
-                if k != key:
-                    out += _links(*sides, percent, every)
-                    key, sides = k, ({}, {})
-                sides[side][d] = np.frombuffer(t, np.uint64)
-            yield _pairs(out)
+            for piece in slices(batch):
+                out = []
+                keys, places, digests = (piece.column(c).to_pylist() for c in ("key", "side", "digest"))
+                for k, side, d, tokens in zip(keys, places, digests, shingle_sets(piece.column("text"), size)):
+                    if k != key:
+                        out += _links(*sides, percent, every)
+                        key, sides = k, ({}, {})
+                    # An id that occurs with two texts brings a set that was not asked for.
+                    if len(tokens) and digest(tokens) == d:
+                        sides[side][d] = tokens
+                yield _pairs(out)
         yield _pairs(list(_links(*sides, percent, every)))
 
     return rows.mapInArrow(compare, "a long, b long")
@@ -210,16 +210,25 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _links(queries: dict, members: dict, percent: int, every: bool):
-    """Links between two groups, each query against the union first."""
+    """Links between two groups, each query against the union first; none between sets that
+    those before it join."""
     union = np.unique(np.concatenate(list(members.values()))) if len(members) > 1 else None
+    above: dict[int, int] = {}
+
+    def root(d: int) -> int:
+        while (up := above.get(d, d)) != d:
+            d = above[d] = above.get(up, up)
+        return d
+
     for d, query in queries.items():
         if union is not None and 100 * _common(query, union) < percent * len(query):
             continue
         for e, member in members.items():
             small, large = sorted((len(query), len(member)))
-            if d == e or 100 * small < percent * large:
+            if 100 * small < percent * large or root(d) == root(e):
                 continue
             if linked(_common(query, member), len(query), len(member), percent):
+                above[root(d)] = root(e)
                 yield d, e
                 if not every:
                     return
@@ -255,9 +264,7 @@ def _leaders(sets: DataFrame, documents: DataFrame, size: int, percent: int) ->
     pairs = checkpointed(pairs.drop("many", "shared"))
     heads = pairs.select("key", F.lit(0).alias("side"), F.col("head").alias("digest"), F.col("head_rep").alias("rep"))
     rows = heads.distinct().union(pairs.select("key", F.lit(1), "digest", "rep").distinct())
-    wanted = rows.select("digest", "rep").distinct()
-    tokens = _tokens_of(documents, wanted, size)
-    return _compared(rows.select("key", "side", "digest").join(tokens, "digest"), percent, True)
+    return _compared(_texts_of(documents, rows), size, percent, True)
 
 
 class Order:
@@ -406,6 +413,8 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 80) ->
     firsts = [F.first(c).alias(c) for c in ("n", *(f"key{k}" for k in range(KEYS)))]
     sets = found.where("digest is not null and doc_id is not null").groupBy("digest")
     sets = checkpointed(sets.agg(F.min("doc_id").alias("rep"), *firsts))
+    # Numbers of rows in the checkpoint stay the same when a task is run again.
+    sets = sets.withColumn("number", F.monotonically_increasing_id())
 
     known = documents.where("doc_id is not null")
     stars = checkpointed(_leaders(sets, known, size, percent).distinct())
@@ -414,7 +423,7 @@ def similar_documents(documents: DataFrame, size: int = 5, percent: int = 80) ->
     order = Order(frequent)
     made = _first_tokens(known, groups, order, size, percent)
     cells = checkpointed(_matrix(made, percent))
-    pairs = _candidates(cells, made, percent)
+    pairs = _candidates(cells, made, percent).union(_inside(groups))
     rows = checkpointed(_bounded(pairs, made, percent))
     links = stars.union(_opened_in_turn(rows, stars, known, size, percent))
     families = components(links)
@@ -461,26 +470,57 @@ def one_of_each_group(documents: DataFrame, size: int = 5, percent: int = 80) ->
 
 
 def _groups(sets: DataFrame, families: DataFrame | None) -> DataFrame:
-    """digest, rep, family, group and members: families cut into groups, other sets by themselves.
+    """digest, rep, family, group, members and loose: families cut into groups, other sets by
+    themselves or, where many are alike, gathered.
 
-    A family has the number of one of its sets, and so has a group that is a whole family.
+    A group that is a whole family has the number of one of its sets, a set by itself its own
+    short one. Sets outside families that share a smallest hash with many others, and have about
+    their size, make loose groups. Nothing is known of links inside those, and they are a family
+    each. So sets that are alike, but not enough for a link, meet as groups and not two by two.
     """
-    base = sets.select("digest", "rep")
+    base = sets.select("digest", "rep", "number", "n", *(f"key{k}" for k in range(KEYS)))
     if families is None:
-        base = base.withColumns({"label": F.col("digest"), "many": F.lit(1).cast("long")})
+        base = base.withColumns({"label": F.lit(None).cast("long"), "many": F.lit(1).cast("long")})
     else:
         sized = families.groupBy("label").agg(F.count(F.lit(1)).alias("many"))
         inside = families.join(sized, "label").select(F.col("node").alias("digest"), "label", "many")
-        base = base.join(inside, "digest", "left")
-        base = base.withColumns({"label": F.coalesce("label", "digest"), "many": F.coalesce("many", F.lit(1))})
-    number = F.pmod(F.xxhash64("digest"), F.ceil(F.col("many") / GROUP_SETS)).cast("long")
-    group = F.when(F.col("many") <= GROUP_SETS, F.col("label")).otherwise(F.xxhash64("label", number))
-    group = group.alias("group")
-    return checkpointed(base.select("digest", "rep", F.col("label").alias("family"), group, F.col("many").alias("members")))
+        base = base.join(inside, "digest", "left").withColumn("many", F.coalesce("many", F.lit(1)))
+    # Sizes that differ by more are in no way linked.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
+    alone = base.where("label is null")
+    found = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"key{k}").alias("key"), step.alias("step")) for k in range(KEYS)])
+    found = alone.select("digest", F.explode(found).alias("at"))
+    crowds = found.groupBy("at").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") >= LOOSE_SETS)
+    largest = F.max(F.struct("crowd", "at")).alias("in")
+    gathered = found.join(crowds, "at").groupBy("digest").agg(largest).select("digest", "in.*")
+    base = base.join(gathered, "digest", "left")
+
+    def number(many: str) -> F.Column:
+        return F.pmod(F.xxhash64("digest"), F.ceil(F.col(many) / GROUP_SETS)).cast("long")
+
+    loose = F.col("crowd").isNotNull()
+    group = F.when(loose, F.xxhash64("at", number("crowd"))).when(F.col("label").isNull(), F.col("number"))
+    whole = F.col("many") <= GROUP_SETS
+    group = group.when(whole, F.col("label")).otherwise(F.xxhash64("label", number("many")))
+    members = F.coalesce("crowd", "many").alias("members")
+    base = base.select("digest", "rep", "label", group.alias("group"), members, loose.alias("loose"))
+    family = F.coalesce("label", "group").alias("family")
+    return checkpointed(base.select("digest", "rep", family, "group", "members", "loose"))
+
+
+def _inside(groups: DataFrame) -> DataFrame:
+    """Each loose group as a pair of groups with itself, in the form of ``_candidates``."""
+    own = groups.where("loose").select("group").distinct()
+    number = F.col("group")
+    return own.select(
+        F.xxhash64("group", "group").alias("key"),
+        *[number.alias(c) for c in ("g", "h", "family_g", "family_h")],
+        F.lit(True).alias("loose"),
+    )
 
 
 def _candidates(cells: DataFrame, made: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (key, g, h, family_g, family_h) that may be linked, by their first tokens.
+    """Pairs of groups (key, g, h, family_g, family_h, loose) that may be linked, by their first tokens.
 
     Of two single sets take the one whose first tokens end earlier in the order of tokens:
     which of them the other set has is known, so the sets share no more than those and all
@@ -505,21 +545,33 @@ def _candidates(cells: DataFrame, made: DataFrame, percent: int) -> DataFrame:
         F.first("family").alias("family_g"),
         F.first("family2").alias("family_h"),
     ).where("found")
-    single = made.where("members = 1").select("group", "n", "last")
+    single = made.where("members = 1").select("group", "n", "last", "digest")
     pairs = pairs.join(single, "group", "left")
-    pairs = pairs.join(single.toDF("group2", "n2", "last2"), "group2", "left")
+    pairs = pairs.join(single.toDF("group2", "n2", "last2", "digest2"), "group2", "left")
+    loose = made.where("loose").select("group").distinct().withColumn("loose", F.lit(True))
+    pairs = pairs.join(loose, "group", "left")
+    pairs = pairs.join(loose.toDF("group2", "loose2"), "group2", "left")
     rest = F.expr(f"ceil({percent} * if(last <= last2, n, n2) / 100) - 1")
     needed = F.expr(f"ceil({percent} * (n + n2) / {100 + percent})")
     pairs = pairs.where(F.coalesce(F.col("shared") + rest >= needed, F.lit(True)))
     key = F.xxhash64("group", "group2").alias("key")
-    ends = [F.col("group").alias("g"), F.col("group2").alias("h")]
-    return checkpointed(pairs.select(key, *ends, "family_g", "family_h"))
+    pairs = pairs.select(
+        key,
+        F.struct(F.col("group").alias("at"), F.coalesce("digest", "family_g").alias("family")).alias("a"),
+        F.struct(F.col("group2").alias("at"), F.coalesce("digest2", "family_h").alias("family")).alias("b"),
+        (F.col("n").isNull() & F.col("n2").isNotNull()).alias("turned"),
+        (F.col("loose").isNotNull() | F.col("loose2").isNotNull()).alias("loose"),
+    )
+    # A set by itself comes first: what stands there travels once more.
+    g, h = F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b"))
+    ends = [g["at"].alias("g"), h["at"].alias("h"), g["family"].alias("family_g"), h["family"].alias("family_h")]
+    return checkpointed(pairs.select("key", *ends, "loose"))
 
 
 def _bounded(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
     """The sets of each pair of groups that may be linked, by their bitmaps.
 
-    Rows (key, family_g, family_h, side, digest, rep, score, many, best): ``many`` pairs of sets
+    Rows (key, family_g, family_h, loose, side, digest, rep, score, many, best): ``many`` pairs of sets
     of the two groups may be linked, ``best`` marks the two sets with the highest bound of their
     similarity, ``score``. A group travels as one row, whose members are bounded in number.
     """
@@ -533,24 +585,26 @@ def _bounded(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 out = []
                 for row in batch.slice(at, 64).to_pylist():
-                    ends = row["key"], row["family_g"], row["family_h"]
+                    ends = row["key"], row["family_g"], row["family_h"], row["loose"]
                     out += [(*ends, *found) for found in _may_link(row["sets_g"], row["sets_h"], percent)]
                 columns = list(zip(*out)) if out else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    schema = "key long, family_g long, family_h long, side int, digest long, rep long, score double, many long, best boolean"
+    schema = "key long, family_g long, family_h long, loose boolean, side int, digest long, rep long, score double, many long, best boolean"
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
     names, types = zip(*[(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
-    return both.select("key", "family_g", "family_h", "sets_g", "sets_h").mapInArrow(bound, schema)
+    return both.select("key", "family_g", "family_h", "loose", "sets_g", "sets_h").mapInArrow(bound, schema)
 
 
 def _may_link(group: list[dict], other: list[dict], percent: int) -> list[tuple]:
     """(side, digest, rep, score, many, best) of the sets of two groups that may have a link."""
     sizes, bits = np.array([m["n"] for m in other]), [m["bits"] for m in other]
+    digests = np.array([m["digest"] for m in other])
     many, score, best, near, near_other = 0, -1.0, None, set(), set()
     for i, member in enumerate(group):
         n = member["n"]
-        fits = np.flatnonzero(100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes))
+        fits = 100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)
+        fits = np.flatnonzero(fits & (digests != member["digest"]))
         if not len(fits):
             continue
         shared = shared_at_most(n, member["bits"], sizes[fits], [bits[j] for j in fits])
@@ -573,16 +627,18 @@ def _may_link(group: list[dict], other: list[dict], percent: int) -> list[tuple]
     ]
 
 
-def _opened(rows: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """A link for each key of (key, side, digest, rep) that has one."""
+def _opened(rows: DataFrame, documents: DataFrame, size: int, percent: int, every: bool = False) -> DataFrame:
+    """Links for each key of (key, side, digest, rep): one, or with ``every`` as ``_compared`` says."""
     rows = checkpointed(rows.select("key", "side", "digest", "rep"))
-    tokens = _tokens_of(documents, rows.select("digest", "rep").distinct(), size)
-    return checkpointed(_compared(rows.select("key", "side", "digest").join(tokens, "digest"), percent, False))
+    return checkpointed(_compared(_texts_of(documents, rows), size, percent, every))
 
 
 def _opened_in_turn(rows: DataFrame, stars: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between families: of each two families the most promising pair of sets is opened
-    first, and all others only of families that no link has joined by then."""
+    first, and all others only of families that no link has joined by then. Loose groups are
+    opened before, for all their links."""
+    opened = _opened(rows.where("loose"), documents, size, percent, every=True)
+    stars, rows = stars.union(opened), rows.where("not loose")
     first = rows.where("best and side = 0").groupBy("family_g", "family_h")
     first = first.agg(F.max(F.struct("score", "key")).alias("top")).select("top.key")
     links = _opened(rows.where("best").join(first, "key"), documents, size, percent)
@@ -590,10 +646,10 @@ def _opened_in_turn(rows: DataFrame, stars: DataFrame, documents: DataFrame, siz
     rest = rows.join(first.withColumn("opened", F.lit(True)), "key", "left")
     rest = checkpointed(rest.where("many > 1 or opened is null").drop("opened"))
     if rest.isEmpty():
-        return links
+        return opened.union(links)
     joined = components(stars.union(links))
     for c in ("g", "h"):
         label = joined.select(F.col("node").alias(f"family_{c}"), F.col("label").alias(f"label_{c}"))
         rest = rest.join(label, f"family_{c}", "left")
     apart = F.expr("coalesce(label_g, family_g) <> coalesce(label_h, family_h)")
-    return links.union(_opened(rest.where(apart), documents, size, percent))
+    return opened.union(links).union(_opened(rest.where(apart), documents, size, percent))

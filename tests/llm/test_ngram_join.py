@@ -100,6 +100,28 @@ def test_families_of_many_groups(spark, rows, monkeypatch):
     assert sorted(got) == sorted(brute_force(docs))
 
 
+def test_sets_that_are_alike_meet_as_groups(spark, rows, monkeypatch):
+    """Copies with too many changes for most links must not be joined two by two."""
+    candidates, most = ngram_join._candidates, []
+
+    def counted(cells, *others):
+        most.append(cells.groupBy("token").count().agg({"count": "max"}).first()[0])
+        return candidates(cells, *others)
+
+    monkeypatch.setattr(ngram_join, "_candidates", counted)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(220):
+        copy = list(base)
+        for _ in range(rng.randint(3, 7)):
+            copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+        docs.append((i, " ".join(copy)))
+    got = rows(similar_documents(spark.createDataFrame(docs, SCHEMA)), "doc_id", "n_shingles", "component_id")
+    assert sorted(got) == sorted(brute_force(docs))
+    assert most[0] < 60
+
+
 def test_bitmaps_never_bound_too_low():
     rng = np.random.default_rng(3)
     pool = mix(np.arange(1, 4000, dtype=np.uint64))
