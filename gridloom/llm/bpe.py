@@ -29,7 +29,8 @@ _LETTER[65:91] = _LETTER[97:123] = True
 # Not the apostrophe, which may begin 's or 'll, and not the sign inside the end mark.
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in '!"#$%&()*+,-./:;<=>?@[\\]^_`{}~']] = True
-_PLAIN = re.compile(rb" ?[^\s\x1c-\x1f\x80-\xff]+").fullmatch
+# Of what is not ASCII, accented Latin letters (lead byte C3).
+_PLAIN = re.compile(rb" ?(?:[^\s\x1c-\x1f\x80-\xff]|\xc3[\x80-\xbf])+").fullmatch
 
 
 class ByteEncoder:
@@ -69,20 +70,22 @@ class ByteEncoder:
         return [np.array(e.ids, np.uint32) for e in found]
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks; those of visible ASCII after at most one blank share strings, as lines."""
-        plain = [c for c in chunks if _PLAIN(c) and not any(m in c for m in self.specials)]
+        """Encode chunks; those of visible ASCII and accented letters after at most one blank share
+        strings, as lines."""
+        joined = b"\n".join(chunks)
+        marks = [m for m in self.specials if m in joined]
+        plain, others = [], []
+        for c in chunks:
+            (plain if _PLAIN(c) and not (marks and any(m in c for m in marks)) else others).append(c)
         shared = self._ids([b"\n".join(plain[i : i + _AT_ONCE] + [b""]).decode() for i in range(0, len(plain), _AT_ONCE)])
         ids = np.concatenate(shared) if shared else np.zeros(0, np.uint32)
         ends = np.flatnonzero(ids == self.line_end[0])
         if len(self.line_end) != 1 or len(ends) != len(plain):
             raise ValueError("the tokenizer does not keep lines apart")
         starts = np.append(0, ends[:-1] + 1)[: len(ends)]
-        known = set(plain)
-        others = [c for c in chunks if c not in known]
         own = self._ids([c.decode("utf-8", "replace") for c in others])
         size = np.array([len(x) for x in own], np.int64)
-        for n, chunk in enumerate([*plain, *others], len(self.size)):
-            self.known[chunk] = n
+        self.known.update(zip([*plain, *others], range(len(self.size), len(self.size) + len(chunks))))
         first = len(self.pool) + len(ids) + np.cumsum(size) - size
         self.start = np.concatenate([self.start, starts + len(self.pool), first])
         self.size = np.concatenate([self.size, ends - starts, size])
@@ -95,14 +98,14 @@ class ByteEncoder:
         offsets = np.append(start, len(data)).astype(np.int32)
         chunks = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         chunks = chunks.dictionary_encode()
-        spelled = chunks.dictionary.to_pylist()
+        spelled = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [c for c in spelled if c not in self.known]
         if len(self.known) + len(new) > KNOWN_CHUNKS:
             self.forget()
             new = spelled
         if new:
             self.learn(new)
-        entry = np.array([self.known[c] for c in spelled], np.int64)
+        entry = np.fromiter(map(self.known.__getitem__, spelled), np.int64, len(spelled))
         entry = entry[chunks.indices.to_numpy(zero_copy_only=False)]
         size = self.size[entry]
         upto = np.append(0, np.cumsum(size))

@@ -30,6 +30,16 @@ def ids(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_accented_words_share_strings(tokenizer):
+    encoder = bpe.ByteEncoder(PATH)
+    strings = []
+    real = encoder._ids
+    encoder._ids = lambda texts: strings.extend(texts) or real(texts)
+    text = " café àé ÿ über×÷ señor."
+    found, _ = encoder.encode(pa.array([text]))
+    assert found.tolist() == ids(tokenizer, text) and len(strings) == 1
+
+
 def test_encoder_agrees_with_the_tokenizer(tokenizer, monkeypatch):
     rng = random.Random(4)
     alphabet = "abcXYZ éÉß’'.,!-_ 019\n\t<|>&   　"
