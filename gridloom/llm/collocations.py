@@ -225,7 +225,7 @@ def dealt(rows: np.ndarray, hashes: np.ndarray, crowded: np.ndarray) -> tuple[np
     return place, words
 
 
-BLOCKS = "part long, lang string, words array<string>, planes int, data binary"
+BLOCKS = "part long, lang string, words array<string>, planes int, size long, data binary"
 
 
 def _planes(at: np.ndarray, columns: int, planes: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -233,7 +233,7 @@ def _planes(at: np.ndarray, columns: int, planes: int) -> Iterator[tuple[int, in
     whose rows begin at ``at``.
 
     A block holds the lowest bytes of its first column, then the next bytes, and so on: bytes that are
-    alike stand together, which is what the compression of shuffled data needs.
+    alike stand together, which is what compression needs.
     """
     size = np.diff(at)
     kind = np.int32 if at[-1] * columns * planes < 1 << 31 else np.int64
@@ -270,7 +270,8 @@ def blocks(s: Slice, tables: np.ndarray, pairs: np.ndarray | None, parts: int) -
 
     A row holds its distinct words, and for every suffix, in order, the numbers of its
     words (0 after its end; as steps from the suffix before, see ``_steps``), its count, and how
-    many words decided on the part, all as bytes laid out by ``_planes``.
+    many words decided on the part, all as bytes laid out by ``_planes`` and
+    compressed; ``size`` is their number before that.
     """
     hashes = token_hashes(s.langs, s.words)
     rows, count = distinct(suffixes(s, hashes, tables[0], pairs), len(s.words))
@@ -296,16 +297,18 @@ def blocks(s: Slice, tables: np.ndarray, pairs: np.ndarray | None, parts: int) -
     data = np.empty(len(codes) * codes.shape[1] * planes, np.uint8)
     for column, byte, to in _planes(at, codes.shape[1], planes):
         data[to] = codes[:, column] >> (8 * byte)
-    opens, offsets = at[:-1], (at * codes.shape[1] * planes).astype(np.int32)
+    opens, ends = at[:-1], at * codes.shape[1] * planes
+    packed = [pa.compress(pa.py_buffer(data[a:b]), "zstd", asbytes=True) for a, b in zip(ends[:-1], ends[1:])]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(part[opens]),
             langs.dictionary.take(pa.array(lang[opens])),
             pa.ListArray.from_arrays(pa.array(first, pa.int32()), s.words.cast(pa.string()).take(pa.array(keys % size))),
             pa.array(np.full(len(opens), planes, np.int32)),
-            pa.Array.from_buffers(pa.binary(), len(opens), [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
+            pa.array(np.diff(ends), pa.int64()),
+            pa.array(packed, pa.binary()),
         ],
-        names=["part", "lang", "words", "planes", "data"],
+        names=["part", "lang", "words", "planes", "size", "data"],
     )
 
 
@@ -315,9 +318,13 @@ def read_blocks(rows: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray]:
     every = rows.column("planes").to_numpy()
     for planes in np.unique(every).tolist():
         mine = np.flatnonzero(every == planes)
-        held = pa.concat_arrays(rows.column("data").take(pa.array(mine)).chunks)
-        data, offsets = buffers(held)
-        at = offsets // (columns * planes)
+        sizes = rows.column("size").to_numpy()[mine]
+        packed = rows.column("data").take(pa.array(mine)).to_pylist()
+        ends = np.append(0, np.cumsum(sizes))
+        data = np.empty(ends[-1], np.uint8)
+        for a, b, block in zip(ends[:-1], ends[1:], packed):
+            data[a:b] = np.frombuffer(pa.decompress(block, int(b - a), "zstd"), np.uint8)
+        at = ends // (columns * planes)
         found = np.zeros((at[-1], columns), np.uint32)
         for column, byte, place in _planes(at, columns, planes):
             found[:, column] |= data[place].astype(np.uint32) << np.uint32(8 * byte)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import collocations as c
@@ -98,3 +99,14 @@ def test_quicksort_finds_every_equal_partition():
         # A partition below the least is abandoned where it is whole, from depth 1 on.
         assert {k: v for k, v in got.items() if v >= least} == {k: v for k, v in want.items() if v >= least}
         assert all(v >= least for k, v in got.items() if k[0] >= 1)
+
+
+def test_blocks_travel_compressed():
+    text = " ".join(f"w{i % 50} x{i % 7}" for i in range(5000))
+    s = c.read_slice(pa.array([text]), pa.array(["en"]))
+    every = np.full((2, c._SLOTS), -1, np.int64).view(np.uint64)
+    every[1] = 0
+    block = c.blocks(s, every, None, 1)
+    assert len(block.column("data")[0].as_py()) < block.column("size")[0].as_py() / 2
+    numbers, _ = c.read_blocks(pa.Table.from_batches([block]), 4)
+    assert numbers[:, 2].sum() == 9999 and len(numbers) == len(np.unique(numbers[:, :2], axis=0))
