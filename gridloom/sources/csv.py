@@ -220,11 +220,22 @@ def header_cells(records: DataFrame, delimiter: str, quote: str, escape: str) ->
     return list(rows[0][0])
 
 
+def first_file_records(
+    spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', escape: str = "\\"
+) -> DataFrame:
+    """The records of the first file that has any; quotes of the others are not looked at."""
+    lines = text_lines(spark.read, path)
+    filled = lines.where(F.rtrim(F.col("line"), F.lit("\r")) != "")
+    first = filled.agg(F.min("_file")).first()[0]
+    return join_records(lines.where(F.col("_file") == F.lit(first)), delimiter, quote, escape)
+
+
 def read_header(
     spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"', escape: str = "\\"
 ) -> list[str]:
     """The cells of the header line, as written."""
-    return header_cells(read_records(spark, path, delimiter, quote, escape), delimiter, quote, escape)
+    records = first_file_records(spark, path, delimiter, quote, escape)
+    return header_cells(records, delimiter, quote, escape)
 
 
 def read_csv(
@@ -244,7 +255,7 @@ def read_csv(
     name ``_file`` to have each row's file as a column.
     """
     records = read_records(spark, path, delimiter, quote, escape)
-    raw = header_cells(records, delimiter, quote, escape)
+    raw = read_header(spark, path, delimiter, quote, escape)
     positions = list(range(len(raw))) if columns is None else columns
     outside = [i for i in positions if not 0 <= i < len(raw)]
     if outside:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import ingest as I
+from gridloom.sources import csv
 from gridloom.sources.csv import (
     broken_records,
     csv_lines,
@@ -185,3 +186,19 @@ def test_infer_edge_cases(spark):
     assert [(r.column, r.type, r.value_count) for r in empty] == [(c, "TEXT", 0) for c in df.columns]
     assert I.apply_type_overrides(["TEXT"] * 3, ["", None, " DATE "]) == ["TEXT", "TEXT", "DATE"]
     assert I.apply_type_overrides(["TEXT"], None) == ["TEXT"]
+
+
+def test_header_looks_at_one_file(spark, tmp_path, monkeypatch):
+    """Only the first file that has a record is searched for quotes, not all of them."""
+    (tmp_path / "a 0.csv").write_text("\r\n\n")
+    (tmp_path / "a 1.csv").write_text('"x\ny",z\n1,2\n')
+    (tmp_path / "b.csv").write_text("other,names\n3,4\n")
+    searched, real = [], csv.join_records
+
+    def joined(lines, *rest):
+        searched.append(lines.select("_file").distinct().count())
+        return real(lines, *rest)
+
+    monkeypatch.setattr(csv, "join_records", joined)
+    assert read_header(spark, str(tmp_path)) == ["x\ny", "z"]
+    assert searched == [1]
